@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, cube_mix, mpeg_audio
-from .runtime import table
+from . import bpe, chunk_dedup, cube_mix, mpeg_audio, shards, token_files
+from .runtime import scratch, table, whole_text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -48,6 +48,29 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The free identifier behind the vocabulary.
+END_OF_DOCUMENT = 50256
+
+
+def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.count_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN, END_OF_DOCUMENT)
+
+
+ARRIVALS = 4
+
+
+def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, scratch(spark, "shards"))
+    for arrival in shards.arrivals(docs, ARRIVALS):
+        store.append(arrival)
+        store.compact()
+    store.compact_all()
+    store.expire()
+    text = whole_text()
+    return store.read(docs.schema).select("doc_id", "source", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"))
+
+
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -59,6 +82,8 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mpeg_audio": op2_mpeg_audio,
+    "op4_separator_scan": op4_separator_scan,
+    "op5_shard_compaction": op5_shard_compaction,
     "op7_cube_mix": op7_cube_mix,
     "op8_chunk_dedup": op8_chunk_dedup,
 }
@@ -72,6 +97,13 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY norm)
 """
 
+#: Compaction loses and changes nothing.
+OP5_SQL = """
+SELECT doc_id, source, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_shard_compaction": OP5_SQL,
     "op8_chunk_dedup": OP8_SQL,
 }
