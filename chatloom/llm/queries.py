@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, cube_mix, mpeg_audio, shards, token_files
+from . import bpe, chunk_dedup, cube_mix, mpeg_audio, ngram_join, paragraph_dedup, shards, token_files
 from .runtime import scratch, table, whole_text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,6 +79,14 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mpeg_audio": op2_mpeg_audio,
@@ -86,6 +94,8 @@ QUERIES = {
     "op5_shard_compaction": op5_shard_compaction,
     "op7_cube_mix": op7_cube_mix,
     "op8_chunk_dedup": op8_chunk_dedup,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_paragraph_dedup": op10_paragraph_dedup,
 }
 
 OP8_SQL = r"""
