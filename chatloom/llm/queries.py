@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, cube_mix, mpeg_audio, ngram_join, paragraph_dedup, shards, token_files
+from . import bpe, chunk_dedup, cube_mix, katz, mpeg_audio, ngram_join, paragraph_dedup, shards, token_files
 from .runtime import scratch, table, whole_text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -71,6 +71,12 @@ def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(docs.schema).select("doc_id", "source", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"))
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    scores, _ = katz.katz(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op2_mpeg_audio": op2_mpeg_audio,
     "op4_separator_scan": op4_separator_scan,
     "op5_shard_compaction": op5_shard_compaction,
+    "op6_katz_backoff": op6_katz_backoff,
     "op7_cube_mix": op7_cube_mix,
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_ngram_join": op9_ngram_join,
