@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, cube_mix, katz, mpeg_audio, ngram_join, paragraph_dedup, shards, token_files
+from . import bpe, chunk_dedup, cube_mix, katz, mpeg_audio, ngram_join, paragraph_dedup, shards, token_files, weak_quality
 from .runtime import scratch, table, whole_text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,6 +48,10 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents"))
+
+
 #: The free identifier behind the vocabulary.
 END_OF_DOCUMENT = 50256
 
@@ -96,6 +100,7 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mpeg_audio": op2_mpeg_audio,
+    "op3_weak_quality": op3_weak_quality,
     "op4_separator_scan": op4_separator_scan,
     "op5_shard_compaction": op5_shard_compaction,
     "op6_katz_backoff": op6_katz_backoff,
