@@ -39,20 +39,26 @@ BLOCK_TOKENS = 2_000_000
 BUCKET_PAIRS = 1_200_000
 #: A context is hot beyond 1 / (HOT * buckets) of all tokens.
 HOT = 4
-#: Words hold no white space, so no word has these hashes' texts.
-END, START = (np.uint64(xxhash.xxh64_intdigest(t)) for t in (b" end", b" start"))
+#: Words hold no white space, so no word is this text.
+END = np.uint64(xxhash.xxh64_intdigest(b" end"))
+#: Where a context reaches back beyond the text; no word has this number.
+START = np.uint64(2**64 - 1)
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-REQUEST = "bucket int, block bigint, ctx binary, word binary, n binary, low binary"
+REQUEST = "bucket int, block bigint, ctx binary, runs binary, word binary, n binary, low binary, values binary"
 REPLY = "kind string, slot int, block bigint, bucket int, a binary, b binary, c binary, d binary, stats array<double>"
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+    """The array's bytes, all first ones, then all second ones and so on, compressed."""
+    a = np.ascontiguousarray(a).reshape(-1)
+    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), dtype)
+    width = np.dtype(dtype).itemsize
+    flat = np.frombuffer(zstandard.decompress(b), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, len(flat) // width).T).view(dtype).reshape(-1)
 
 
 def join_hash(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -175,15 +181,16 @@ class Block:
 
     def read_words(self) -> None:
         _, order, _ = self.word_requests()
-        got = np.concatenate([unpack(x["a"], np.int64) for x in sorted(self.replies[0], key=lambda x: x["bucket"])])
-        counts = np.empty(len(order), np.int64)
-        counts[order] = got
-        self.word_count = counts[self.stream]
+        replies = sorted(self.replies[0], key=lambda x: x["bucket"])
+        counts, numbers = np.empty(len(order), np.int64), np.empty(len(order), np.uint64)
+        counts[order] = np.concatenate([unpack(x["a"], np.int64) for x in replies])
+        numbers[order] = np.concatenate([unpack(x["b"], np.uint64) for x in replies])
+        self.word_count, self.word = counts[self.stream], numbers[self.stream]
         self.count, self.p = self.word_count, unigrams(self.word_count, self.orders[0])
 
     def grams(self, n: int) -> tuple[np.ndarray, ...]:
         """Distinct n-grams in the order of requests: first position, context, bucket; and each token's place among them."""
-        word = self.vocab[self.stream]
+        word = self.word
         position = np.arange(len(word)) - np.repeat(self.starts, self.lens)
         ctx = np.zeros(len(word), np.uint64)
         for k in range(n - 1, 0, -1):
@@ -193,7 +200,7 @@ class Block:
         often = np.where(position >= 1, np.roll(self.count, 1), np.iinfo(np.int64).max) > self.limit
         _, at, inverse = np.unique(join_hash(ctx, word), return_index=True, return_inverse=True)
         ctx_u, word_u, hot_u = ctx[at], word[at], often[at]
-        bucket = (np.where(hot_u, join_hash(ctx_u, word_u), ctx_u) % np.uint64(self.buckets)).astype(np.int32)
+        bucket = (join_hash(ctx_u, np.where(hot_u, word_u, START)) % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(ctx_u, kind="stable")
         order = order[np.argsort(bucket[order], kind="stable")]
         place = np.empty_like(order)
@@ -204,7 +211,13 @@ class Block:
         at, ctx, word, hot, bucket, place = self.grams(n)
         counts = np.bincount(place[self.token_train], minlength=len(at)).astype(np.uint32)
         for s, e in _runs(bucket):
-            yield {"bucket": int(bucket[s]), "block": self.number, "ctx": pack(ctx[s:e]), "word": pack(word[s:e]), "n": pack(counts[s:e]), "low": pack(np.where(hot[s:e], -self.p[at[s:e]], self.p[at[s:e]]))}
+            names, runs = _lengths(ctx[s:e])
+            low = self.p[at[s:e]]
+            values, low = np.unique(np.where(hot[s:e], -low, low), return_inverse=True)
+            yield {
+                "bucket": int(bucket[s]), "block": self.number, "ctx": pack(names), "runs": pack(runs), "word": pack(word[s:e]), "n": pack(counts[s:e]),
+                "low": pack(low.astype(np.uint32)), "values": pack(values),
+            }
 
     def read_grams(self, n: int) -> None:
         """This order's probabilities: discounted where the n-gram is known, else backed off to the order below."""
@@ -248,6 +261,12 @@ def _runs(a: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in zip(cuts, cuts[1:]) if e > s]
 
 
+def _lengths(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a's runs and their lengths."""
+    runs = _runs(a)
+    return a[[s for s, _ in runs]], np.array([e - s for s, e in runs], np.uint32)
+
+
 def backoff(total: np.ndarray, sums: np.ndarray, d: Discounts) -> np.ndarray:
     """Weights of contexts by total and by sums: numbers of n-grams counted 1 to SMALL times, and the lower order's mass of all seen ones.
 
@@ -281,17 +300,21 @@ def _slot(block: int, slots: int) -> int:
     return ((block >> 32) * 7 + (block & 0xFFFFFFFF)) % slots
 
 
-def count_words(slots: int):
+def count_words(slots: int, buckets: int):
+    """Words get numbers that no other bucket gives, small ones where they are frequent."""
+
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
         words = [unpack(r["word"], np.uint64) for r in rows]
         flat = np.concatenate(words)
         names, inverse = np.unique(flat, return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate([unpack(r["n"], np.uint32) for r in rows]).astype(float), minlength=len(names)).astype(np.int64)
+        number = np.empty(len(names), np.uint64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(names), dtype=np.uint64) * np.uint64(buckets) + np.uint64(rows[0]["bucket"])
         mine, stop, bucket = total[inverse], np.cumsum([len(w) for w in words]), rows[0]["bucket"]
-        out = [{"kind": "reply", "slot": _slot(r["block"], slots), "block": r["block"], "bucket": bucket, "a": pack(mine[e - len(w) : e])} for r, w, e in zip(rows, words, stop)]
+        out = [{"kind": "reply", "slot": _slot(r["block"], slots), "block": r["block"], "bucket": bucket, "a": pack(mine[e - len(w) : e]), "b": pack(number[inverse[e - len(w) : e]])} for r, w, e in zip(rows, words, stop)]
         known = total > 0
-        out.append({"kind": "model", "bucket": bucket, "b": pack(names[known]), "c": pack(total[known])})
+        out.append({"kind": "model", "bucket": bucket, "a": pack(names[known]), "c": pack(number[known]), "d": pack(total[known])})
         return _reply([*out, {"kind": "stats", "bucket": bucket, "stats": _histogram(total)}])
 
     return run
@@ -301,12 +324,12 @@ def count_grams(slots: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
         bucket = rows[0]["bucket"]
-        ctx = [unpack(r["ctx"], np.uint64) for r in rows]
+        ctx = [np.repeat(unpack(r["ctx"], np.uint64), unpack(r["runs"], np.uint32)) for r in rows]
         sizes = np.array([len(c) for c in ctx])
         stop = np.cumsum(sizes)
         ctx = np.concatenate(ctx)
         word = np.concatenate([unpack(r["word"], np.uint64) for r in rows])
-        low = np.concatenate([unpack(r["low"], np.float64) for r in rows])
+        low = np.concatenate([unpack(r["values"], np.float64)[unpack(r["low"], np.uint32)] for r in rows])
         n = np.concatenate([unpack(r["n"], np.uint32) for r in rows]).astype(float)
         _, at, inverse = np.unique(join_hash(ctx, word), return_index=True, return_inverse=True)
         count = np.bincount(inverse, weights=n, minlength=len(at)).astype(np.int64)
@@ -331,7 +354,10 @@ def count_grams(slots: int):
             need = np.unique(place[(got == 0)])
             need = need[~hot[mine[need]]]
             out.append({"kind": "reply", "slot": _slot(r["block"], slots), "block": r["block"], "bucket": bucket, "a": pack(got.astype(np.uint32)), "b": pack(total[mine]), "c": pack(need.astype(np.int32)), "d": pack(sums[mine[need]])})
-        out.append({"kind": "model", "bucket": bucket, "a": pack(ctx[at][known]), "b": pack(word[at][known]), "c": pack(count[known])})
+        order = np.flatnonzero(known)
+        order = order[np.lexsort((word[at[order]], ctx[at[order]]))]
+        heads, runs = _lengths(ctx[at[order]])
+        out.append({"kind": "model", "bucket": bucket, "a": pack(heads), "b": pack(runs), "c": pack(word[at[order]]), "d": pack(count[order])})
         out += [{"kind": "hot", "bucket": bucket, "block": int(names[i].view(np.int64)), "stats": [float(total[i]), *sums[i].tolist()]} for i in np.flatnonzero(hot)]
         return _reply([*out, {"kind": "stats", "bucket": bucket, "stats": _histogram(count)}])
 
@@ -374,7 +400,8 @@ def katz(
 
     Returns rows (doc_id, trained, n_tokens, n_known, train_tokens, base_score,
     score) and, for each order, the folder of its table, whose rows of kind
-    "model" hold contexts, words and counts by bucket.
+    "model" hold, by bucket, words' hashes, numbers and counts (order 1), or
+    contexts, the number of words after each, these words and their counts.
 
     Null and empty texts are the end alone. Without training documents every
     word is unknown and has probability 1. Repeated rows are counted and scored
@@ -399,12 +426,12 @@ def katz(
                 b = Block(row, buckets, [], [], [], 0)
                 bucket, order_, counts = b.word_requests()
                 out = [
-                    {"bucket": int(bucket[s]), "block": b.number, "ctx": None, "word": pack(b.vocab[order_[s:e]]), "n": pack(counts[order_[s:e]]), "low": None} for s, e in _runs(bucket)
+                    {"bucket": int(bucket[s]), "block": b.number, "word": pack(b.vocab[order_[s:e]]), "n": pack(counts[order_[s:e]])} for s, e in _runs(bucket)
                 ]
                 yield _requests(out)
 
     words = scratch(spark, "katz-1")
-    store.select("block", "ids", "train", "lens", "vocab", "low", "high").mapInArrow(requests, REQUEST).groupBy("bucket").applyInArrow(count_words(slots), REPLY).write.parquet(words)
+    store.select("block", "ids", "train", "lens", "vocab", "low", "high").mapInArrow(requests, REQUEST).groupBy("bucket").applyInArrow(count_words(slots, buckets), REPLY).write.parquet(words)
     done = [_finish(spark, words)]
     limit = max(1.0, done[0].discounts.total / (HOT * buckets))
 
@@ -455,5 +482,5 @@ def katz(
 
 
 def _requests(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "block": pa.int64(), "ctx": pa.binary(), "word": pa.binary(), "n": pa.binary(), "low": pa.binary()}
-    return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
+    kinds = {"bucket": pa.int32(), "block": pa.int64()} | dict.fromkeys(("ctx", "runs", "word", "n", "low", "values"), pa.binary())
+    return pa.RecordBatch.from_pydict({k: pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()})
