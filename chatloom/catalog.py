@@ -1,4 +1,6 @@
 """Names of queries, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import lookups, service, texts
+
+QUERIES: dict = lookups.QUERIES | texts.QUERIES | service.QUERIES
+ORACLE_SQL: dict[str, str] = lookups.SQL | texts.SQL | service.SQL
