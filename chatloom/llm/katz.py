@@ -36,7 +36,7 @@ ORDER = 2
 #: Counts up to this one are discounted.
 SMALL = 5
 BLOCK_TOKENS = 2_000_000
-BUCKET_PAIRS = 1_200_000
+BUCKET_PAIRS = 4_000_000
 #: A context is hot beyond 1 / (HOT * buckets) of all tokens.
 HOT = 4
 #: Words hold no white space, so no word is this text.
