@@ -1,0 +1,82 @@
+"""Weak labels against true ones, and the pipeline's stages against plain versions."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from chatloom.llm import weak_quality
+
+GOOD = "the of and to a in is it that was for on with as by at from this which have"
+
+
+def prose(r, n):
+    return " ".join(r.choice(GOOD.split()) if r.random() < 0.5 else "w" + "".join(r.choice("aeiourstln") for _ in range(r.randint(3, 8))) + ("." if r.random() < 0.1 else "") for _ in range(n))
+
+
+def junk(r, text):
+    words = text.split()
+    kind = r.randrange(3)
+    if kind == 0:
+        return " ".join(w + r.choice(["###", "$$$", "%%%"]) for w in words)
+    if kind == 1:
+        return " ".join(w.upper() + "!!" for w in words)
+    return " ".join(words[i // 30] for i in range(len(words)))
+
+
+def corpus(n=400):
+    r = random.Random(2)
+    texts = [prose(r, r.randint(60, 200)) for _ in range(n)]
+    bad = [r.random() < 0.2 for _ in range(n)]
+    return [(i, junk(r, t) if b else t) for i, (t, b) in enumerate(zip(texts, bad))], bad
+
+
+def test_classifier_finds_junk_without_labels(spark):
+    rows, bad = corpus()
+    rows += [(400, None), (401, ""), (402, "short"), (None, rows[0][1]), (402, "short")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, votes string, kept int")
+    got = weak_quality.classify(docs).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    right = sum(by[i].kept != b for i, b in enumerate(bad))
+    assert right >= 0.97 * len(bad)
+    assert all(by[i].votes == weak_quality.votes(t or "") for i, t in rows)
+    kept = {r.doc_id for r in weak_quality.keep_good(docs).collect()}
+    assert kept == {r.doc_id for r in got if r.kept}
+    assert weak_quality.classify(docs.limit(0)).count() == 0
+
+
+def test_estimate_recovers_rates():
+    r = np.random.default_rng(0)
+    m, n = len(weak_quality.LABELLERS), 20_000
+    good = r.random(n) < 0.8
+    votes = np.where(r.random((n, m)) < np.where(good[:, None], 0.95, 0.3), "g", "b")
+    patterns, counts = np.unique(["".join(v) for v in votes], return_counts=True)
+    e = weak_quality.estimate(patterns.tolist(), counts.tolist())
+    assert abs(e.prior - 0.8) < 0.02
+    assert np.allclose(e.rates[1, :, 2], 0.95, atol=0.02) and np.allclose(e.rates[0, :, 2], 0.3, atol=0.04)
+
+
+def test_stages(spark):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    r = random.Random(4)
+    a, b = prose(r, 120), prose(r, 120)
+    near = a.replace(a.split()[60], "changed", 1)
+    rows = [(1, a, "s"), (2, a.replace(" ", "  "), "s"), (3, near, "t"), (4, b, None), (4, b, None), (None, None, "s"), (5, "", "s")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean"
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), True) for i, t, s in rows], schema)
+    exact = corpus_pipeline.exact_copies(spark, docs, "")
+    assert exact.columns == docs.columns
+    assert sorted(str(x.doc_id) for x in exact.collect()) == ["1", "3", "4", "5"]
+    nearly = corpus_pipeline.near_copies(spark, exact, "")
+    assert sorted(str(x.doc_id) for x in nearly.collect()) == ["1", "4", "5"] and nearly.columns == docs.columns
+    many = spark.createDataFrame([(i, prose(r, 30 + i % 50), "en", "ab"[i % 2], 1, True) for i in range(200)], schema)
+    mixed = corpus_pipeline.mixture(spark, many, "")
+    assert mixed.columns == docs.columns
+    total = sum(30 + i % 50 for i in range(200))
+    taken = {s: sum(len(x.text.split()) for x in mixed.filter(mixed.source == s).collect()) for s in "ab"}
+    assert abs(taken["a"] - total / 3) < 160 and abs(taken["b"] - 2 * total / 3) < 160
+    assert corpus_pipeline.token_counts(spark, docs, "").count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), "").count() == 0
