@@ -24,7 +24,7 @@ from .runtime import WORDS, arrow_batches, cut, whole_text
 #: Times its size that a source may be taken.
 MOST = 3.0
 WEIGHTS = (1, 2, 3)
-BLOCK = 20_000
+BLOCK = 2_000
 EDGE = 1e-9
 
 
@@ -161,7 +161,7 @@ def mix(
             done.append(flown)
             break
         done.append(flown.filter(~fraction))
-        # At most two of a block are left, so a ten-thousandth of the blocks takes them.
+        # At most two of a block are left, so few blocks take them.
         most_blocks = -(-most_blocks * 2 // block)
         frame = flown.filter(fraction).withColumn("blocks", F.ceil(F.col("blocks") * 2 / block))
     out = done[0]
