@@ -202,14 +202,16 @@ def near_duplicates(units: DataFrame, threshold: float = THRESHOLD, n: int = SHI
         .withColumn("k1", F.xxhash64("key")),
         "classes",
     )
-    banded = classes.select("key", "k1", F.posexplode("bands").alias("band", "bucket"))
+    # Only the 64-bit name of a class travels for each band; a name that two classes shared would compare more pairs, not fewer.
+    banded = classes.select("k1", F.posexplode("bands").alias("band", "bucket"))
     named = banded.groupBy("bucket").agg(F.min("k1").alias("leader"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    members = cut(
-        banded.join(named, "bucket").groupBy("leader", "key").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask")),
-        "members",
+    hits = cut(
+        banded.join(named, "bucket").groupBy("leader", "k1").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask")),
+        "hits",
     )
+    candidates = cut(classes.join(hits.select("k1").distinct(), "k1", "left_semi"), "candidates")
+    members = cut(hits.join(candidates.select("k1", "key"), "k1").select("leader", "key", "mask"), "members")
     groups = members.groupBy("leader").agg(F.count("*").alias("m"))
-    candidates = cut(classes.join(members.select("key").distinct(), "key", "left_semi"), "candidates")
     total, few = members.count(), candidates.count()
     packs = max(1, total // PACK)
 
