@@ -154,7 +154,7 @@ def _compare(sets, bands, masks, left, right, counts, threshold):
     return links, kinds, [_find(parent, i) for i in range(m)]
 
 
-def _tiles(n: int, threshold: float):
+def _tiles(n: int, threshold: float, bander: Bander):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("leader", "ascending"), ("key", "ascending")])
         leader = rows["leader"].to_numpy()
@@ -162,17 +162,17 @@ def _tiles(n: int, threshold: float):
         slot, a, b = (rows[c].to_numpy() for c in ("slot", "a", "b"))
         masks, counts = rows["mask"].to_numpy(), rows["n"].to_numpy()
         texts = rows["text"]
-        flat = rows["bands"].combine_chunks()
-        flat = flat.flatten().to_numpy().reshape(len(key), -1)
         cuts = [0, *(np.flatnonzero(np.diff(leader)) + 1).tolist(), len(key)]
         out: list[tuple] = []
         for s, e in zip(cuts, cuts[1:]):
             sets = [shingles(t, n) for t in texts[s:e].to_pylist()]
+            # Computed again from the text: moving them cost more than this.
+            bands = np.stack([bander(x) for x in sets])
             if a[s] == b[s]:
                 left = right = np.arange(e - s)
             else:
                 left, right = np.flatnonzero(slot[s:e] == a[s]), np.flatnonzero(slot[s:e] == b[s])
-            links, kinds, root = _compare(sets, flat[s:e], masks[s:e], left, right, counts[s:e], threshold)
+            links, kinds, root = _compare(sets, bands, masks[s:e], left, right, counts[s:e], threshold)
             out += [(key[s + i], key[s + root[i]], int(links[i]), int(kinds[i])) for i in range(e - s) if kinds[i]]
         return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["key", "root", "links", "kinds"])
 
@@ -209,7 +209,7 @@ def near_duplicates(units: DataFrame, threshold: float = THRESHOLD, n: int = SHI
         banded.join(named, "bucket").groupBy("leader", "k1").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask")),
         "hits",
     )
-    candidates = cut(classes.join(hits.select("k1").distinct(), "k1", "left_semi"), "candidates")
+    candidates = cut(classes.drop("bands").join(hits.select("k1").distinct(), "k1", "left_semi"), "candidates")
     members = cut(hits.join(candidates.select("k1", "key"), "k1").select("leader", "key", "mask"), "members")
     groups = members.groupBy("leader").agg(F.count("*").alias("m"))
     total, few = members.count(), candidates.count()
@@ -230,11 +230,11 @@ def near_duplicates(units: DataFrame, threshold: float = THRESHOLD, n: int = SHI
         .withColumn("b", F.greatest("slot", "other"))
         .withColumn("pack", F.when(F.col("m") <= tile, F.pmod(F.xxhash64("leader"), F.lit(packs))).otherwise(F.xxhash64("leader")))
     )
-    full = placed.join(candidates.select("key", "n", "bands"), "key").join(texts, "key")
+    full = placed.join(candidates.select("key", "n"), "key").join(texts, "key")
     found = cut(
-        full.select("pack", "leader", "a", "b", "key", "slot", "mask", "n", "bands", "text")
+        full.select("pack", "leader", "a", "b", "key", "slot", "mask", "n", "text")
         .groupBy("pack", "a", "b")
-        .applyInArrow(_tiles(n, threshold), "key binary, root binary, links bigint, kinds bigint"),
+        .applyInArrow(_tiles(n, threshold, bander), "key binary, root binary, links bigint, kinds bigint"),
         "links",
     )
     degree = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("kinds").alias("kinds"))
