@@ -22,15 +22,15 @@ WITH last AS (SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, ar
 u AS (SELECT user_id, count(*) AS used FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY user_id)
 SELECT conv_id, CASE WHEN c_custkey IS NULL THEN 404 WHEN trim(text) = '' THEN 400 WHEN coalesce(coalesce(used, 0) >= daily, false) THEN 429 ELSE 200 END AS status,
        substring(text, 1, 80) AS title
-FROM last LEFT JOIN customer ON c_custkey = conv_id + 1 AND c_custkey % 10 <> 0 LEFT JOIN u ON user_id = c_custkey LEFT JOIN {PLAN_SQL} ON segment = c_mktsegment
+FROM last LEFT JOIN customer ON c_custkey = conv_id + 1 AND c_acctbal >= 0 LEFT JOIN u ON user_id = c_custkey LEFT JOIN {PLAN_SQL} ON segment = c_mktsegment
 WHERE role = 'user'
 """
 
 
 def api_send_message(spark, d):
-    """What each waiting question gets: not its owner's, blank, over quota, or served."""
+    """What each waiting question gets: no owner in good standing, blank, over quota, or served."""
     last = op.latest_child(table(spark, d, "conversations"), "conv_id", ["turn"], ["turn", "role", "text"]).filter("role = 'user'")
-    users = table(spark, d, "customer").filter("c_custkey % 10 != 0").select((F.col("c_custkey") - 1).alias("conv_id"), "c_custkey", F.col("c_mktsegment").alias("segment"))
+    users = table(spark, d, "customer").filter("c_acctbal >= 0").select((F.col("c_custkey") - 1).alias("conv_id"), "c_custkey", F.col("c_mktsegment").alias("segment"))
     used = quota.usage(table(spark, d, "events").filter(F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-03 00:00:00")))).select(F.col("user_id").alias("c_custkey"), "used")
     joined = last.join(users, "conv_id", "left").join(used, "c_custkey", "left").join(plans(spark).select("segment", "daily"), "segment", "left")
     over = F.coalesce(F.coalesce("used", F.lit(0)) >= F.col("daily"), F.lit(False))
@@ -62,13 +62,13 @@ def api_health(spark, d):
 
 
 SQL["api_thread_cleaned"] = r"""
-SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN regexp_replace(concat('{', text, '}'), '[{}]', '', 'g') ELSE text END AS content
-FROM conversations WHERE NOT contains(text, '$') ORDER BY conv_id, turn
+SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN regexp_replace(concat('{', text, '}'), '(\$\$[\s\S]*?\$\$|\$\$[\s\S]*|\$[^$]+\$|\$[^$]*)|[{}]', '\1', 'g') ELSE text END AS content
+FROM conversations ORDER BY conv_id, turn
 """
 
 
 def api_thread_cleaned(spark, d):
-    turns = table(spark, d, "conversations").filter(~F.contains("text", F.lit("$")))
+    turns = table(spark, d, "conversations")
     content = F.when(F.col("role") == "assistant", answers.clean_outside_math(F.concat(F.lit("{"), F.col("text"), F.lit("}")))).otherwise(F.col("text"))
     return turns.select("conv_id", "turn", "role", content.alias("content")).orderBy("conv_id", "turn")
 

@@ -117,11 +117,11 @@ def p1(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", valid_text(t).alias("valid"), (fn.strip(t) == "").alias("blank"), t.startswith("T").alias("starts"), t.rlike("[0-9]").alias("has_digit"))
 
 
-@query("t1_annotations", "SELECT doc_id, CASE WHEN length(text) >= 9 THEN substring(text, 1, 2) || substring(text, 5, 2) || substring(text, 10) ELSE substring(text, 1, 2) || substring(text, 5) END AS text FROM documents WHERE length(text) >= 6")
+@query("t1_annotations", "SELECT doc_id, CASE WHEN length(text) >= 9 THEN substring(text, 1, 2) || substring(text, 5, 2) || substring(text, 10) WHEN length(text) >= 4 THEN substring(text, 1, 2) || substring(text, 5) ELSE text END AS text FROM documents")
 def t1(spark, d):
     span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
     spans = F.array(span(2, 4), span(6, 9), span(5, 5), span(-1, 3))
-    return docs(spark, d).filter(F.length("text") >= 6).select("doc_id", answers.strip_annotations(F.col("text"), spans).alias("text"))
+    return docs(spark, d).select("doc_id", answers.strip_annotations(F.col("text"), spans).alias("text"))
 
 
 MARKED = r"""concat('  【4:0†x】 \(a\)   \[b\]  ', text, ' 【1】  ')"""
