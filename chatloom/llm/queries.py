@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, cube_mix, katz, mpeg_audio, ngram_join, paragraph_dedup, shards, token_files, weak_quality
-from .runtime import scratch, table, whole_text
+from . import bpe, chunk_dedup, cube_mix, katz, mpeg_audio, ngram_join, paragraph_dedup, passages, shards, token_files, weak_quality
+from .runtime import free_shuffles, scratch, table, whole_text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -94,7 +94,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """Paragraphs that repeat as wholes (para is set), and exact runs of over 50 words in any lines (start_word is set)."""
+    docs = table(spark, sf_dir, "documents")
+    spans = passages.repeated_passages(docs)
+    free_shuffles(spark)
+    return paragraph_dedup.repeated_paragraphs(docs).unionByName(spans, allowMissingColumns=True)
 
 
 QUERIES = {
