@@ -73,6 +73,11 @@ def f13(spark, d):
     return table(spark, d, "pages").select("page_id", fn.data_url(F.lit("text/html"), F.encode(F.substring("html", 1, 200), "UTF-8")).alias("url"))
 
 
+@query("f13_data_url_whole", "SELECT page_id, 'data:text/html;base64,' || to_base64(encode(html)) AS url FROM pages")
+def f13_whole(spark, d):
+    return table(spark, d, "pages").select("page_id", fn.data_url(F.lit("text/html"), F.encode("html", "UTF-8")).alias("url"))
+
+
 @query("f15_append_query", "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'uid=5' AS url FROM pages")
 def f15(spark, d):
     return table(spark, d, "pages").select("page_id", fn.append_query(F.col("url"), F.lit("uid=5")).alias("url"))
@@ -140,6 +145,11 @@ def t2a(spark, d):
     return docs(spark, d).select("doc_id", answers.normalize_echo(F.concat(F.lit("АВСДж "), F.substring("text", 1, 100), F.lit(" хУ"))).alias("text"))
 
 
+@query("t2a_normalize_echo_whole", f"SELECT doc_id, translate(concat('АВСДж ', text, ' хУ'), '{answers.CYRILLIC}', '{answers.LATIN}') AS text FROM documents")
+def t2a_whole(spark, d):
+    return docs(spark, d).select("doc_id", answers.normalize_echo(F.concat(F.lit("АВСДж "), F.col("text"), F.lit(" хУ"))).alias("text"))
+
+
 LATEX = [(1, r"\text{cm} x"), (2, r"\frac{a}{b}"), (3, r"\sqrt{x_1}+\alpha"), (4, r"a^{2} \  {b}  "), (5, ""), (6, None)]
 
 
@@ -163,12 +173,22 @@ def t3_docs(spark, d):
     return docs(spark, d).select("doc_id", answers.remove_latex_echoes(F.concat(F.lit("$q_{1}$q1 "), F.replace("text", F.lit("$"), F.lit("")))).alias("text"))
 
 
+@query("t3_echoes_in_whole_documents", None)
+def t3_whole(spark, d):
+    return docs(spark, d).select("doc_id", answers.remove_latex_echoes(F.concat(F.lit("$q_{1}$q1 "), F.col("text"))).alias("text"))
+
+
 @query("t4_plain_echoes", "SELECT doc_id, 'CD = 6,0 см ' || regexp_replace(substring(text, 1, 60), '[=0-9]', '', 'g') AS text FROM documents")
 def t4(spark, d):
     tail = F.regexp_replace(F.substring("text", 1, 60), "[=0-9]", "")
     return docs(spark, d).select("doc_id", answers.remove_plain_echoes(F.concat(F.lit("CD = 6,0CD = 6,0 см "), tail)).alias("text"))
 
 
+@query("t4_plain_echoes_whole", None)
+def t4_whole(spark, d):
+    return docs(spark, d).select("doc_id", answers.remove_plain_echoes(F.concat(F.lit("CD = 6,0CD = 6,0 см "), F.col("text"))).alias("text"))
+
+
 @query("t5_braces_strict", r"SELECT doc_id, regexp_replace(concat('{a} ', text, ' {,} $x_{1}$ {b}'), '(\$\$[\s\S]*?\$\$|\$\$[\s\S]*|\$[^$]+\$|\$[^$]*)|[{}]', '\1', 'g') AS text FROM documents")
 def t5(spark, d):
     return docs(spark, d).select("doc_id", answers.clean_outside_math(F.concat(F.lit("{a} "), F.col("text"), F.lit(" {,} $x_{1}$ {b}"))).alias("text"))
