@@ -80,7 +80,7 @@ def x_stream_daily_usage(spark, d):
     """Beyond the service: its usage counter as a stream, equal to the batch count once drained."""
     name = f"usage_{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/chatloom-streams"
-    return streaming.run_once(streaming.daily_counter(streaming.event_stream(spark, d, "events.parquet")), name, f"{base}/{name}")
+    return streaming.run_once(streaming.daily_counter(streaming.event_stream(spark, d, "events.parquet")), f"{base}/{name}")
 
 
 for _f in (api_send_message, api_me, api_health, api_thread_cleaned, x_stream_daily_usage):

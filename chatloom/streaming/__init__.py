@@ -19,8 +19,28 @@ def daily_counter(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return counts.select("user_id", F.col("window.start").cast("date").alias("day"), "used")
 
 
-def run_once(counts: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Drain the source into an in-memory table, for checks and small sinks."""
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(counts: DataFrame, folder: str) -> DataFrame:
+    """Drain the source; each batch's complete table goes to Parquet under ``folder``, and the last one is read back.
+
+    Nothing but row counts comes to the driver. A batch that was cut off has no
+    success mark and is written again; those before the last are deleted.
+    """
+    spark = counts.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(f"{folder}/tables")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def whole() -> list[int]:
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n) for n in names if fs.exists(fs_path(f"{folder}/tables/{n}/_SUCCESS")))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/tables/{number}")
+        for old in whole():
+            if old < number:
+                fs.delete(fs_path(f"{folder}/tables/{old}"), True)
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return counts.sparkSession.table(name)
+    done = whole()
+    return spark.read.schema(counts.schema).parquet(f"{folder}/tables/{done[-1]}") if done else spark.createDataFrame([], counts.schema)

@@ -1,0 +1,29 @@
+"""The usage stream over several batches, and where its result lies."""
+
+import datetime
+
+from chatloom import streaming
+
+
+def test_usage_is_read_from_files_and_goes_on(spark, tmp_path):
+    events = lambda ids: spark.createDataFrame([(i % 3, datetime.datetime(2024, 1, 1 + i % 2, 5)) for i in ids], "user_id long, ts timestamp_ntz").coalesce(1)
+    for ids in (range(10), range(10, 17)):
+        events(ids).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def drained():
+        counts = streaming.daily_counter(streaming.event_stream(spark, f"{tmp_path}/in", "*.parquet", files_per_trigger=1))
+        return streaming.run_once(counts, f"file://{tmp_path}/out")
+
+    def want(n):
+        out = {}
+        for i in range(n):
+            key = (i % 3, datetime.date(2024, 1, 1 + i % 2))
+            out[key] = out.get(key, 0) + 1
+        return sorted((*k, v) for k, v in out.items())
+
+    first = drained()
+    assert all("/out/tables/1/" in f for f in first.inputFiles()) and first.inputFiles()
+    assert sorted(map(tuple, first.collect())) == want(17)
+    assert sorted(map(tuple, drained().collect())) == want(17)
+    events(range(17, 23)).write.mode("append").parquet(f"{tmp_path}/in")
+    assert sorted(map(tuple, drained().collect())) == want(23)
