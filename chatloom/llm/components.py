@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import Steps
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -20,19 +20,21 @@ def components(edges: DataFrame) -> DataFrame:
     path. Every round is written, so a lost executor repeats one round at most.
     Loops and repeated edges are allowed; nulls are not nodes.
     """
+    steps = Steps(edges.sparkSession)
     edges = edges.filter("u is not null and v is not null and u != v")
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = steps.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _fingerprint(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        # The least neighbours are a table of their own: so the join may split a hub's neighbourhood over tasks.
+        lowest = steps.cut(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "large-low")
         large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u != v").distinct()
-        large = cut(large, "large-star")
-        lowest = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = steps.cut(large, "large-star")
+        lowest = steps.cut(large.groupBy("u").agg(F.min("v").alias("low")), "small-low")
         small = large.join(lowest, "u").filter("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(lowest.select("u", F.col("low").alias("v")))
-        edges = cut(small.distinct(), "small-star")
+        edges = steps.cut(small.distinct(), "small-star")
         after = _fingerprint(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return steps.end(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "components")

@@ -17,12 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import arrow_batches, cut
+from .runtime import Steps, arrow_batches
+from .words import mix, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -31,8 +31,12 @@ MOST_HASHES = 160
 #: Members on a side of a tile, members packed into one task's small groups, and
 #: representatives that may be broadcast (40 bytes each).
 TILE, PACK, FEW = 512, 500, 200_000
+#: Shingles that a side of a tile and a pack hold on average at most, whatever the number of members.
+WEIGHT = 2_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of the grid of shingles and hash functions that is computed at a time.
+_GRID = 2048
 
 
 def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -47,26 +51,29 @@ def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple
     return best
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's runs of n words.
+def shingles(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its runs of n words.
 
     Words are what white space (space, 9-13) parts. A text of fewer words is one
     shingle, a text without words none.
     """
-    words = text.encode().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    width = min(n, len(h))
-    s = h[: len(h) - width + 1].copy()
-    for k in range(1, width):
-        s = s * _M + h[k : len(h) - width + 1 + k]
-    return np.unique(_mix(s))
+    h, ends = word_hashes(texts)
+    runs = h[: max(0, len(h) - n + 1)].copy()
+    for k in range(1, n):
+        runs = runs * _M + h[k : len(runs) + k]
+    runs = mix(runs)
+    out = []
+    for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if e - s >= n:
+            out.append(np.unique(runs[s : e - n + 1]))
+        elif e > s:
+            one = h[s : s + 1]
+            for k in range(s + 1, e):
+                one = one * _M + h[k]
+            out.append(mix(one))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 class Bander:
@@ -78,15 +85,24 @@ class Bander:
         self.b = r.integers(0, 1 << 63, k, np.uint64)
         self.salt = r.integers(0, 1 << 63, bands, np.uint64)
 
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        """One 64-bit hash for each band, salted so that no two bands share a bucket by plan."""
-        low = np.full(self.bands * self.rows, np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(s), 2048):
-            np.minimum(low, (s[i : i + 2048, None] * self.a + self.b).min(axis=0), out=low)
-        grid = low.reshape(self.bands, self.rows)
-        h = self.salt.copy()
+    def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
+        """For each set one 64-bit hash for each band, salted so that no two bands share a bucket by plan; an empty set has the same as any other."""
+        full = [i for i, s in enumerate(sets) if len(s)]
+        low = np.full((len(sets), self.bands * self.rows), np.iinfo(np.uint64).max, np.uint64)
+        if full:
+            flat = np.concatenate([sets[i] for i in full])
+            starts = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
+            least = np.full((len(full), low.shape[1]), np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(flat), _GRID):
+                grid = flat[at : at + _GRID, None] * self.a + self.b
+                first, last = np.searchsorted(starts, (at, at + len(grid) - 1), "right") - 1
+                part = np.minimum.reduceat(grid, np.maximum(starts[first : last + 1] - at, 0), axis=0)
+                np.minimum(least[first : last + 1], part, out=least[first : last + 1])
+            low[full] = least
+        low = low.reshape(len(sets), self.bands, self.rows)
+        h = np.broadcast_to(self.salt, low.shape[:2])
         for k in range(self.rows):
-            h = _mix(h * _M + grid[:, k])
+            h = mix(h * _M + low[:, :, k])
         return h
 
 
@@ -96,18 +112,11 @@ def signatures(units: DataFrame, bander: Bander, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, flat = [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingles(text, n)
-                sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                flat.append(bander(s) if len(s) else np.zeros(bander.bands, np.uint64))
-            bands = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, len(flat) * bander.bands + 1, bander.bands, dtype=np.int32)),
-                pa.array(np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)),
-            )
+            sets = shingles(batch.column(2), n)
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bander.bands + 1, bander.bands, dtype=np.int32)), pa.array(np.ascontiguousarray(bander(sets)).view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), bands], names=["id", "text_hash", "key", "n_shingles", "bands"]
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), bands], names=["id", "text_hash", "key", "n_shingles", "bands"]
             )
 
     return units.mapInArrow(run, f"id {id_type}, text_hash bigint, key binary, n_shingles int, bands array<bigint>")
@@ -165,9 +174,9 @@ def _tiles(n: int, threshold: float, bander: Bander):
         cuts = [0, *(np.flatnonzero(np.diff(leader)) + 1).tolist(), len(key)]
         out: list[tuple] = []
         for s, e in zip(cuts, cuts[1:]):
-            sets = [shingles(t, n) for t in texts[s:e].to_pylist()]
+            sets = shingles(texts[s:e].combine_chunks(), n)
             # Computed again from the text: moving them cost more than this.
-            bands = np.stack([bander(x) for x in sets])
+            bands = bander(sets)
             if a[s] == b[s]:
                 left = right = np.arange(e - s)
             else:
@@ -190,48 +199,49 @@ def near_duplicates(units: DataFrame, threshold: float = THRESHOLD, n: int = SHI
     """
     spark = units.sparkSession
     arrow_batches(spark)
+    steps = Steps(spark)
     bander = Bander(*bands_for(threshold, recall, most_hashes))
     text = F.coalesce("text", F.lit(""))
     source = units.select("id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    signed = cut(signatures(source, bander, n), "signatures")
+    signed = steps.cut(signatures(source, bander, n), "signatures")
 
-    classes = cut(
-        signed.filter("n_shingles > 0")
-        .groupBy("key")
-        .agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("rep"), F.first("bands").alias("bands"))
-        .withColumn("k1", F.xxhash64("key")),
+    worded = signed.filter("n_shingles > 0").withColumn("k1", F.xxhash64("key"))
+    classes = steps.cut(
+        worded.groupBy("key", "k1").agg(F.count("*").alias("n"), F.first("n_shingles").alias("weight"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("rep")),
         "classes",
     )
-    # Only the 64-bit name of a class travels for each band; a name that two classes shared would compare more pairs, not fewer.
-    banded = classes.select("k1", F.posexplode("bands").alias("band", "bucket"))
-    named = banded.groupBy("bucket").agg(F.min("k1").alias("leader"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    hits = cut(
+    # Only the 64-bit name of a class travels for each band, and a bucket that holds one class goes no further.
+    banded = worded.select("k1", F.posexplode("bands").alias("band", "bucket"))
+    named = banded.groupBy("bucket").agg(F.min("k1").alias("leader"), F.max("k1").alias("last")).filter("leader != last").drop("last")
+    hits = steps.cut(
         banded.join(named, "bucket").groupBy("leader", "k1").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask")),
         "hits",
     )
-    candidates = cut(classes.drop("bands").join(hits.select("k1").distinct(), "k1", "left_semi"), "candidates")
-    members = cut(hits.join(candidates.select("k1", "key"), "k1").select("leader", "key", "mask"), "members")
-    groups = members.groupBy("leader").agg(F.count("*").alias("m"))
-    total, few = members.count(), candidates.count()
-    packs = max(1, total // PACK)
+    candidates = steps.cut(classes.join(hits.select("k1").distinct(), "k1", "left_semi"), "candidates")
+    members = steps.cut(hits.join(candidates.select("k1", "key", "weight"), "k1").select("leader", "key", "mask", "weight"), "members")
+    # Written, so that the join with a hot group's members may be split.
+    groups = steps.cut(members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("weight").alias("total_weight")), "groups")
+    total, weight = members.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    few = candidates.count()
+    packs = max(1, total // PACK, weight // WEIGHT)
 
     reps = candidates.select("key", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     reps = F.broadcast(reps) if few <= FEW else reps
     texts = source.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select("key", "text")
     # Rows that repeat an id and a text give one text.
-    texts = cut(texts.dropDuplicates(["key"]), "candidate-texts")
+    texts = steps.cut(texts.dropDuplicates(["key"]), "candidate-texts")
 
-    width = F.ceil(F.col("m") / tile).cast("int")
+    width = F.greatest(F.ceil(F.col("m") / tile), F.least(F.col("m"), F.ceil(F.col("total_weight") / WEIGHT))).cast("int")
     placed = (
         members.join(groups, "leader")
         .withColumn("slot", F.pmod(F.xxhash64("key"), width).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), width - 1)))
         .withColumn("a", F.least("slot", "other"))
         .withColumn("b", F.greatest("slot", "other"))
-        .withColumn("pack", F.when(F.col("m") <= tile, F.pmod(F.xxhash64("leader"), F.lit(packs))).otherwise(F.xxhash64("leader")))
+        .withColumn("pack", F.when(width == 1, F.pmod(F.xxhash64("leader"), F.lit(packs))).otherwise(F.xxhash64("leader")))
     )
     full = placed.join(candidates.select("key", "n"), "key").join(texts, "key")
-    found = cut(
+    found = steps.cut(
         full.select("pack", "leader", "a", "b", "key", "slot", "mask", "n", "text")
         .groupBy("pack", "a", "b")
         .applyInArrow(_tiles(n, threshold, bander), "key binary, root binary, links bigint, kinds bigint"),
@@ -254,4 +264,4 @@ def near_duplicates(units: DataFrame, threshold: float = THRESHOLD, n: int = SHI
     )
     with_words = signed.filter("n_shingles > 0").select("id", "n_shingles", "key").join(per_class, "key").select("id", "class_id", "n_links", "n_class_links", "n_shingles")
     without = signed.filter("n_shingles = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_class_links"), "n_shingles")
-    return with_words.unionByName(without)
+    return steps.end(with_words.unionByName(without), "near-duplicates")

@@ -10,6 +10,9 @@ from .runtime import WORDS, whole_text
 
 #: Words that a paragraph has at least: a passage of over 50 words with some lost to edits.
 LEAST_WORDS = 40
+#: Fewer hashes than documents get: 15 bands of 4 rows, with the same recall. There are many more
+#: paragraphs, and what the shorter bands find in vain is compared exactly.
+MOST_HASHES = 64
 
 
 def paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,7 +35,7 @@ def repeated_paragraphs(
     an empty result. Other columns are ignored.
     """
     units = paragraphs(docs, least_words, id_col, text_col).select(F.struct(F.col("doc_id").isNull().alias("no_doc"), "doc_id", "para").alias("id"), "text")
-    found = near_duplicates(units, threshold, n, recall)
+    found = near_duplicates(units, threshold, n, recall, most_hashes=MOST_HASHES)
     return found.filter("n_links > 0").select(
         "id.doc_id", "id.para", F.col("class_id.doc_id").alias("class_doc"), F.col("class_id.para").alias("class_para"), "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
     )

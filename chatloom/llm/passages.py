@@ -1,86 +1,82 @@
 """Substring de-duplication: runs of over 50 words that repeat word for word, wherever lines break.
 
-A passage is named by the least hash among its runs of ``GRAM`` words (winnowing),
-so equal passages have one name and few names travel. Only texts with a name that
-stands elsewhere too are read again; their windows of ``LEAST`` words under such a
-name are compared by 128-bit digests of the words themselves. Windows in a row
-that repeat in a row at one other place are one span: no pairs of texts are made.
+The paragraphs are all runs of ``least`` words of a text. Each is named by the
+least hash among its shorter runs of ``gram`` words, a MinHash of one band, so
+equal paragraphs have one name. Neighbours mostly share theirs: what travels is
+a row for each change of the named run, with the hash of all the words that the
+paragraphs of one name cover, its stretch. Equal stretches agree in all their
+paragraphs. Only where one name has several stretches is one copy of each read
+again and its paragraphs compared by 128-bit digests. No pairs are made.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import FEW
-from .runtime import arrow_batches, cut, delete, scratch, whole_text
+from .runtime import Steps, arrow_batches, whole_text
+from .words import Powers, mix, word_hashes
 
 #: Words of the shortest passage, and of the runs that name it: the name is the least of LEAST - GRAM + 1 hashes.
-LEAST, GRAM = 51, 26
-
-_M = 0x9E3779B97F4A7C15
-
-
-def _runs(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words, by doubling; h has at least n entries."""
-    power = lambda a, k, b: a * np.uint64(pow(_M, k, 1 << 64)) + b
-    out, have, block, size = None, 0, h, 1
-    while True:
-        if n & size:
-            if out is None:
-                out, have = block, size
-            else:
-                k = len(h) - have - size + 1
-                out, have = power(out[:k], size, block[have : have + k]), have + size
-        if have == n:
-            # Mixed, so that the least is not the one whose last word hashes low.
-            out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            return out ^ (out >> np.uint64(29))
-        k = len(h) - 2 * size + 1
-        block, size = power(block[:k], size, block[size : size + k]), 2 * size
+LEAST, GRAM = 51, 20
+
+#: Two bases, for the two halves of a digest; the first one's powers also hash grams and stretches.
+_FIRST, _SECOND = Powers(), Powers(0xD1342543DE82EF95)
 
 
 def _least_of(g: np.ndarray, n: int) -> np.ndarray:
-    """The least of each n entries in a row."""
-    size = 1
-    while 2 * size <= n:
-        g, size = np.minimum(g[:-size], g[size:]), 2 * size
-    return np.minimum(g[: len(g) - (n - size)], g[n - size :]) if n > size else g
+    """Where the least of each n entries in a row stands, the first of equal ones."""
+    at, size = np.arange(len(g)), 1
+    while size < n:
+        step = min(size, n - size)
+        left, right = at[: len(at) - step], at[step:]
+        at, size = np.where(g[right] < g[left], right, left), size + step
+    return at
+
 
+def stretches(h: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, first paragraph, number of paragraphs, name, stretch) of each change of the run that names.
 
-def names(words: list[bytes], least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the name of the passage of ``least`` words at each word, all hashes of runs of ``gram`` words)."""
-    g = _runs(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), gram)
-    return _least_of(g, least - gram + 1), g
+    h has the words of all texts, ends where each text's words begin and the
+    last ones end. Paragraphs that would reach into the next text are left out.
+    """
+    n = len(h) - least + 1
+    if n <= 0:
+        none = np.empty(0, np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    sums = _FIRST.sums(h)
+    at = np.arange(len(h) - gram + 1)
+    # Mixed again, so that no property of the hash prefers one place to another.
+    g = mix(_FIRST.hashes(sums, at, at + gram))
+    least_at = _least_of(g, least - gram + 1)
+    text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[:n]
+    inside = np.arange(n) + least <= ends[text + 1]
+    new = np.ones(n, bool)
+    # By place, not by value: so no two paragraphs of one stretch are equal.
+    new[1:] = (least_at[1:] != least_at[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(new & inside)
+    # A stretch ends before the next change, or where its text has no more paragraphs.
+    stop = np.append(np.flatnonzero(new), n)
+    stop = stop[np.searchsorted(stop, first, "right")]
+    stop = np.minimum(stop, ends[text[first] + 1] - least + 1)
+    return text[first], first - ends[text[first]], stop - first, g[least_at[first]], _FIRST.hashes(sums, first, stop + (least - 1))
 
 
 def _named(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys, sizes, flat = [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                words = text.encode().split()
-                if len(words) < least:
-                    continue
-                least_of, g = names(words, least, gram)
-                own = np.unique(least_of)
-                # A name at several places of one text counts twice.
-                u, n = np.unique(g, return_counts=True)
-                own = np.concatenate([own, own[n[np.searchsorted(u, own)] > 1]])
-                rows.append(i)
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                sizes.append(len(words))
-                flat.append(own.view(np.int64))
-            taken = pa.array(rows, pa.int64())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "text_hash", "key", "n_words", "names"])
+            h, ends = word_hashes(batch.column(2))
+            text, start, m, name, stretch = stretches(h, ends, least, gram)
+            taken = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(start.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(stretch.view(np.int64))],
+                names=["doc_id", "text_hash", "start", "m", "name", "stretch"],
+            )
 
     return run
 
@@ -88,22 +84,23 @@ def _named(least: int, gram: int):
 def _windows(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, shared) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-                words = text.encode().split()
-                shared = shared.values.to_numpy().view(np.uint64)
-                at = np.flatnonzero(np.isin(names(words, least, gram)[0], shared))
-                flat = b" ".join(words)
-                stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                starts = stops - np.fromiter(map(len, words), np.int64, len(words)) - 1
-                digest = b"".join([hashlib.blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(starts[at].tolist(), (stops[at + least - 1] - 1).tolist())])
-                h = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                for s in range(0, len(at), 10_000):
-                    part = at[s : s + 10_000]
-                    taken = pa.array(np.full(len(part), i))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(part.astype(np.int32)), pa.array(h[s : s + 10_000, 0].copy()), pa.array(h[s : s + 10_000, 1].copy())],
-                        names=["rep", "n", "start", "h1", "h2"],
-                    )
+            h, ends = word_hashes(batch.column(0))
+            one, two = _FIRST.sums(h), _SECOND.sums(h)
+            asked = batch.column(1)
+            sizes = asked.value_lengths().to_numpy(zero_copy_only=False)
+            rows = asked.flatten()
+            start, m = rows.field("start").to_numpy().astype(np.int64), rows.field("m").to_numpy().astype(np.int64)
+            begin = start + np.repeat(ends[:-1], sizes)
+            for s in range(0, len(m), 1000):
+                part = slice(s, s + 1000)
+                counts = m[part]
+                offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = np.repeat(begin[part], counts) + offset
+                taken = pa.array(np.repeat(np.arange(s, s + len(counts)), counts))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.field("name").take(taken), rows.field("stretch").take(taken), pa.array(offset.astype(np.int32))] + [pa.array(p.hashes(x, at, at + least).view(np.int64)) for p, x in ((_FIRST, one), (_SECOND, two))],
+                    names=["name", "stretch", "offset", "h1", "h2"],
+                )
 
     return run
 
@@ -115,73 +112,73 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_
     the same order and distance, at the place (class_doc, class_word) where they
     come first in the table: by doc_id (nulls last), then by place. Words are
     what white space parts, counted from 0. n_links is the largest number of
-    other places that one of its windows stands at. Spans that are their own
+    other places that one of its paragraphs stands at. Spans that are their own
     first place are kept; to remove the others loses no text. Spans may overlap.
 
-    Texts of the same words are one class: each has a row for the whole text,
-    and only the first of them has rows for what other texts repeat. Rows that
-    repeat both id and text carry the same values. Shorter and null texts have
-    no spans; an empty table gives an empty result. Other columns are ignored.
+    Rows that repeat both id and text give their spans once, but count as places.
+    Of rows that repeat an id only, each has its own spans. Shorter, empty and
+    null texts have none; an empty table gives an empty result. Other columns
+    are ignored.
     """
     if not 0 < gram <= least:
         raise ValueError(f"runs of {gram} words in passages of {least}")
     spark = docs.sparkSession
     arrow_batches(spark)
-    written: list[str] = []
-
-    def step(df: DataFrame, label: str) -> DataFrame:
-        written.append(scratch(spark, label))
-        df.write.parquet(written[-1])
-        return spark.read.schema(df.schema).parquet(written[-1])
-
+    steps = Steps(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     text = whole_text(text_col)
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    named = step(source.mapInArrow(_named(least, gram), f"doc_id {id_type}, text_hash bigint, key binary, n_words int, names array<bigint>"), "passage-names")
-    rep = F.struct(F.col("doc_id").isNull().alias("no_doc"), "doc_id", "text_hash")
-    classes = step(
-        named.groupBy("key").agg(F.count("*").alias("n"), F.min(rep).alias("rep"), F.first("n_words").alias("n_words"), F.first("names").alias("names")).withColumn("k", F.xxhash64("key")),
-        "passage-classes",
-    )
-
-    # A k of two classes would give both the names of either: more windows to compare, not fewer.
-    each = classes.select("k", F.explode("names").alias("name"))
-    shared = each.groupBy("name").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-    hits = step(each.join(shared, "name").groupBy("k").agg(F.collect_set("name").alias("names")), "passage-hits")
-    few = hits.count()
-    chosen = classes.select("k", "rep", "n").join(hits.select("k"), "k", "left_semi")
-    chosen = chosen.select("k", "rep", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
-    chosen = F.broadcast(chosen) if few <= FEW else chosen
-    texts = source.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select("k", "rep", "n", "text")
+    named = steps.cut(source.mapInArrow(_named(least, gram), f"doc_id {id_type}, text_hash bigint, start int, m int, name bigint, stretch bigint"), "passage-names")
+
+    shared = named.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+    hits = steps.cut(named.join(shared, "name"), "passage-hits")
+    place = F.struct(F.col("doc_id").isNull().alias("no_doc"), "doc_id", "text_hash", F.col("start").alias("at"))
+    key = ["name", "stretch"]
+    kinds = steps.cut(hits.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("m").alias("m")), "passage-kinds")
+    several = steps.cut(kinds.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").select("name"), "passage-several")
+
+    # Paragraphs of the stretches that share their name with another one, read from one copy of each.
+    asked = kinds.join(several, "name", "left_semi")
+    copies = asked.groupBy(F.col("first.doc_id").alias("rep_id"), F.col("first.text_hash").alias("rep_hash")).agg(F.collect_list(F.struct("name", "stretch", F.col("first.at").alias("start"), "m")).alias("asked"))
+    copies = steps.cut(copies, "passage-copies")
+    copies = F.broadcast(copies.select("rep_id", "rep_hash")) if copies.count() <= FEW else copies.select("rep_id", "rep_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))
     # Rows that repeat an id and a text give one text.
-    texts = texts.dropDuplicates(["k", "rep"]).join(hits, "k").select("rep", "n", "text", "names")
-    rep_type = classes.schema["rep"].dataType.simpleString()
-    windows = step(texts.mapInArrow(_windows(least, gram), f"rep {rep_type}, n bigint, start int, h1 bigint, h2 bigint"), "passage-windows")
-
-    firsts = windows.groupBy("h1", "h2").agg(F.count("*").alias("m"), F.sum("n").alias("places"), F.min(F.struct("rep", "start")).alias("first")).filter("m > 1").drop("m")
-    placed = windows.drop("n").join(firsts, ["h1", "h2"]).select("rep", "start", "places", F.col("first.rep").alias("first"), (F.col("first.start") - F.col("start")).alias("shift"))
-    line = ["rep", "first", "shift"]
-    islands = placed.withColumn("island", F.col("start") - F.row_number().over(Window.partitionBy(*line).orderBy("start")))
-    spans = islands.groupBy(*line, "island").agg(F.min("start").alias("start"), F.count("*").alias("m"), F.max("places").alias("places")).select(
-        F.col("rep.doc_id").alias("doc_id"),
-        F.col("start").alias("start_word"),
-        (F.col("m") + (least - 1)).cast("int").alias("n_words"),
-        F.col("first.doc_id").alias("class_doc"),
-        (F.col("start") + F.col("shift")).alias("class_word"),
-        (F.col("places") - 1).alias("n_links"),
-        (F.col("rep").eqNullSafe(F.col("first")) & (F.col("shift") == 0)).alias("kept"),
-    )
-    copies = classes.filter("n > 1").select("key", "n", F.col("rep").alias("first"))
-    whole = named.drop("names").join(copies, "key").select(
-        "doc_id",
-        F.lit(0).alias("start_word"),
-        "n_words",
-        F.col("first.doc_id").alias("class_doc"),
-        F.lit(0).alias("class_word"),
-        (F.col("n") - 1).alias("n_links"),
-        F.struct(F.col("doc_id").isNull().alias("no_doc"), "doc_id", "text_hash").eqNullSafe(F.col("first")).alias("kept"),
+    texts = source.join(copies, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = texts.join(spark.read.parquet(steps.paths[-1]), same).select("text", "asked")
+    windows = steps.cut(texts.mapInArrow(_windows(least, gram), "name bigint, stretch bigint, offset int, h1 bigint, h2 bigint"), "passage-windows")
+    from_first = F.struct("first.no_doc", "first.doc_id", "first.text_hash", (F.col("first.at") + F.col("offset")).alias("at"))
+    windows = windows.join(kinds.select(*key, "n", "first"), key).select(*key, "offset", "h1", "h2", "n", from_first.alias("place"))
+    windows = steps.cut(windows, "passage-places")
+    firsts = windows.groupBy("h1", "h2").agg(F.sum("n").alias("places"), F.min("place").alias("first")).filter("places > 1")
+    firsts = steps.cut(firsts, "passage-firsts")
+
+    # Of each stretch, the parts that have one first place.
+    doc = F.struct("first.no_doc", "first.doc_id", "first.text_hash")
+    found = windows.join(firsts, ["h1", "h2"]).select(*key, "offset", "places", doc.alias("doc"), (F.col("first.at") - F.col("offset")).alias("shift"))
+    line = Window.partitionBy(*key, "doc", "shift").orderBy("offset")
+    found = found.withColumn("island", F.col("offset") - F.row_number().over(line)).groupBy(*key, "doc", "shift", "island").agg(F.min("offset").alias("offset"), F.count("*").cast("int").alias("m"), F.max("places").alias("places"))
+    found = found.select(*key, "offset", "m", "doc", (F.col("shift") + F.col("offset")).alias("at"), "places")
+    alone = kinds.filter("n > 1").join(several, "name", "left_anti").select(*key, F.lit(0).alias("offset"), "m", doc.alias("doc"), F.col("first.at").alias("at"), F.col("n").alias("places"))
+    parts = steps.cut(found.unionByName(alone), "passage-parts")
+
+    # Back to all places of a stretch; what goes on in the next stretch is one span.
+    own = hits.select(*key, "doc_id", "text_hash", "start").distinct()
+    own = own.join(parts.withColumnRenamed("doc", "class"), key).select("doc_id", "text_hash", "class", (F.col("start") + F.col("offset")).alias("start"), "m", "places", (F.col("at") - F.col("start") - F.col("offset")).alias("shift"))
+    line = ["doc_id", "text_hash", "class", "shift"]
+    order = Window.partitionBy(*line).orderBy("start")
+    before = F.lag(F.col("start") + F.col("m")).over(order)
+    spans = own.withColumn("new", F.when(before == F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
+    spans = spans.groupBy(*line, "island").agg(F.min("start").alias("start"), F.sum("m").alias("m"), F.max("places").alias("places"))
+    return steps.end(
+        spans.select(
+            "doc_id",
+            F.col("start").alias("start_word"),
+            (F.col("m") + (least - 1)).cast("int").alias("n_words"),
+            F.col("class.doc_id").alias("class_doc"),
+            (F.col("start") + F.col("shift")).alias("class_word"),
+            (F.col("places") - 1).alias("n_links"),
+            (F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("text_hash") == F.col("class.text_hash")) & (F.col("shift") == 0)).alias("kept"),
+        ),
+        "passages",
     )
-    found = cut(spans.unionByName(whole), "passages")
-    for path in written:
-        delete(spark, path)
-    return found

@@ -63,6 +63,28 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Steps:
+    """The tables that a job writes between its steps; they go when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        """As cut(), in a table that end() deletes."""
+        self.paths.append(scratch(self.spark, label))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def end(self, df: DataFrame, label: str) -> DataFrame:
+        """The result as a table of its own; the steps before it are deleted."""
+        out = cut(df, label)
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
+        free_shuffles(self.spark)
+        return out
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
