@@ -14,7 +14,11 @@ from . import strip
 #: Cyrillic letters and the Latin ones that an echo takes for them.
 CYRILLIC = "АВСЕНКМОРТХУаеорсухД"
 LATIN = "ABCEHKMOPTXYaeopcyxD"
-#: Math, closed or not, or else a brace.
+#: Delimiters of math and what stands for them.
+DELIMITERS = ((r"\(", "$"), (r"\)", "$"), (r"\[", "$$"), (r"\]", "$$"))
+#: Fixed value: a citation.
+CITATION = "【[^】]*】"
+#: Fixed value: math, closed or not, or else a brace.
 MATH_OR_BRACE = r"(\$\$[\s\S]*?\$\$|\$\$[\s\S]*|\$[^$]+\$|\$[^$]*)|[{}]"
 
 
@@ -35,8 +39,8 @@ def reply_text(blocks: Column) -> Column:
 
 
 def clean_formatting(text: Column) -> Column:
-    text = F.regexp_replace(text, "【[^】]*】", "")
-    for old, new in ((r"\(", "$"), (r"\)", "$"), (r"\[", "$$"), (r"\]", "$$")):
+    text = F.regexp_replace(text, CITATION, "")
+    for old, new in DELIMITERS:
         text = F.replace(text, F.lit(old), F.lit(new))
     return strip(F.regexp_replace(text, "  +", " "))
 
@@ -45,11 +49,11 @@ def normalize_echo(text: Column) -> Column:
     return F.translate(text, CYRILLIC, LATIN)
 
 
-#: Pattern and replacement, in order: how inline math reads as plain text.
+#: Pattern and replacement, in order: how inline math reads as plain text.
 PLAIN_STEPS = (
-    (r"\\text\s*\{([^}]*)\}", "1"),
-    (r"\\frac\s*\{([^}]*)\}\{([^}]*)\}", "1/2"),
-    (r"\\sqrt\s*\{([^}]*)\}", "√1"),
+    (r"\\text\s*\{([^}]*)\}", "$1"),
+    (r"\\frac\s*\{([^}]*)\}\{([^}]*)\}", "$1/$2"),
+    (r"\\sqrt\s*\{([^}]*)\}", "√$1"),
     (r"\\[a-zA-Z]+", ""),
     (r"[{}_\\^]", ""),
     (r"\s+", " "),
@@ -58,11 +62,12 @@ PLAIN_STEPS = (
 
 def latex_to_plain(latex: Column) -> Column:
     for pattern, to in PLAIN_STEPS:
-        latex = F.regexp_replace(latex, "(?U)" + pattern, re.sub(r"(\d)", r"$\1", to))
+        latex = F.regexp_replace(latex, "(?U)" + pattern, to)
     return strip(latex)
 
 
-_STEPS = [(re.compile(p), re.sub(r"(\d)", r"\\\1", to)) for p, to in PLAIN_STEPS]
+#: Python writes a group as \\1 where Java writes $1.
+_STEPS = [(re.compile(p), to.replace("$", "\\")) for p, to in PLAIN_STEPS]
 _SCRIPTS = str.maketrans(CYRILLIC, LATIN)
 #: Display math, an inline formula, or what follows a dollar sign that none closes.
 _PART = re.compile(r"\$\$.*?\$\$|\$\$.*|\$([^$]*)\$|\$[^$]*\Z", re.S)
@@ -101,8 +106,12 @@ def remove_latex_echoes(text: pd.Series) -> pd.Series:
     return text.map(drop_echo)
 
 
+#: Fixed value: a short name with a decimal number, twice in a row.
+PLAIN_ECHO = r"([A-ZА-ЯЁa-zа-яё]{1,5}\s*=\s*\d+[,.]\d+)\s*\1"
+
+
 def remove_plain_echoes(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)([A-ZА-ЯЁa-zа-яё]{1,5}\s*=\s*\d+[,.]\d+)\s*\1", "$1")
+    return F.regexp_replace(text, "(?U)" + PLAIN_ECHO, "$1")
 
 
 def clean_outside_math(text: Column, mode: str = "strict") -> Column:
@@ -122,10 +131,11 @@ def clean_answer(text: Column, mode: str = "strict") -> Column:
 
 def display_text(raw: Column) -> Column:
     """What the client shows; as there, display delimiters lose one of their signs."""
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), "【[^】]*】", "")
-    for old in (r"\(", r"\)", r"\[", r"\]"):
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), CITATION, "")
+    for old, _ in DELIMITERS:
         text = F.replace(text, F.lit(old), F.lit("$"))
     text = F.regexp_replace(text, r"([^\n])\$\$", "$1\n\\$")
     text = F.regexp_replace(text, r"\$\$([^\n])", "\\$\n$1")
-    text = F.regexp_replace(text, r"(?<!\$[^$]{0,10000})\{,\}(?![^$]*\$)", ",")
+    # A dollar sign before or behind protects {,}, however far away: so only texts without one change.
+    text = F.when(F.contains(text, F.lit("$")), text).otherwise(F.replace(text, F.lit("{,}"), F.lit(",")))
     return strip(F.regexp_replace(text, "\n{4,}", "\n\n\n"))

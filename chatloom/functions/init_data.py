@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The fields of a user, and the word that signing begins with.
+SIGNING_WORD = b"WebAppData"
 USER = "id BIGINT, first_name STRING, last_name STRING, username STRING, language_code STRING, is_premium BOOLEAN, photo_url STRING"
 
 
@@ -44,7 +46,7 @@ def base_string(values: Column) -> Column:
 
 def signature(bot_token: str):
     """HMAC-SHA256 chain over the base string; Spark has no keyed hash of its own."""
-    key = hmac.new(b"WebAppData", bot_token.encode(), hashlib.sha256).digest()
+    key = hmac.new(SIGNING_WORD, bot_token.encode(), hashlib.sha256).digest()
 
     @F.pandas_udf(T.StringType())
     def sign(text: pd.Series) -> pd.Series:

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import operators as op
 from .. import streaming
-from ..functions import answers
+from ..functions import answers, init_data
 from ..operators import quota
+from ..operators import requests as rq
 from ..sources import table
-from .lookups import PLAN_SQL, plans
+from .lookups import PLAN_SQL, UNLIMITED, plans
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 SQL["api_send_message"] = f"""
 WITH last AS (SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id),
-u AS (SELECT user_id, count(*) AS used FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY user_id)
+u AS (SELECT user_id, arg_max(used, day) AS used FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY ALL) GROUP BY user_id)
 SELECT conv_id, CASE WHEN c_custkey IS NULL THEN 404 WHEN trim(text) = '' THEN 400 WHEN coalesce(coalesce(used, 0) >= daily, false) THEN 429 ELSE 200 END AS status,
        substring(text, 1, 80) AS title
 FROM last LEFT JOIN customer ON c_custkey = conv_id + 1 AND c_acctbal >= 0 LEFT JOIN u ON user_id = c_custkey LEFT JOIN {PLAN_SQL} ON segment = c_mktsegment
@@ -27,11 +28,16 @@ WHERE role = 'user'
 """
 
 
+def last_day(spark, d):
+    """user_id, used: requests on the last day that the user made any."""
+    return op.latest_child(quota.daily_usage(table(spark, d, "events")), "user_id", ["day"], ["used"])
+
+
 def api_send_message(spark, d):
-    """What each waiting question gets: no owner in good standing, blank, over quota, or served."""
+    """What each waiting question gets: no owner in good standing, blank, over quota on the user's last day, or served."""
     last = op.latest_child(table(spark, d, "conversations"), "conv_id", ["turn"], ["turn", "role", "text"]).filter("role = 'user'")
     users = table(spark, d, "customer").filter("c_acctbal >= 0").select((F.col("c_custkey") - 1).alias("conv_id"), "c_custkey", F.col("c_mktsegment").alias("segment"))
-    used = quota.usage(table(spark, d, "events").filter(F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-03 00:00:00")))).select(F.col("user_id").alias("c_custkey"), "used")
+    used = last_day(spark, d).withColumnRenamed("user_id", "c_custkey")
     joined = last.join(users, "conv_id", "left").join(used, "c_custkey", "left").join(plans(spark).select("segment", "daily"), "segment", "left")
     over = F.coalesce(F.coalesce("used", F.lit(0)) >= F.col("daily"), F.lit(False))
     status = F.when(F.col("c_custkey").isNull(), 404).when(fn.strip(F.col("text")) == "", 400).when(over, 429).otherwise(200)
@@ -79,9 +85,260 @@ SQL["x_stream_daily_usage"] = "SELECT user_id, CAST(ts AS DATE) AS day, count(*)
 def x_stream_daily_usage(spark, d):
     """Beyond the service: its usage counter as a stream, equal to the batch count once drained."""
     name = f"usage_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/chatloom-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return streaming.run_once(streaming.daily_counter(streaming.event_stream(spark, d, "events.parquet")), f"{base}/{name}")
 
 
-for _f in (api_send_message, api_me, api_health, api_thread_cleaned, x_stream_daily_usage):
+# A batch of requests over whole tables: two for each conversation with a question, some from strangers, some blank, some spoken or seen.
+BATCH_SQL = f"""
+WITH conv AS (
+    SELECT conv_id, conv_id + 1 AS user_id, CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 2 THEN 'Chat ' || conv_id END AS title,
+           CASE WHEN conv_id % 5 > 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS updated_at, max(turn) AS last_turn
+    FROM conversations GROUP BY conv_id),
+asked AS (SELECT conv_id, arg_min(text, turn) AS first_text, arg_max(text, turn) AS last_text FROM conversations WHERE role = 'user' GROUP BY conv_id),
+req AS (
+    SELECT conv_id * 2 + k AS request_id, conv_id, conv_id + CASE WHEN conv_id % 7 = 3 THEN 2 ELSE 1 END AS uid,
+           CASE WHEN conv_id % 11 = 0 THEN ' 12' WHEN conv_id % 11 = 1 THEN 'x' END AS header,
+           CASE (conv_id + k) % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'audio' ELSE 'image' END AS kind,
+           CASE WHEN conv_id % 10 = 9 THEN '  ' WHEN conv_id % 10 = 8 THEN '' WHEN k = 0 THEN first_text ELSE last_text END AS text
+    FROM asked, (VALUES (0), (1)) AS v(k)),
+today AS (SELECT user_id, arg_max(used, day) AS used FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY ALL) GROUP BY user_id),
+ent AS (SELECT c_custkey AS user_id, coalesce(used, 0) AS used, daily FROM customer LEFT JOIN today ON user_id = c_custkey JOIN {PLAN_SQL} ON segment = c_mktsegment),
+done AS (
+    SELECT r.*, title, last_turn, CASE
+        WHEN kind = 'text' AND NOT length(text) BETWEEN 1 AND 4000 THEN 422 WHEN c.conv_id IS NULL THEN 404
+        WHEN uid NOT IN (7, 12, 400) AND coalesce(header, '') <> ' 12' AND coalesce(used >= daily, false) THEN 429
+        WHEN kind <> 'text' AND trim(text) = '' THEN 400 ELSE 200 END AS status
+    FROM req r LEFT JOIN conv c ON c.conv_id = r.conv_id AND c.user_id = r.uid LEFT JOIN ent ON ent.user_id = uid)
+"""
+
+
+def batch(spark, d):
+    """(conversations, requests, entitlements, outcomes) of BATCH_SQL."""
+    turns, k = table(spark, d, "conversations"), F.col("conv_id")
+    conversations = turns.groupBy("conv_id").agg(F.max("turn").alias("last_turn")).select(
+        "conv_id",
+        (k + 1).alias("user_id"),
+        F.when(k % 3 == 0, "").when(k % 3 == 2, F.concat(F.lit("Chat "), k.cast("string"))).alias("title"),
+        F.when(k % 5 > 0, F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))).alias("updated_at"),
+        "last_turn",
+    )
+    asked = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"), F.max_by("text", "turn").alias("last_text"))
+    n = F.col("n")
+    requests = asked.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        (k * 2 + n).alias("request_id"),
+        "conv_id",
+        (k + F.when(k % 7 == 3, 2).otherwise(1)).alias("uid"),
+        F.when(k % 11 == 0, " 12").when(k % 11 == 1, "x").alias("header"),
+        F.when((k + n) % 3 == 0, "text").when((k + n) % 3 == 1, "audio").otherwise("image").alias("kind"),
+        F.when(k % 10 == 9, "  ").when(k % 10 == 8, "").when(n == 0, F.col("first_text")).otherwise(F.col("last_text")).alias("text"),
+    )
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+    entitlements = users.join(last_day(spark, d), "user_id", "left").join(plans(spark).select("segment", "daily"), "segment").select("user_id", F.coalesce("used", F.lit(0)).alias("used"), "daily")
+    return conversations, requests, entitlements, rq.message_outcomes(requests, conversations, entitlements, F.lit(UNLIMITED))
+
+
+SQL["api_post_message_outcomes"] = BATCH_SQL + "SELECT request_id, conv_id, uid, kind, status FROM done"
+
+
+def api_post_message_outcomes(spark, d):
+    return batch(spark, d)[3].select("request_id", "conv_id", "uid", "kind", "status")
+
+
+SQL["api_post_message_rows"] = BATCH_SQL + """,
+served AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY request_id) AS n FROM done WHERE status = 200)
+SELECT conv_id, turn, role, text AS content, 'text' AS input_type, CAST(0 AS BIGINT) AS tokens_used FROM conversations
+UNION ALL SELECT conv_id, last_turn + 2 * n - 1, 'user', text, kind, 0 FROM served
+UNION ALL SELECT conv_id, last_turn + 2 * n, 'assistant', CASE WHEN request_id % 13 = 5 THEN '[error: run expired]' ELSE 'Re ' || request_id END, 'text',
+                 CASE WHEN request_id % 13 = 5 OR request_id % 4 = 0 THEN 0 ELSE request_id % 100 END FROM served
+"""
+
+
+def api_post_message_rows(spark, d):
+    """The messages behind the batch; the assistant's raw replies are given, cleaned here."""
+    _, requests, _, outcomes = batch(spark, d)
+    k = F.col("request_id")
+    failed = k % 13 == 5
+    replies = requests.select(
+        "request_id",
+        F.when(failed, "expired").otherwise("completed").alias("run"),
+        answers.clean_answer(F.concat(F.lit("【1】Re  {"), k.cast("string"), F.lit("}"))).alias("reply"),
+        F.when(k % 4 != 0, k % 100).alias("tokens"),
+    )
+    old = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"), F.lit("text").alias("input_type"), F.lit(0).cast("long").alias("tokens_used"))
+    return old.unionByName(rq.appended_messages(outcomes, replies))
+
+
+SQL["api_post_message_conversations"] = BATCH_SQL + """,
+f AS (SELECT conv_id, arg_min(text, request_id) AS text FROM done WHERE status = 200 GROUP BY conv_id)
+SELECT conv_id, user_id, CASE WHEN text IS NULL THEN title ELSE coalesce(nullif(title, ''), substring(text, 1, 80)) END AS title,
+       CASE WHEN text IS NULL THEN updated_at ELSE TIMESTAMP '2024-06-01 12:00:00' END AS updated_at
+FROM conv LEFT JOIN f USING (conv_id)
+"""
+NOW = "2024-06-01 12:00:00"
+
+
+def api_post_message_conversations(spark, d):
+    conversations, _, _, outcomes = batch(spark, d)
+    return rq.touched_conversations(conversations.drop("last_turn"), outcomes, F.to_timestamp_ntz(F.lit(NOW)))
+
+
+SQL["api_post_message_usage"] = BATCH_SQL + """
+SELECT user_id, used + coalesce(more, 0) AS used, daily FROM ent LEFT JOIN (SELECT uid, count(*) AS more FROM done WHERE status = 200 GROUP BY uid) ON uid = user_id
+"""
+
+
+def api_post_message_usage(spark, d):
+    _, _, entitlements, outcomes = batch(spark, d)
+    return rq.bumped_usage(entitlements, outcomes)
+
+
+SQL["a2_reply_tokens"] = """
+SELECT conv_id, turn, CASE WHEN turn % 5 = 1 OR turn % 4 = 3 THEN 0 ELSE length(text) END AS tokens_used FROM conversations WHERE role = 'assistant'
+"""
+
+
+def a2_reply_tokens(spark, d):
+    t = F.col("turn")
+    replies = table(spark, d, "conversations").filter("role = 'assistant'")
+    return replies.select("conv_id", "turn", rq.reply_tokens(F.when(t % 5 == 1, "failed").otherwise("completed"), F.when(t % 4 != 3, F.length("text"))).alias("tokens_used"))
+
+
+SQL["api_delete_outcomes"] = BATCH_SQL + """
+SELECT r.conv_id, r.uid, CASE WHEN c.conv_id IS NULL THEN 404 ELSE 204 END AS status
+FROM (SELECT DISTINCT conv_id, uid FROM req) r LEFT JOIN conv c ON c.conv_id = r.conv_id AND c.user_id = r.uid
+"""
+
+
+def delete_batch(spark, d):
+    conversations, requests, _, _ = batch(spark, d)
+    return conversations, rq.deletions(requests.select("conv_id", "uid").distinct(), conversations)
+
+
+def api_delete_outcomes(spark, d):
+    return delete_batch(spark, d)[1]
+
+
+SQL["api_delete_messages_left"] = BATCH_SQL + """
+SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT r.conv_id FROM req r JOIN conv c ON c.conv_id = r.conv_id AND c.user_id = r.uid)
+"""
+
+
+def api_delete_messages_left(spark, d):
+    conversations, outcomes = delete_batch(spark, d)
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return op.cascade_delete(conversations, turns, outcomes.filter(F.col("status") == rq.DELETED), "conv_id", "conv_id")[1]
+
+
+SQL["api_create_conversations"] = """
+SELECT c_custkey AS uid, CASE WHEN c_custkey % 9 = 4 THEN 503 ELSE 201 END AS status,
+       CASE WHEN c_custkey % 9 <> 4 THEN (SELECT coalesce(max(conv_id), 0) FROM conversations) + 1 + c_custkey END AS conv_id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS title
+FROM customer
+"""
+
+
+def api_create_conversations(spark, d):
+    """A new conversation for every user; for some the assistant gave no thread."""
+    top = table(spark, d, "conversations").agg(F.coalesce(F.max("conv_id"), F.lit(0))).first()[0]
+    k = F.col("c_custkey")
+    requests = table(spark, d, "customer").select(
+        k.alias("request_id"), k.alias("uid"), F.when(k % 9 != 4, F.concat(F.lit("thread_"), k.cast("string"))).alias("thread_id"), F.when(k % 2 == 0, F.col("c_name")).alias("title")
+    )
+    return rq.creations(requests, top).select("uid", "status", "conv_id", "title")
+
+
+# Every customer signs in; some are new, some sign wrongly, come late, or say no name.
+SQL["api_auth"] = f"""
+WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS uid FROM customer),
+p AS (SELECT * FROM {PLAN_SQL})
+SELECT r.k, CASE WHEN r.k % 6 = 5 THEN 401 ELSE 200 END AS status, r.k % 6 <> 5 AND r.k % 4 <> 3 AND r.k % 7 <> 2 AS validated,
+       CASE WHEN r.k % 6 <> 5 THEN uid END AS uid,
+       CASE WHEN r.k % 6 <> 5 THEN r.k % 10 = 0 END AS is_new_user,
+       CASE WHEN r.k % 6 <> 5 THEN CASE WHEN r.k % 3 = 0 THEN 'nick' || uid WHEN r.k % 10 <> 0 THEN c_name END END AS username,
+       CASE WHEN r.k % 6 <> 5 THEN CASE WHEN r.k % 10 = 0 THEN 'User ' || uid WHEN r.k % 5 = 0 THEN c_mktsegment ELSE 'N' || uid || ' Ü+1' END END AS display_name,
+       CASE WHEN r.k % 6 <> 5 AND r.k % 10 = 0 THEN TIMESTAMP '2024-06-01 12:00:00' END AS accepted_terms_at,
+       CASE WHEN r.k % 6 <> 5 THEN CASE WHEN r.k % 10 = 0 THEN 'free' ELSE coalesce(type, 'free') END END AS plan_type,
+       CASE WHEN r.k % 6 <> 5 THEN CASE WHEN r.k % 10 = 0 OR daily IS NULL THEN 5 ELSE greatest(0, daily - coalesce(used, 0)) END END AS daily_left
+FROM r JOIN customer c ON c.c_custkey = r.k LEFT JOIN p ON segment = c_mktsegment
+LEFT JOIN (SELECT user_id, arg_max(used, day) AS used FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY ALL) GROUP BY user_id) ON user_id = r.k
+"""
+TOKEN = "12:token"
+CLOCK = 1_700_000_000
+
+
+def init_strings(spark, d):
+    """k, raw: one signed string for each customer, with markup that needs decoding twice."""
+    k = F.col("c_custkey")
+    uid = F.when(k % 10 == 0, k + 1_000_000_000).otherwise(k).cast("string")
+    name = F.when(k % 6 == 5, F.lit("")).otherwise(F.concat(F.lit(',"first_name":"'), F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("N"), uid)), F.lit('"')))
+    last = F.when(k % 5 == 0, F.lit("")).otherwise(F.lit(',"last_name":"Ü+1"'))
+    nick = F.when(k % 3 == 0, F.concat(F.lit(',"username":"nick'), uid, F.lit('"'))).otherwise(F.lit(""))
+    user = F.url_encode(F.concat(F.lit('{"id":'), uid, name, last, nick, F.lit("}")))
+    date = F.lit(CLOCK) - F.when(k % 7 == 2, 86_401).otherwise(86_400)
+    unsigned = F.concat(F.lit("user="), F.url_encode(user), F.lit("&query_id=Q%2F1&auth_date="), date.cast("string"), F.lit("&start_param="))
+    rows = table(spark, d, "customer").select(k.alias("k"), unsigned.alias("raw"))
+    signed = init_data.signature(TOKEN)(init_data.base_string(init_data.pairs(F.col("raw"))))
+    return rows.select("k", F.concat("raw", F.lit("&hash="), F.when(F.col("k") % 4 == 3, F.lit("0" * 64)).otherwise(signed)).alias("raw"))
+
+
+def api_auth(spark, d):
+    """Sign-in as one plan: parse, check signature and age, create or update the user, tell the plan. Unsigned strings are parsed as well, as the service does."""
+    values = init_data.pairs(F.col("raw"))
+    read = init_strings(spark, d).select("k", values.alias("v"), init_data.user(values).alias("u"))
+    read = read.withColumn("signed", init_data.signature(TOKEN)(init_data.base_string(F.col("v"))))
+    fresh = ~fn.is_expired(fn.int_or_null(F.col("v")["auth_date"]), F.lit(CLOCK))
+    read = read.select("k", "u", F.coalesce((F.col("signed") == F.col("v")["hash"]) & fresh & F.col("u").isNotNull(), F.lit(False)).alias("validated"))
+    full = fn.strip(F.concat("u.first_name", F.lit(" "), F.coalesce("u.last_name", F.lit(""))))
+    given = read.select(
+        F.col("k").alias("request_id"), F.col("u.id").alias("tg_uid"), F.col("u.username").alias("username"), full.alias("display_name"), fn.first_nonempty(F.col("u.language_code"), F.lit("ru")).alias("language_code")
+    )
+    customers = table(spark, d, "customer")
+    now = F.to_timestamp_ntz(F.lit(NOW))
+    known = customers.select(F.col("c_custkey").alias("tg_uid"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("display_name"), F.lit("en").alias("language_code"), F.lit(None).cast("timestamp_ntz").alias("accepted_terms_at"))
+    users = rq.registered(known, given, now)
+    # The next version of subscriptions: new users get the free plan, whose use begins at nothing.
+    old = customers.select(F.col("c_custkey").alias("sub_uid"), F.col("c_mktsegment").alias("segment")).join(plans(spark).select("segment", "type", "daily"), "segment")
+    old = old.join(last_day(spark, d).withColumnRenamed("user_id", "sub_uid"), "sub_uid", "left").select("sub_uid", "type", "daily", "used")
+    free = op.first_by(plans(spark), F.col("type") == "free", "plan_id").select("type", "daily")
+    new = users.filter("is_new").select(F.col("tg_uid").alias("sub_uid"), F.lit("free").alias("type")).join(free, "type").select("sub_uid", "type", "daily", F.lit(0).cast("long").alias("used"))
+    who = users.join(old.unionByName(new), F.col("tg_uid") == F.col("sub_uid"), "left")
+    out = read.select("k", "validated", F.col("u.id").alias("uid")).join(who, F.col("uid") == F.col("tg_uid"), "left")
+    found = F.col("uid").isNotNull()
+    return out.select(
+        "k",
+        F.when(found, rq.OK).otherwise(rq.UNKNOWN).alias("status"),
+        "validated",
+        "uid",
+        F.when(found, F.col("is_new")).alias("is_new_user"),
+        "username",
+        "display_name",
+        "accepted_terms_at",
+        F.when(found, F.coalesce("type", F.lit(quota.DEFAULT_PLAN))).alias("plan_type"),
+        F.when(found, F.when(F.col("daily").isNull(), F.lit(quota.DEFAULT_DAILY).cast("long")).otherwise(fn.remaining(F.col("daily"), F.col("used")))).alias("daily_left"),
+    )
+
+
+SQL["api_register"] = """
+SELECT tg_uid, CASE WHEN tg_uid % 4 = 0 THEN 'nick' || tg_uid WHEN is_new THEN NULL ELSE c_name END AS username,
+       CASE WHEN tg_uid % 3 = 0 THEN 'Ann' ELSE 'User ' || tg_uid END AS display_name, is_new FROM (
+    SELECT c_custkey AS tg_uid, c_name, false AS is_new FROM customer UNION ALL SELECT c_custkey + 1000000000, c_name, true FROM customer)
+"""
+
+
+def api_register(spark, d):
+    """The bot registers every customer and as many new users, each of them twice; the second time counts."""
+    k = F.col("tg_uid")
+    customers = table(spark, d, "customer")
+    known = customers.select(F.col("c_custkey").alias("tg_uid"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("display_name"), F.lit("en").alias("language_code"), F.lit(None).cast("timestamp_ntz").alias("accepted_terms_at"))
+    ids = known.select(F.explode(F.array(k, k + 1_000_000_000)).alias("tg_uid"))
+    twice = ids.withColumn("request_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    first = F.when(F.col("request_id") == 0, "Old").when(k % 3 == 0, " Ann").otherwise("")
+    given = twice.select("request_id", "tg_uid", F.when(k % 4 == 0, F.concat(F.lit("nick"), k.cast("string"))).alias("username"), fn.display_name(first, F.lit(None).cast("string"), k).alias("display_name"), F.lit("ru").alias("language_code"))
+    return rq.registered(known, given, F.to_timestamp_ntz(F.lit(NOW))).select("tg_uid", "username", "display_name", "is_new")
+
+
+for _f in (
+    api_send_message, api_me, api_health, api_thread_cleaned, x_stream_daily_usage, api_post_message_outcomes, api_post_message_rows, api_post_message_conversations, api_post_message_usage,
+    a2_reply_tokens, api_delete_outcomes, api_delete_messages_left, api_create_conversations, api_auth, api_register,
+):
     QUERIES[_f.__name__] = _f

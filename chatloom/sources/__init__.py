@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Types of the service's own tables.
+#: Types of the service's own tables.
 SCHEMAS = {
     "users": "id INT NOT NULL, tg_uid BIGINT NOT NULL, username STRING, display_name STRING, language_code STRING, is_active BOOLEAN, accepted_terms_at TIMESTAMP_NTZ, accepted_privacy_at TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ",
     "plans": "id INT NOT NULL, name STRING NOT NULL, type STRING, daily_queries INT, monthly_queries INT, price_monthly INT, price_yearly INT, features STRING, is_active BOOLEAN, created_at TIMESTAMP_NTZ",
@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores where its files come in fewer parts than there are cores.
+
+    For expressions that cost much more than moving the rows; a large table has
+    more parts than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 32) -> DataFrame:
     """A live table, read in ranges of its key by as many connections as ``parts``."""
     options = {"url": url, "dbtable": name, "partitionColumn": key, "lowerBound": low, "upperBound": high, "numPartitions": parts}
@@ -40,7 +50,7 @@ def valid_text(text: Column, most: int = 4000) -> Column:
 
 
 def media_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and content of uploads; content is read only where it is used."""
+    """path, length and content of uploads; content is read only where it is used. Spark lists no empty files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 

@@ -14,33 +14,34 @@ def event_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigg
 
 
 def daily_counter(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Requests of each user and day; state of days that the watermark has passed is dropped."""
+    """Requests of each user and day. State of days that the watermark has passed is dropped, and rows later than that don't count."""
     counts = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.count("*").alias("used"))
     return counts.select("user_id", F.col("window.start").cast("date").alias("day"), "used")
 
 
-def run_once(counts: DataFrame, folder: str) -> DataFrame:
-    """Drain the source; each batch's complete table goes to Parquet under ``folder``, and the last one is read back.
+def run_once(counts: DataFrame, folder: str, keys: tuple[str, ...] = ("user_id", "day")) -> DataFrame:
+    """Drain the source; each batch writes the rows that it changed under its own number, and of each key the last batch's row is read.
 
-    Nothing but row counts comes to the driver. A batch that was cut off has no
-    success mark and is written again; those before the last are deleted.
+    A batch that is cut off and comes again overwrites its own folder, so every
+    row counts once. Only changed rows are written, and none comes to the driver.
     """
     spark = counts.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = fs_path(f"{folder}/tables")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def whole() -> list[int]:
-        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(int(n) for n in names if fs.exists(fs_path(f"{folder}/tables/{n}/_SUCCESS")))
+    path = f"{folder}/changes"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/tables/{number}")
-        for old in whole():
-            if old < number:
-                fs.delete(fs_path(f"{folder}/tables/{old}"), True)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    done = whole()
-    return spark.read.schema(counts.schema).parquet(f"{folder}/tables/{done[-1]}") if done else spark.createDataFrame([], counts.schema)
+    return upserted(spark, path, counts, keys)
+
+
+def upserted(spark: SparkSession, path: str, counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The table that the batches' changes add up to."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], counts.schema)
+    values = [c for c in counts.columns if c not in keys]
+    changes = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in counts.schema)}, batch long").parquet(path)
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*[f"last.{c}" if c in values else c for c in counts.columns])

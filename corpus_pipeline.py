@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import bpe, chunk_dedup, cube_mix, minhash, queries, weak_quality
+from chatloom.llm import chunk_dedup, cube_mix, minhash, queries, weak_quality
 from chatloom.llm.runtime import SPACES, cut, table, whole_text
 
 #: Decisions that may be broadcast, at some 100 bytes each; more are joined by a shuffle.
@@ -66,7 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of the identifiers of every document in the mix."""
-    return queries.digest_codes(bpe.encode(docs, queries.RANKS, queries.PATTERN))
+    return queries.token_digests(docs)
 
 
 STAGES = [
