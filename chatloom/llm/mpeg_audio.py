@@ -119,27 +119,39 @@ def store(payload: bytes) -> bytes:
 # Reading.
 
 
+def _syncsafe_of(b: bytes) -> int:
+    return sum((x & 0x7F) << shift for x, shift in zip(reversed(b), (0, 7, 14, 21)))
+
+
 def _tags(data: bytes) -> tuple[int, dict[str, str]]:
-    """Where audio may begin, and the user text fields of an ID3v2.3 or 2.4 tag."""
+    """Where audio may begin, and the user text fields in Latin-1 or UTF-8 of an ID3v2 tag."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0, {}
-    size = sum((b & 0x7F) << shift for b, shift in zip(data[6:10], (21, 14, 7, 0)))
-    at, end, out = 10, min(10 + size, len(data)), {}
-    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
-        n = data[at + 4 : at + 8]
-        length = sum((b & 0x7F) << s for b, s in zip(n, (21, 14, 7, 0))) if data[3] == 4 else int.from_bytes(n, "big")
-        body = data[at + 10 : min(at + 10 + length, end)]
-        if data[at : at + 4] == b"TXXX" and body[:1] in (b"\0", b"\3"):
-            key, _, value = body[1:].decode("latin-1" if body[0] == 0 else "utf-8", "replace").partition("\0")
+    version, flags, size = data[3], data[5], _syncsafe_of(data[6:10])
+    stop = min(10 + size + 10 * bool(flags & 0x10), len(data))
+    body, out = data[10 : 10 + size], {}
+    if flags & 0x80:
+        body = body.replace(b"\xff\x00", b"\xff")
+    wide = 4 if version > 2 else 3
+    at = 0
+    if flags & 0x40 and version > 2:
+        at = _syncsafe_of(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    head = wide + (6 if version > 2 else 3)
+    while at + head <= len(body) and body[at : at + wide].strip(b"\0"):
+        n = body[at + wide : at + 2 * wide]
+        length = _syncsafe_of(n) if version == 4 else int.from_bytes(n, "big")
+        field = body[at + head : at + head + length]
+        if body[at : at + wide] in (b"TXXX", b"TXX") and field[:1] in (b"\0", b"\3"):
+            key, _, value = field[1:].decode("latin-1" if field[0] == 0 else "utf-8", "replace").partition("\0")
             out[key] = value.rstrip("\0")
-        at += 10 + length
-    return end, out
+        at += head + length
+    return stop, out
 
 
 def _table(data: bytes, at: int, h: Header) -> dict | None:
-    """A Xing, Info or VBRI table in the frame at ``at``."""
+    """A Xing, Info or VBRI table in the frame at ``at``; toc is the seek table, in 256ths of the bytes or as VBRI's steps in bytes."""
     x = at + 4 + 2 * h.protected + h.side
-    number = lambda p: int.from_bytes(data[p : p + 4], "big")
+    number = lambda p, n=4: int.from_bytes(data[p : p + n], "big")
     if data[x : x + 4] in (b"Xing", b"Info"):
         flags, p, out = number(x + 4), x + 8, {"kind": data[x : x + 4].decode(), "frames": None, "bytes": None, "toc": None}
         for bit, name in ((1, "frames"), (2, "bytes")):
@@ -148,32 +160,58 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
         if flags & 4:
             out["toc"] = list(data[p : p + 100])
         return out
-    if data[at + 36 : at + 40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": number(at + 46), "frames": number(at + 50), "toc": None}
+    v = at + 36
+    if data[v : v + 4] == b"VBRI":
+        entries, scale, width = number(v + 18, 2), number(v + 20, 2), number(v + 22, 2)
+        steps = [number(v + 26 + k * width, width) * scale for k in range(entries) if v + 26 + (k + 1) * width <= at + h.size]
+        return {"kind": "VBRI", "bytes": number(v + 10), "frames": number(v + 14), "toc": steps}
     return None
 
 
+def _checksum(data: bytes, at: int, h: Header) -> bool | None:
+    """Whether a protected frame's checksum is right; None where it isn't verified: Layer II, or no checksum.
+
+    Layer III protects the side information, Layer I the bit allocation, whose
+    subbands from the bound on both channels of joint stereo share.
+    """
+    if not h.protected or h.layer == 2:
+        return None
+    n = h.side
+    if h.layer == 1:
+        mode, extension = data[at + 3] >> 6, data[at + 3] >> 4 & 3
+        n = 16 if h.mono else (32 + (4 * (extension + 1) if mode == 1 else 32)) // 2
+    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + n]) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def read(data: bytes | None) -> dict:
     """What a stream holds.
 
     payload: the bytes of all frames behind their side information, cut to the
-    length that the tag names. A frame counts where its header is followed by
-    another one of its kind or by the end; bytes between frames are skipped and
-    counted. A frame with a wrong checksum still counts and is counted as bad;
-    checksums are verified for Layer III. Null is read as an empty stream.
+    length that the tag names. Where a frame ends the next one begins, if there
+    is a header of its kind that another one or the end follows, or whose
+    checksum isn't wrong. At the start and after any other bytes, which are
+    skipped and counted, both must hold; so a frame between garbage on both
+    sides is garbage too. A frame with a wrong checksum in the row of others
+    still counts and is counted as bad. Checksums are verified for Layers I and
+    III; protected frames of
+    Layer II are counted as unchecked. Free format isn't read. Null is read as
+    an empty stream.
     """
     data = data or b""
     at, tags = _tags(data)
     stop = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    out = {"version": None, "layer": None, "rate": None, "channels": None, "samples": 0, "frames": 0, "bad_crc": 0, "skipped": 0, "table": None, "offsets": [], "kbits": 0}
-    kind, bodies = None, []
+    out = {"version": None, "layer": None, "rate": None, "channels": None, "samples": 0, "frames": 0, "bad_crc": 0, "unchecked": 0, "skipped": 0, "table": None, "offsets": [], "kbits": 0}
+    kind, bodies, in_step = None, [], False
+    of = lambda h: (h.version, h.layer, h.rate)
     while at + 4 <= stop:
         h = header(data[at : at + 4])
-        ok = h is not None and at + h.size <= stop and (kind is None or (h.version, h.layer, h.rate) == kind)
-        if ok and at + h.size + 4 <= stop:
-            after = header(data[at + h.size : at + h.size + 4])
-            # A first frame needs a second; later ones may stand before garbage.
-            ok = kind is not None or (after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate))
+        ok = h is not None and at + h.size <= stop and (kind is None or of(h) == kind)
+        if ok:
+            after = at + h.size
+            follows = header(data[after : after + 4]) if after + 4 <= stop else None
+            goes_on, right = kind is not None and after == stop or follows is not None and of(follows) == of(h), _checksum(data, at, h)
+            ok = goes_on or right is not False if in_step else goes_on and right is not False
+        in_step = ok
         if not ok:
             nxt = data.find(b"\xff", at + 1, stop)
             nxt = stop if nxt < 0 else nxt
@@ -181,20 +219,18 @@ def read(data: bytes | None) -> dict:
             at = nxt
             continue
         first = kind is None
-        kind = (h.version, h.layer, h.rate)
+        kind = of(h)
         if first:
             out.update(version=h.version, layer=h.layer, rate=h.rate, channels=1 if h.mono else 2)
             out["table"] = _table(data, at, h)
         if not (first and out["table"]):
-            body = at + 4 + 2 * h.protected + h.side
-            if h.protected and h.layer == 3:
-                seen = crc16(data[at + 2 : at + 4] + data[at + 6 : body])
-                out["bad_crc"] += seen != int.from_bytes(data[at + 4 : at + 6], "big")
+            out["bad_crc"] += right is False
+            out["unchecked"] += right is None and h.protected
             out["offsets"].append(at)
             out["frames"] += 1
             out["samples"] += h.samples
             out["kbits"] += h.kbits
-            bodies.append(data[body : at + h.size])
+            bodies.append(data[at + 4 + 2 * h.protected + h.side : at + h.size])
         at += h.size
     if at < stop:
         out["skipped"] += stop - at
@@ -232,7 +268,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 READ = (
     "payload binary, version string, layer int, rate int, channels int, frames bigint, samples bigint,"
-    " duration_us bigint, kbits bigint, bad_crc bigint, skipped bigint, table_kind string, table_frames bigint,"
+    " duration_us bigint, kbits bigint, bad_crc bigint, unchecked bigint, skipped bigint, table_kind string, table_frames bigint,"
     " table_bytes bigint, offsets array<bigint>"
 )
 
@@ -240,9 +276,12 @@ READ = (
 def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     """The columns of ``media`` and, under ``read``, what ``read`` finds: a struct of the columns in READ.
 
-    The duration is exact as samples / rate; duration_us is rounded down. Null
-    media is an empty stream: no frames, null format.
+    The duration is exact as samples / rate; duration_us is rounded down; offsets
+    has the byte at which each frame begins. Null media is an empty stream: no
+    frames, null format. A table that has a column ``read`` is refused.
     """
+    if "read" in media.columns:
+        raise ValueError("the table has a column named read")
     arrow_batches(media.sparkSession)
     names = media.columns
     fields = [f.strip().split(" ") for f in READ.split(",")]
