@@ -2,27 +2,31 @@
 
 The model's alphabet is 256 printable characters, one for each byte. A text is
 split by the vocabulary's pattern, each piece is written in that alphabet and
-merged by the model. Pieces repeat, so each worker keeps a bounded cache of
-what the model has answered; the cache changes speed, never results.
+merged by the model; decoding turns the alphabet's characters back into bytes.
+Pieces repeat, so each worker keeps a cache of what the model has answered,
+bounded in bytes; it changes speed, never results. Merges are worked out once on
+the driver and broadcast with the vocabulary, whose file bounds their size.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
-from .runtime import arrow_batches, whole_text
+from .runtime import arrow_batches, spread, whole_text
 
-#: Entries each of a worker's two caches may hold.
-CACHE = 200_000
+#: Bytes each of a worker's two caches may hold, with some ENTRY bytes for each entry's objects.
+CACHE, ENTRY = 24 << 20, 180
 #: Where a space may not part two pieces: white space, a space, then white space or the end.
 _RUN = re.compile(r"\s (?!\S)")
 #: White space as the vocabulary's own library has it: the Unicode property.
@@ -61,45 +65,86 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return out
 
 
+class Vocabulary(NamedTuple):
+    """Tokens spelled in the alphabet, by identifier and separated by line feeds, and the identifiers that merge, in order."""
+
+    spelled: str
+    merges: bytes
+
+
+@functools.lru_cache(maxsize=4)
+def vocabulary(ranks_path: str) -> Vocabulary:
+    ranks, alphabet = read_ranks(ranks_path), byte_alphabet()
+    table = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = "".join(alphabet[b] for b in token)
+    pairs = [(ranks[a], ranks[b]) for a, b in merges_of(ranks)]
+    return Vocabulary("\n".join(table), np.array(pairs, np.int32).tobytes())
+
+
 class _Known(dict):
     """A bounded cache: asks ``make`` for what it lacks and keeps it while there is room."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, room: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.room = make, room
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.most and len(key) < 64:
+        if self.room > 0 and len(key) < 64:
+            self.room -= ENTRY + 2 * len(key) + len(value)
             self[key] = value
         return value
 
 
-class Codec:
-    """Encodes text to identifiers and identifiers to bytes, by one file of ranks."""
-
-    def __init__(self, ranks_path: str, pattern: str, cache: int = CACHE):
-        ranks = read_ranks(ranks_path)
-        alphabet = byte_alphabet()
-        self._letters = dict(enumerate(alphabet))
-        spell = lambda b: "".join(alphabet[x] for x in b)
-        self._model = BPE(
-            {spell(t): r for t, r in ranks.items()},
-            [(spell(a), spell(b)) for a, b in merges_of(ranks)],
-            cache_capacity=0,
-            ignore_merges=True,
-        )
+class Decoder:
+    """Turns identifiers back into bytes by the reversed byte alphabet."""
+
+    def __init__(self, v: Vocabulary):
+        byte = {c: b for b, c in enumerate(byte_alphabet())}
+        table = [bytes(map(byte.__getitem__, token)) for token in v.spelled.split("\n")]
+        self._lens = np.array([len(t) for t in table], np.int64)
+        self._starts = np.cumsum(self._lens) - self._lens
+        self._blob = np.frombuffer(b"".join(table), np.uint8)
+
+    def flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all identifiers in a row, and where each one's bytes end."""
+        lens = self._lens[ids]
+        ends = np.cumsum(lens)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self._starts[ids] - (ends - lens), lens)
+        return self._blob[at], ends
+
+    def decode(self, ids) -> bytes:
+        return self.flat(np.asarray(ids, np.int64))[0].tobytes()
+
+    def spans(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Character spans [start, end) of the tokens whose bytes end there, a row for each.
+
+        A token that holds a part of a character spans the whole character, so
+        neighbours that split one character overlap there.
+        """
+        char = np.cumsum((data & 0xC0) != 0x80)  # 1-based character of each byte
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        return np.stack([char[starts] - 1, char[ends - 1]], axis=1) if len(ends) else np.empty((0, 2), np.int64)
+
+    def offsets(self, ids) -> list[tuple[int, int]]:
+        return [tuple(x) for x in self.spans(*self.flat(np.asarray(ids, np.int64))).tolist()]
+
+
+class Codec(Decoder):
+    """Encodes text to identifiers too, by the vocabulary's merges."""
+
+    def __init__(self, v: Vocabulary, pattern: str, cache: int = CACHE):
+        super().__init__(v)
+        self._letters = dict(enumerate(byte_alphabet()))
+        tokens = v.spelled.split("\n")
+        pairs = np.frombuffer(v.merges, np.int32).reshape(-1, 2).tolist()
+        self._model = BPE({t: i for i, t in enumerate(tokens) if t}, [(tokens[a], tokens[b]) for a, b in pairs], cache_capacity=0, ignore_merges=True)
         pattern = pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")
         self._split = regex.compile(pattern).findall
         self._pieces = _Known(self._merge, cache)
         self._chunks = _Known(self._chunk, cache)
-        self.vocab_size = max(ranks.values()) + 1
-        table = [b""] * self.vocab_size
-        for token, rank in ranks.items():
-            table[rank] = token
-        self._lens = np.array([len(t) for t in table], np.int64)
-        self._starts = np.cumsum(self._lens) - self._lens
-        self._blob = np.frombuffer(b"".join(table), np.uint8)
+        self.vocab_size = len(tokens)
 
     def _merge(self, piece: str) -> bytes:
         spelled = piece.encode().decode("latin-1").translate(self._letters)
@@ -122,42 +167,37 @@ class Codec:
         head, *rest = text.split(" ")
         return self._join(head) + b"".join(map(self._chunks.__getitem__, rest))
 
-    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all identifiers in a row, and where each one's bytes end."""
-        lens = self._lens[ids]
-        ends = np.cumsum(lens)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self._starts[ids] - (ends - lens), lens)
-        return self._blob[at], ends
 
-    def decode(self, ids) -> bytes:
-        return self.decode_flat(np.asarray(ids, np.int64))[0].tobytes()
+_OF_WORKER: dict[tuple, Decoder] = {}
 
-    def offsets(self, ids) -> list[tuple[int, int]]:
-        """Character spans [start, end) of identifiers in the text they spell.
 
-        A token that holds a part of a character spans the whole character, so
-        neighbours that split one character overlap there.
-        """
-        data, ends = self.decode_flat(np.asarray(ids, np.int64))
-        char = np.cumsum((data & 0xC0) != 0x80)  # 1-based character of each byte
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        return [(int(char[s]) - 1, int(char[e - 1])) for s, e in zip(starts, ends)]
+def _shipped(spark: SparkSession, ranks_path: str, make: Callable[[Vocabulary], Decoder], *key) -> Callable[[], Decoder]:
+    """For tasks: one codec or decoder per worker process, made from the broadcast vocabulary."""
+    sent = spark.sparkContext.broadcast(vocabulary(ranks_path))
+    key = (ranks_path, *key)
+
+    def get() -> Decoder:
+        if key not in _OF_WORKER:
+            _OF_WORKER[key] = make(sent.value)
+        return _OF_WORKER[key]
+
+    return get
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+def codec(spark: SparkSession, ranks_path: str, pattern: str) -> Callable[[], Codec]:
+    return _shipped(spark, ranks_path, lambda v: Codec(v, pattern), pattern)
 
 
-def codec(ranks_path: str, pattern: str) -> Codec:
-    """One codec per worker process."""
-    key = (ranks_path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(ranks_path, pattern)
-    return _CODECS[key]
+def decoder(spark: SparkSession, ranks_path: str) -> Callable[[], Decoder]:
+    return _shipped(spark, ranks_path, Decoder)
 
 
-def _lists(parts: list[bytes], width: int) -> tuple[np.ndarray, bytes]:
-    ends = np.cumsum([0, *(len(p) // width for p in parts)]).astype(np.int32)
-    return ends, b"".join(parts)
+def _ends(sizes) -> pa.Array:
+    return pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+
+
+def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def encode(
@@ -167,32 +207,46 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     offsets: bool = False,
+    decoded: bool = False,
 ) -> DataFrame:
-    """doc_id, ids array<int> and, if asked for, offsets array<array<int>> (character spans).
+    """doc_id, ids array<int> and, if asked for, offsets array<array<int>> (character spans) and decoded binary.
 
-    Null and empty texts give an empty list; repeated rows give repeated rows;
-    an empty table gives an empty result. Other columns are ignored.
+    decoded is what decode() gives for the ids, in the same pass. Null and empty
+    texts give an empty list; repeated rows give repeated rows; an empty table
+    gives an empty result. Other columns are ignored.
     """
-    arrow_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    source = spread(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")))
     id_type = source.schema["doc_id"].dataType.simpleString()
+    get = codec(spark, ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c = get()
         for batch in batches:
             coded = [c.encode(t) for t in batch.column(1).to_pylist()]
-            ends, flat = _lists(coded, 4)
-            out = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32)))]
+            counts = _ends(len(x) // 4 for x in coded)
+            flat = np.frombuffer(b"".join(coded), np.int32)
+            out = {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(counts, pa.array(flat))}
+            if offsets or decoded:
+                data, ends = c.flat(flat.astype(np.int64))
+                bounds = np.concatenate([[0], ends])[counts.to_numpy()]
             if offsets:
-                spans = [[list(s) for s in c.offsets(np.frombuffer(x, np.int32))] for x in coded]
-                out.append(pa.array(spans, pa.list_(pa.list_(pa.int32()))))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "offsets"][: len(out)])
-
-    schema = f"doc_id {id_type}, ids array<int>" + (", offsets array<array<int>>" if offsets else "")
+                spans = c.spans(data, ends)
+                # Characters are counted from the text's own first one.
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds[:-1]]
+                spans = (spans - np.repeat(chars, np.diff(counts.to_numpy()))[:, None]).astype(np.int32)
+                pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(spans) + 1, 2, dtype=np.int32)), pa.array(spans.reshape(-1)))
+                out["offsets"] = pa.ListArray.from_arrays(counts, pairs)
+            if decoded:
+                out["decoded"] = _binary(data, bounds)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    schema = f"doc_id {id_type}, ids array<int>" + ", offsets array<array<int>>" * offsets + ", decoded binary" * decoded
     return source.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids, decoded binary: the bytes that the identifiers spell.
 
     A list that begins or ends inside a character gives that character's part of
@@ -200,16 +254,15 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     source = encoded.select("doc_id", "ids")
     id_type = source.schema["doc_id"].dataType.simpleString()
+    get = decoder(encoded.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c = get()
         for batch in batches:
             lists = batch.column(1)
-            flat, ends = c.decode_flat(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            flat, ends = c.flat(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            counts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            bounds = np.concatenate([[0], ends])[counts].astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.tobytes())])
+            data = _binary(flat, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)])
             if lists.null_count:
                 data = pa.array([None if gone else x for gone, x in zip(lists.is_null().to_pylist(), data.to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, data], names=["doc_id", "ids", "decoded"])

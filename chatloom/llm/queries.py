@@ -14,17 +14,18 @@ PATTERN = public_tokenizers.PATTERN
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_codes(bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN))
+    return token_digests(table(spark, sf_dir, "documents"))
 
 
-def digest_codes(encoded: DataFrame) -> DataFrame:
-    """Counts and digests of identifiers and of what they decode to."""
-    decoded = bpe.decode(encoded, RANKS, PATTERN)
-    return decoded.select(
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Counts and digests of each document's identifiers, of what they decode to, and of their offsets."""
+    coded = bpe.encode(docs, RANKS, PATTERN, offsets=True, decoded=True)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("offsets").alias("offsets_hash"),
     )
 
 
@@ -45,6 +46,7 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("feature"),
         F.col(f"{r}.duration_us").alias("duration_us"),
         F.size(f"{r}.offsets").cast("long").alias("seek_points"),
+        F.col(f"{r}.offsets").alias("seek_offsets"),
     )
 
 

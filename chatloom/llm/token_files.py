@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec
-from .runtime import arrow_batches, cut, scratch, whole_text
+from .bpe import codec, vocabulary
+from .runtime import arrow_batches, cut, scratch, spread, whole_text
 
 BLOCK_BYTES = 4 << 20
 #: Blocks whose reports one task scans.
@@ -33,8 +33,9 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def width_for(top: int) -> str:
-    return "<u2" if top < 1 << 16 else "<u4"
+def width_for(vocab_size: int, separator: int) -> str:
+    """The item type that holds every identifier of the vocabulary and the separator behind or between them."""
+    return "<u2" if max(vocab_size - 1, separator) < 1 << 16 else "<u4"
 
 
 def write_token_files(docs: DataFrame, ranks_path: str, pattern: str, separator: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
@@ -44,17 +45,22 @@ def write_token_files(docs: DataFrame, ranks_path: str, pattern: str, separator:
     A task writes under a name of its own attempt and renames the file when it
     is whole, and only the rows of committed tasks name files, so lost or
     repeated tasks leave nothing that is read. Null and empty texts are empty
-    documents: a separator alone.
+    documents: a separator alone. A separator that is an identifier of the
+    vocabulary is refused, since a text could hold it.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     root = scratch(spark, "tokens")
-    dtype = width_for(separator)
-    source = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    tokens = vocabulary(ranks_path).spelled.split("\n")
+    if separator < 0 or separator < len(tokens) and tokens[separator]:
+        raise ValueError(f"separator {separator} is an identifier of the vocabulary, or none at all")
+    dtype = width_for(len(tokens), separator)
+    get = codec(spark, ranks_path, pattern)
+    source = spread(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, task = codec(ranks_path, pattern), TaskContext.get()
+        c, task = get(), TaskContext.get()
         fs, folder = _place(root)
         fs.create_dir(folder, recursive=True)
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.tokens"

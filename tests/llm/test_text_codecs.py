@@ -17,7 +17,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.codec(RANKS, PATTERN)
+    return bpe.Codec(bpe.vocabulary(RANKS), PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -70,14 +70,20 @@ def frame(spark, texts, **more):
 def test_queries_on_awkward_texts(spark, other):
     texts = [*CASES, None, "", "a", "long " * 40_000, "long " * 40_000]
     docs = frame(spark, texts)
-    got = {r.doc_id: r for r in queries.digest_codes(bpe.encode(docs, RANKS, PATTERN)).collect()}
+    got = {r.doc_id: r for r in queries.token_digests(docs).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         want = other.encode_ordinary(t or "")
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    coded = bpe.encode(docs, RANKS, PATTERN, offsets=True, decoded=True)
+    apart = {r.doc_id: bytes(r.decoded) for r in bpe.decode(coded, RANKS).collect()}
+    one = bpe.Codec(bpe.vocabulary(RANKS), PATTERN)
+    for r in coded.collect():
+        assert apart[r.doc_id] == bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+        assert [tuple(x) for x in r.offsets] == one.offsets(r.ids)
     assert bpe.encode(docs, RANKS, PATTERN, offsets=True).filter("doc_id = 3").first().offsets == [[0, 1]]
-    assert queries.digest_codes(bpe.encode(docs.limit(0), RANKS, PATTERN)).count() == 0
+    assert queries.token_digests(docs.limit(0)).count() == 0
 
 
 def test_media_round_trip(spark):
@@ -112,6 +118,82 @@ def test_resynchronises_and_counts_bad_checksums():
         assert mpeg_audio.read(junk)["frames"] == 0
 
 
+def plain_frames(data):
+    """A second reader: all offsets from which frames of one kind follow each other up to the end, by the formula of the standard."""
+    rates, kbits = (44100, 48000, 32000), (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+    at = 10 + sum((b & 127) << s for b, s in zip(data[6:10], (21, 14, 7, 0))) if data[:3] == b"ID3" else 0
+    out = []
+    while at < len(data):
+        bits = int.from_bytes(data[at : at + 4], "big")
+        assert bits >> 21 == 0x7FF and bits >> 17 & 15 == 0b1101
+        out.append(at)
+        at += 144 * 1000 * kbits[bits >> 12 & 15] // rates[bits >> 10 & 3] + (bits >> 9 & 1)
+    assert at == len(data)
+    return out
+
+
+@pytest.mark.parametrize("size", [64, 640, 4096, 70_016])
+def test_frames_equal_a_second_reader(size):
+    data = mpeg_audio.store(bytes(random.Random(size).randbytes(size)))
+    table, *frames = plain_frames(data)
+    r = mpeg_audio.read(data)
+    assert r["offsets"] == frames and r["frames"] == len(frames) and data[table + 21 : table + 25] == b"Xing"
+
+
+def test_garbage_shaped_like_headers_is_no_frame():
+    payload = random.Random(4).randbytes(4000)
+    whole = mpeg_audio.store(payload)
+    clean = mpeg_audio.read(whole)
+    assert clean["payload"] == payload and clean["frames"] >= 4
+    lone = whole[clean["offsets"][1] :][:4]
+    for k in range(1, clean["frames"]):
+        for garbage in (lone + bytes(300), lone * 9, b"junk" + lone + bytes(2000), lone[:2] + b"\x50\xc0" + bytes(90)):
+            cut = clean["offsets"][k]
+            r = mpeg_audio.read(whole[:cut] + garbage + whole[cut:])
+            assert r["payload"] == payload and r["frames"] == clean["frames"] and r["bad_crc"] == 0 and r["skipped"] == len(garbage), (k, garbage[:8])
+
+
+def test_layers_one_and_two_and_their_checksums():
+    for word, protected_bytes in ((b"\xff\xfe\x90\xc0", 16), (b"\xff\xfe\x90\x00", 32), (b"\xff\xfe\x90\x50", 20)):
+        h = mpeg_audio.header(word)
+        body = random.Random(h.size).randbytes(h.size - 6)
+        frame = word + mpeg_audio.crc16(word[2:] + body[:protected_bytes]).to_bytes(2, "big") + body
+        r = mpeg_audio.read(frame * 4)
+        assert (r["layer"], r["frames"], r["bad_crc"], r["unchecked"], r["samples"]) == (1, 4, 0, 0, 4 * 384)
+        broken = bytearray(frame * 4)
+        broken[h.size + 6 + protected_bytes - 1] ^= 1
+        assert mpeg_audio.read(bytes(broken))["bad_crc"] == 1
+        broken = bytearray(frame * 4)
+        broken[h.size + 6 + protected_bytes] ^= 1
+        assert mpeg_audio.read(bytes(broken))["bad_crc"] == 0
+    word = b"\xff\xfc\x90\xc0"
+    r = mpeg_audio.read((word + bytes(mpeg_audio.header(word).size - 4)) * 3)
+    assert (r["layer"], r["frames"], r["bad_crc"], r["unchecked"]) == (2, 3, 0, 3)
+
+
+def test_tags_and_seek_tables():
+    audio = mpeg_audio.store(b"x" * 640)[10 + sum((b & 127) << s for b, s in zip(mpeg_audio.store(b"x" * 640)[6:10], (21, 14, 7, 0))) :]
+    field = b"\x00payload_bytes\x0064"
+    safe = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    two = b"TXX" + len(field).to_bytes(3, "big") + field
+    three = b"\x00\x00\x00\x06" + bytes(6) + b"TXXX" + len(field).to_bytes(4, "big") + b"\0\0" + field
+    four = b"TXXX" + safe(len(field)) + b"\0\0" + field
+    noisy = (b"PRIV" + (3).to_bytes(4, "big") + b"\0\0" + b"a\xff\x00" + b"TXXX" + len(field).to_bytes(4, "big") + b"\0\0" + field).replace(b"\xff\x00", b"\xff\x00\x00")
+    for version, flags, body, tail in ((2, 0, two, b""), (3, 0x40, three, b""), (4, 0, four, b""), (4, 0x10, four, b"3DI" + bytes(7)), (3, 0x80, noisy, b"")):
+        r = mpeg_audio.read(b"ID3" + bytes([version, 0, flags]) + safe(len(body)) + body + tail + audio)
+        assert (len(r["payload"]), r["skipped"]) == (64, 0), version
+    word = bytes([0xFF, 0xFB, 0x90, 0xC0])
+    size = mpeg_audio.header(word).size
+    vbri = word + bytes(32) + b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (7).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (3, 2, 2, 4, 100, 200, 300))
+    r = mpeg_audio.read(vbri.ljust(size, b"\0") + (word + bytes(size - 4)) * 2)
+    assert r["table"] == {"kind": "VBRI", "bytes": 5000, "frames": 7, "toc": [200, 400, 600]} and r["frames"] == 2
+
+
+def test_a_column_named_read_is_refused(spark):
+    with pytest.raises(ValueError):
+        mpeg_audio.read_media(spark.createDataFrame([(b"", 1)], "media binary, read int"))
+
+
 def test_header_fields():
     h = mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x64]))
     assert (h.version, h.layer, h.kbits, h.rate, h.size, h.samples, h.mono) == ("1", 3, 128, 44100, 417, 1152, False)
