@@ -4,8 +4,10 @@ An arrival is written once, as small files that never change. A shard's tier is
 the power of ``fan`` that its size has reached; once a tier holds ``fan``
 shards, its run is merged, in order, into files of the target size. Readers see
 whole versions only: a version is a folder of manifest rows that appears by one
-rename, which fails if another writer was first. All work on data is DataFrame
-operations; the driver handles manifest rows of one round, at most ``MOST``.
+rename, which fails if another writer was first; the loser tries again on top of
+the winner. All work on data is DataFrame operations. The driver handles the
+paths of one round of compaction, at most ``MOST``, and, to read, the paths of a
+version, as Spark does for any scan of files: some 100 bytes for each target size.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 ENTRY = "path string, bytes bigint, rows bigint, version bigint"
 #: Shards that one round of compaction may rewrite; the next round takes more.
 MOST = 50_000
+#: Times that a commit begins again behind another writer's.
+TRIES = 20
 
 
 class Conflict(RuntimeError):
@@ -86,11 +90,21 @@ class ShardStore:
     # Writing.
 
     def append(self, arrival: DataFrame) -> int:
-        """Add an arrival as new shards, one per task that has rows; returns the version."""
-        version = self.version() + 1
-        folder = f"{self.root}/data/a{version:010d}-{uuid.uuid4().hex}"
+        """Add an arrival as new shards, one per task that has rows; returns the version.
+
+        Rows are kept as they come: repeated ones, nulls and long texts alike, in
+        columns of any name. An empty arrival is a version without new shards.
+        Another writer's version in between is built upon.
+        """
+        folder = f"{self.root}/data/a-{uuid.uuid4().hex}"
         arrival.write.option("compression", "zstd").parquet(folder)
-        return self._commit(self.entries(version - 1).unionByName(self._listed(folder, version)), version)
+        for _ in range(TRIES):
+            version = self.version() + 1
+            try:
+                return self._commit(self.entries(version - 1).unionByName(self._listed(folder, version)), version)
+            except Conflict:
+                continue
+        raise Conflict(f"{TRIES} commits came before others'")
 
     def plan(self, version: int | None = None) -> DataFrame:
         """path, bytes, bin: which shards merge into which file.
@@ -114,26 +128,40 @@ class ShardStore:
         return bins.select("path", "bytes", F.concat_ws("-", F.col("tier").cast("string"), F.col("bin").cast("string")).alias("bin"))
 
     def compact(self) -> int | None:
-        """One round: merge what ``plan`` names and commit; None if nothing is to do."""
-        old = self.version()
-        chosen = self.plan(old).orderBy("bin", "path").limit(MOST).collect()
-        if len({r.bin for r in chosen}) == len(chosen):
+        """One round: merge what ``plan`` names and commit; None if nothing is to do.
+
+        Each bin is one task and one file. If other writers commit meanwhile, the
+        merged files replace their sources in the latest version, as long as all
+        of them are still in it; else the round is given up with a Conflict and
+        its files are left to ``sweep``.
+        """
+        chosen = self.plan().orderBy("bin", "path").limit(MOST).collect()
+        numbers = {b: i for i, b in enumerate(dict.fromkeys(r.bin for r in chosen))}
+        if len(numbers) == len(chosen):
             return None
         paths = [r.path for r in chosen]
-        bins = self.spark.createDataFrame([(r.path, r.bin) for r in chosen], "shard_path string, shard_bin string")
-        n = bins.select("shard_bin").distinct().count()
-        version, folder = old + 1, f"{self.root}/data/c{old + 1:010d}-{uuid.uuid4().hex}"
         read = self.spark.read.parquet(*paths)
-        # At most MOST rows of two short strings: a bounded side.
-        marked = read.join(F.broadcast(bins), F.col("_metadata.file_path") == F.col("shard_path")).drop("shard_path")
-        marked.repartition(n, "shard_bin").write.option("compression", "zstd").partitionBy("shard_bin").parquet(folder)
-        merged = self._listed(folder, version)
+        path, number = _free("shard_path", read.columns), _free("shard_number", read.columns)
+        # At most MOST rows of a path and a number: a bounded side.
+        bins = self.spark.createDataFrame([(r.path, numbers[r.bin]) for r in chosen], f"{path} string, {number} int")
+        marked = read.join(F.broadcast(bins), F.col("_metadata.file_path") == F.col(path))
+        folder = f"{self.root}/data/c-{uuid.uuid4().hex}"
+        marked.repartitionById(len(numbers), number).drop(path, number).write.option("compression", "zstd").parquet(folder)
         gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        kept = self.entries(old).join(F.broadcast(gone), "path", "left_anti")
-        before, after = sum(r.rows for r in self.entries(old).join(F.broadcast(gone), "path", "left_semi").collect()), merged.agg(F.sum("rows")).first()[0]
-        if before != after:
-            raise RuntimeError(f"merged files hold {after} rows, their sources {before}")
-        return self._commit(kept.unionByName(merged), version)
+        for _ in range(TRIES):
+            old = self.version()
+            merged = self._listed(folder, old + 1)
+            sources, before = self.entries(old).join(F.broadcast(gone), "path", "left_semi").agg(F.count("*"), F.sum("rows")).first()
+            if sources != len(paths):
+                raise Conflict("another writer has merged some of the same shards")
+            after = merged.agg(F.sum("rows")).first()[0]
+            if before != after:
+                raise RuntimeError(f"merged files hold {after} rows, their sources {before}")
+            try:
+                return self._commit(self.entries(old).join(F.broadcast(gone), "path", "left_anti").unionByName(merged), old + 1)
+            except Conflict:
+                continue
+        raise Conflict(f"{TRIES} commits came before others'")
 
     def compact_all(self) -> int:
         """Rounds until no tier is full; returns the version."""
@@ -167,6 +195,37 @@ class ShardStore:
             self._fs.delete(self._path(p), False)
         return len(dead)
 
+    def sweep(self, seconds: float = 7 * 86_400) -> int:
+        """Delete data files that no version names and that are older than so many seconds, as lost jobs leave them; returns their number.
+
+        The age spares files that a running writer has not committed yet. Files
+        are listed by Spark; only the paths of those to be deleted pass the driver,
+        one after another.
+        """
+        try:
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/data").select("path", "modificationTime")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return 0
+        live = self.entries(0).select("path")
+        for s in self._fs.listStatus(self._path(f"{self.root}/manifest")):
+            live = live.union(self.entries(int(s.getPath().getName()[1:])).select("path"))
+        plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+        old = files.filter(F.col("modificationTime") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(seconds)))).select("path", plain.alias("plain"))
+        lost = old.join(live.select(plain.alias("plain")), "plain", "left_anti").select("path")
+        n = 0
+        for r in lost.toLocalIterator():
+            n += self._fs.delete(self._path(r.path), False)
+        return n
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, longer where a column has it already."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
 
 def arrivals(docs: DataFrame, n: int, key: str = "doc_id") -> list[DataFrame]:
     """docs as n arrivals, by a hash of the key (a null key goes to a fixed one)."""
