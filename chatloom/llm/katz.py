@@ -8,8 +8,8 @@ it needs to score: totals of its n-grams and contexts. Once an order is counted
 everywhere its Good-Turing discounts are known, and blocks compute that order's
 probabilities, which the next order backs off to.
 
-Hot contexts, of which there can be few, are spread over all buckets by their
-whole n-gram, and their sums are added afterwards.
+Hot contexts, of which there are fewer than a fixed number, are spread over all
+buckets by their whole n-gram, and their sums are added afterwards.
 
 Words are known by 64-bit hashes; two of a billion words share one with a
 probability of 3 %, and then count as one word.
@@ -37,8 +37,11 @@ ORDER = 2
 SMALL = 5
 BLOCK_TOKENS = 2_000_000
 BUCKET_PAIRS = 4_000_000
-#: A context is hot beyond 1 / (HOT * buckets) of all tokens.
-HOT = 4
+#: A context is hot beyond 1 / (HOT * buckets) of all tokens, and beyond 1 / HOT_MOST: so fewer
+#: than HOT_MOST contexts of an order are hot, and their sums, at 24 bytes each, can go to every task.
+HOT, HOT_MOST = 4, 1_000_000
+#: Tasks for each part of the input that share the blocks out: a slot holds a few blocks, however many there are.
+SLOTS_PER_PART = 4
 #: Words hold no white space, so no word is this text.
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 #: Where a context reaches back beyond the text; no word has this number.
@@ -163,7 +166,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, size: int) -> Dat
 class Block:
     """A block of documents with the replies it has so far: ``p`` is the probability of each token at the latest order."""
 
-    def __init__(self, row: dict, buckets: int, orders: list[Discounts], hot: list[dict], replies: list[dict], limit: float):
+    def __init__(self, row: dict, buckets: int, orders: list[Discounts], hot: list[tuple], replies: list[list[dict]], limit: float):
         self.number, self.buckets, self.limit = row["block"], buckets, limit
         self.ids, self.lens, self.train = row["ids"], np.array(row["lens"]), np.array(row["train"], bool)
         self.vocab = unpack(row["vocab"], np.uint64)
@@ -212,12 +215,14 @@ class Block:
         counts = np.bincount(place[self.token_train], minlength=len(at)).astype(np.uint32)
         for s, e in _runs(bucket):
             names, runs = _lengths(ctx[s:e])
-            low = self.p[at[s:e]]
-            values, low = np.unique(np.where(hot[s:e], -low, low), return_inverse=True)
-            yield {
-                "bucket": int(bucket[s]), "block": self.number, "ctx": pack(names), "runs": pack(runs), "word": pack(word[s:e]), "n": pack(counts[s:e]),
-                "low": pack(low.astype(np.uint32)), "values": pack(values),
-            }
+            request = {"bucket": int(bucket[s]), "block": self.number, "ctx": pack(names), "runs": pack(runs), "word": pack(word[s:e]), "n": pack(counts[s:e])}
+            if n == 2:
+                # The order below follows from the word's count, which is shorter.
+                yield request | {"low": pack(self.count[at[s:e]]), "values": pack(hot[s:e])}
+            else:
+                low = self.p[at[s:e]]
+                values, low = np.unique(np.where(hot[s:e], -low, low), return_inverse=True)
+                yield request | {"low": pack(low.astype(np.uint32)), "values": pack(values)}
 
     def read_grams(self, n: int) -> None:
         """This order's probabilities: discounted where the n-gram is known, else backed off to the order below."""
@@ -237,9 +242,13 @@ class Block:
             w = np.ones(len(names))
             w[need] = backoff(known[need], sums, d)
             weight[s:e] = w[where]
-        for i in np.flatnonzero(hot):
-            t, w = self.hot[n - 1].get(int(ctx[i]), (0.0, 1.0))
-            total[i], weight[i] = t, w
+        names, totals, weights = self.hot[n - 1]
+        which = np.flatnonzero(hot)
+        if len(which):
+            total[which], weight[which] = 0.0, 1.0
+            known = which[np.isin(ctx[which], names)]
+            where = np.searchsorted(names, ctx[known])
+            total[known], weight[known] = totals[where], weights[where]
         # A negative total marks a context whose counts are all large: it keeps one count for the unseen.
         seen = d(count) * count / np.maximum(1.0, np.where(total < 0, 1 - total, total))
         p = np.where(count > 0, seen, weight * low)
@@ -320,7 +329,17 @@ def count_words(slots: int, buckets: int):
     return run
 
 
-def count_grams(slots: int):
+def _lower(row: dict, first: Discounts | None) -> np.ndarray:
+    """The lower order's probability of each n-gram of a request, negative where its context is hot."""
+    if first is None:
+        return unpack(row["values"], np.float64)[unpack(row["low"], np.uint32)]
+    low = unigrams(unpack(row["low"], np.int64), first)
+    return np.where(unpack(row["values"], bool), -low, low)
+
+
+def count_grams(slots: int, first: Discounts | None):
+    """first: the discounts of order 1, to count order 2."""
+
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
         bucket = rows[0]["bucket"]
@@ -329,7 +348,7 @@ def count_grams(slots: int):
         stop = np.cumsum(sizes)
         ctx = np.concatenate(ctx)
         word = np.concatenate([unpack(r["word"], np.uint64) for r in rows])
-        low = np.concatenate([unpack(r["values"], np.float64)[unpack(r["low"], np.uint32)] for r in rows])
+        low = np.concatenate([_lower(r, first) for r in rows])
         n = np.concatenate([unpack(r["n"], np.uint32) for r in rows]).astype(float)
         _, at, inverse = np.unique(join_hash(ctx, word), return_index=True, return_inverse=True)
         count = np.bincount(inverse, weights=n, minlength=len(at)).astype(np.int64)
@@ -365,11 +384,11 @@ def count_grams(slots: int):
 
 
 class Counted(NamedTuple):
-    """One order's table: folder of kind=reply|model|stats|hot, discounts, and hot contexts' totals and weights."""
+    """One order's table: folder of kind=reply|model|stats|hot, discounts, and sorted hot contexts with their totals and weights."""
 
     path: str
     discounts: Discounts
-    hot: dict
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _finish(spark, path: str) -> Counted:
@@ -377,14 +396,13 @@ def _finish(spark, path: str) -> Counted:
     sums = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(SMALL + 3)]
     row = stats.filter("kind = 'stats'").agg(*sums).first()
     d = Discounts.of([row[i] or 0 for i in range(SMALL + 1)], row[SMALL + 1] or 0, row[SMALL + 2] or 0)
-    # At most HOT times as many contexts as buckets, and those without a word.
-    few = stats.filter("kind = 'hot'").groupBy("block").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(SMALL + 2)])
-    hot = {}
-    for r in few.collect():
-        total, sums_ = float(r.s0), np.array([[r[f"s{i}"] for i in range(1, SMALL + 2)]])
-        total = -total if total > 0 and sums_[0, :SMALL].sum() == 0 else total
-        hot[int(np.int64(r.block).view(np.uint64))] = (total, float(backoff(np.array([total]), sums_, d)[0]))
-    return Counted(path, d, hot)
+    # Fewer than HOT_MOST contexts, and the one or few without a word.
+    few = stats.filter("kind = 'hot'").groupBy("block").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(SMALL + 2)]).toArrow()
+    names = few["block"].to_numpy().view(np.uint64)
+    sums_ = np.stack([few[f"s{i}"].to_numpy() for i in range(SMALL + 2)], axis=1).reshape(-1, SMALL + 2)
+    total = np.where((sums_[:, 0] > 0) & (sums_[:, 1 : SMALL + 1].sum(1) == 0), -sums_[:, 0], sums_[:, 0])
+    order = np.argsort(names)
+    return Counted(path, d, (names[order], total[order], backoff(total, sums_[:, 1:], d)[order]))
 
 
 def katz(
@@ -409,8 +427,11 @@ def katz(
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = blocks(docs, id_col, text_col, train, block_tokens)
+    # As many as the input has parts, so that a slot's share doesn't grow with the corpus.
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SLOTS_PER_PART * docs.rdd.getNumPartitions())
+    if slots > 100_000:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(slots))
     kind = raw.schema["ids"].dataType.elementType.simpleString()
     name = f"katz_blocks_{uuid.uuid4().hex}"
     path = scratch(spark, "katz-blocks")
@@ -433,7 +454,7 @@ def katz(
     words = scratch(spark, "katz-1")
     store.select("block", "ids", "train", "lens", "vocab", "low", "high").mapInArrow(requests, REQUEST).groupBy("bucket").applyInArrow(count_words(slots, buckets), REPLY).write.parquet(words)
     done = [_finish(spark, words)]
-    limit = max(1.0, done[0].discounts.total / (HOT * buckets))
+    limit = max(1.0, done[0].discounts.total / min(HOT * buckets, HOT_MOST))
 
     def with_replies(make, schema: str) -> DataFrame:
         """make(block) over the blocks with the replies of all orders so far; blocks stay where they are."""
@@ -441,16 +462,17 @@ def katz(
         for n, counted in enumerate(done):
             part = spark.read.schema(REPLY).parquet(counted.path).filter("kind = 'reply'").select("slot", "block", "bucket", "a", "b", "c", "d", F.lit(n).alias("n"))
             replies = part if replies is None else replies.unionByName(part)
-        discounts, hot, n_orders = [x.discounts for x in done], [x.hot for x in done], len(done)
+        discounts, n_orders = [x.discounts for x in done], len(done)
+        sent = spark.sparkContext.broadcast([x.hot for x in done])
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            mine: dict[int, list[list[dict]]] = {}
-            for r in right.to_pylist():
-                mine.setdefault(r["block"], [[] for _ in range(n_orders)])[r["n"]].append(r)
-            parts = []
-            for row in left.to_pylist():
-                b = Block(row, buckets, discounts, hot, mine.pop(row["block"]), limit)
-                parts.append(make(b))
+            whose, parts = right["block"].to_numpy(), []
+            for k in range(len(left)):
+                row = left.slice(k, 1).to_pylist()[0]
+                mine: list[list[dict]] = [[] for _ in range(n_orders)]
+                for r in right.take(pa.array(np.flatnonzero(whose == row["block"]))).to_pylist():
+                    mine[r["n"]].append(r)
+                parts.append(make(Block(row, buckets, discounts, sent.value, mine, limit)))
             return pa.concat_tables(parts) if parts else make(None)
 
         return store.groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(run, schema)
@@ -458,7 +480,7 @@ def katz(
     for n in range(2, order + 1):
         ask = with_replies(lambda b, n=n: pa.Table.from_batches([_requests(list(b.catch_up(n - 1).gram_requests(n)) if b else [])]), REQUEST)
         path_n = scratch(spark, f"katz-{n}")
-        ask.groupBy("bucket").applyInArrow(count_grams(slots), REPLY).write.parquet(path_n)
+        ask.groupBy("bucket").applyInArrow(count_grams(slots, done[0].discounts if n == 2 else None), REPLY).write.parquet(path_n)
         done.append(_finish(spark, path_n))
 
     first = done[0].discounts
