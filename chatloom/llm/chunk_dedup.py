@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import SPACES, cut, whole_text
+from .runtime import SPACES, Steps, spread, whole_text
+
+#: Colliding hashes that may be broadcast, at 8 bytes each.
+FEW = 200_000
 
 #: Sentence ends at which a chunk may close.
 CUT_AFTER = r"(?<=[.!?;] |[。！？])"
@@ -40,32 +43,32 @@ def exact_dedup(
 
     ``hash_bits`` shortens the chunk hash, so that tests meet collisions.
     """
-    spark = docs.sparkSession
+    steps = Steps(docs.sparkSession)
     short = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - hash_bits) if hash_bits < 64 else F.xxhash64(c)
-    normal = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.regexp_replace(whole_text(text_col), SPACES, " ").alias("norm"),
+    normal = spread(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.regexp_replace(whole_text(text_col), SPACES, " ").alias("norm"),
+        )
     )
     chunks = F.regexp_extract_all("norm", F.lit(chunk_pattern(low, high)), F.lit(0))
 
     # Verification: an identifier is a hash, numbered where several chunks share the hash.
     distinct = normal.select(F.explode(chunks).alias("chunk")).select(short("chunk").alias("h"), "chunk").distinct()
-    shared = distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    shared = cut(shared, "chunk-collisions")
+    shared = steps.cut(distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "chunk-collisions")
 
-    recipes = normal.select(
-        "doc_id",
-        F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"),
-        F.transform(chunks, lambda c: short(c)).alias("recipe"),
-        F.lit(None).cast("array<int>").alias("numbers"),
-    )
-    if not shared.isEmpty():
-        recipes = _number_collisions(normal, chunks, short, distinct, shared)
-    recipes = cut(recipes.withColumn("numbers", F.coalesce("numbers", F.array().cast("array<int>"))), "recipes")
+    recipes = normal.select("doc_id", _digest(), F.transform(chunks, lambda c: short(c)).alias("recipe"))
+    collisions = shared.count()
+    if collisions:
+        recipes = recipes.join(_collision_numbers(normal, chunks, short, shared, collisions, steps), "text_sha256", "left")
+    else:
+        recipes = recipes.withColumn("numbers", F.lit(None).cast("array<struct<pos:int,number:int>>"))
+    recipes = steps.cut(recipes.withColumn("numbers", F.coalesce("numbers", F.array().cast("array<struct<pos:int,number:int>>"))), "recipes")
 
     keys = ["recipe", "numbers"]
-    groups = recipes.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, keys).select(
+    # Written, so that the join with the many copies of one recipe may be split over tasks.
+    groups = steps.cut(recipes.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
+    found = recipes.join(groups, keys).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -73,29 +76,24 @@ def exact_dedup(
         "text_sha256",
         F.size("recipe").cast("long").alias("n_chunks"),
     )
+    return steps.end(found, "exact-copies")
 
 
-def _number_collisions(normal, chunks, short, distinct, shared) -> DataFrame:
-    """Recipes in which chunks of one hash are told apart by their rank in byte order."""
-    ranks = (
-        distinct.join(shared, "h", "left_semi")
-        .withColumn("number", F.row_number().over(Window.partitionBy("h").orderBy("chunk")))
-    )
-    parts = cut(
-        normal.withColumn("row", F.monotonically_increasing_id()).select(
-            "row",
-            "doc_id",
-            F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"),
-            F.posexplode_outer(chunks).alias("pos", "chunk"),
-        ),
-        "chunk-rows",
-    )
-    numbered = parts.withColumn("h", short("chunk")).join(ranks, ["h", "chunk"], "left")
-    ordered = F.array_sort(
-        F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "h", F.coalesce("number", F.lit(0)).alias("number"))))
-    )
+def _digest():
+    return F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256")
+
+
+def _collision_numbers(normal, chunks, short, shared, collisions, steps) -> DataFrame:
+    """text_sha256, numbers: the (place, number) of the chunks that share a hash with another chunk, numbered in byte order.
+
+    Only those chunks move, and only rows that hold one.
+    """
+    shared = F.broadcast(shared) if collisions <= FEW else shared
+    parts = normal.select(_digest(), F.posexplode(chunks).alias("pos", "chunk")).withColumn("h", short("chunk")).join(shared, "h", "left_semi")
+    parts = steps.cut(parts.distinct(), "colliding-chunks")
+    ranks = parts.select("h", "chunk").distinct().withColumn("number", F.row_number().over(Window.partitionBy("h").orderBy("chunk")))
     return (
-        numbered.groupBy("row", "doc_id", "text_sha256")
-        .agg(ordered.alias("o"))
-        .select("doc_id", "text_sha256", F.col("o.h").alias("recipe"), F.col("o.number").alias("numbers"))
+        parts.join(ranks, ["h", "chunk"])
+        .groupBy("text_sha256")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "number"))).alias("numbers"))
     )
