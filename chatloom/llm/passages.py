@@ -130,7 +130,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     named = steps.cut(source.mapInArrow(_named(least, gram), f"doc_id {id_type}, text_hash bigint, start int, m int, name bigint, stretch bigint"), "passage-names")
 
-    shared = named.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+    # Written, so that the join with the many places of one name may be split over tasks.
+    shared = steps.cut(named.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "passage-shared")
     hits = steps.cut(named.join(shared, "name"), "passage-hits")
     place = F.struct(F.col("doc_id").isNull().alias("no_doc"), "doc_id", "text_hash", F.col("start").alias("at"))
     key = ["name", "stretch"]
