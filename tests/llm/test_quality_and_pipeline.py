@@ -80,3 +80,144 @@ def test_stages(spark):
     assert corpus_pipeline.token_counts(spark, docs, "").count() == len(rows)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+# Plain versions: dictionaries and loops instead of arrays.
+
+
+def plain_estimate(patterns):
+    """{votes: P(good)} by EM over single texts."""
+    post = {v: 0.2 if "b" in v else 0.95 for v in patterns}
+    texts = list(patterns.elements())
+    for _ in range(100):
+        good = sum(post[v] for v in texts)
+        rate = {}
+        for j in range(len(texts[0])):
+            for side in (0, 1):
+                share = {x: 0.5 + sum((post[v] if side else 1 - post[v]) for v in texts if v[j] == x) for x in "b-g"}
+                for x in share:
+                    rate[side, j, x] = share[x] / sum(share.values())
+        prior = (good + 1) / (len(texts) + 2)
+        new = {}
+        for v in patterns:
+            p, q = prior, 1 - prior
+            for j, x in enumerate(v):
+                p, q = p * rate[1, j, x], q * rate[0, j, x]
+            new[v] = p / (p + q)
+        if max(abs(new[v] - post[v]) for v in patterns) < 1e-6:
+            return new
+        post = new
+    return post
+
+
+def plain_features(text):
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    def shape(word):
+        kind = ["A" if c.isascii() and c.isupper() else "a" if (c.isascii() and c.islower()) or ord(c) >= 128 else "9" if c.isascii() and c.isdigit() else c for c in word]
+        return "".join(c for k, c in enumerate(kind) if not (k and c in "aA9" and kind[k - 1] == c))
+
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    words = Counter(lower(text).split())
+    shapes = Counter(shape(w) for w in text.split())
+    out = Counter()
+    for part, seed in ((words, 0), (shapes, 1)):
+        norm = math.sqrt(sum(math.log1p(n) ** 2 for n in part.values()))
+        for w, n in part.items():
+            out[xxhash.xxh64_intdigest(w.encode(), seed) % (1 << weak_quality.BITS)] += math.log1p(n) / norm
+    return out
+
+
+def plain_scores(texts_in_order, soft):
+    import math
+
+    w, seen, bias, bias_seen = {}, {}, 0.0, 1e-2
+    rows = [plain_features(t) for t in texts_in_order]
+    sig = lambda z: 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+    for _ in range(12):
+        for f, y in zip(rows, soft):
+            g = sig(bias + sum(w.get(k, 0.0) * v for k, v in f.items())) - y
+            for k, v in f.items():
+                step = g * v + 1e-6 * w.get(k, 0.0)
+                seen[k] = seen.get(k, 1e-2) + step * step
+                w[k] = w.get(k, 0.0) - 0.5 * step / math.sqrt(seen[k])
+            bias_seen += g * g
+            bias -= 0.5 * g / math.sqrt(bias_seen)
+    return lambda t: sig(bias + sum(w.get(k, 0.0) * v for k, v in plain_features(t).items()))
+
+
+def plain_classify(spark, docs):
+    """{doc_id: (posterior, score)} of a table with distinct ids and no empty texts."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("pick")).orderBy("pick").collect()
+    post = plain_estimate(Counter(weak_quality.votes(r.text) for r in rows))
+    score = plain_scores([r.text for r in rows], [post[weak_quality.votes(r.text)] for r in rows])
+    return {r.doc_id: (post[weak_quality.votes(r.text)], score(r.text)) for r in rows}
+
+
+def test_classifier_equals_the_plain_one(spark):
+    rows, _ = corpus(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_classify(spark, docs)
+    for r in weak_quality.classify(docs).collect():
+        assert abs(r.posterior - want[r.doc_id][0]) < 1e-4 and abs(r.score - want[r.doc_id][1]) < 5e-3, r.doc_id
+        assert r.kept == (r.score >= weak_quality.KEEP)
+
+
+def test_run_equals_plain_stages(spark, tmp_path):
+    import hashlib
+    from collections import defaultdict
+
+    import public_tokenizers
+    import tiktoken
+
+    from chatloom.llm import bpe
+
+    r = random.Random(9)
+    rows, _ = corpus(160)
+    texts = dict(rows)
+    for i in range(160, 200):
+        words = texts[r.randrange(160)].split()
+        if i % 2:
+            words[r.randrange(len(words))] = "changed"
+        texts[i] = (" " if i % 4 else "  ").join(words)
+    source = {i: "xyz"[i * 7 % 3] for i in texts}
+    docs = spark.createDataFrame([(i, t, "en", source[i], len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = {i for i, (_, score) in plain_classify(spark, docs).items() if score >= weak_quality.KEEP}
+    firsts = {}
+    for i in sorted(kept):
+        firsts.setdefault(" ".join(texts[i].split()), i)
+    left = sorted(firsts.values())
+    grams = {i: {tuple(texts[i].split()[k : k + 5]) for k in range(len(texts[i].split()) - 4)} for i in left}
+    head = {i: i for i in left}
+    for a in left:
+        for b in left:
+            if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                low, high = sorted((head[a], head[b]))
+                head = {i: low if h == high else h for i, h in head.items()}
+    left = [i for i in left if head[i] == i]
+    assert 60 < len(left) < len(kept) < 200
+    sizes = {i: len(texts[i].split()) for i in left}
+    whole = sum(sizes.values())
+    taken = defaultdict(int)
+    for x in got:
+        taken[x.doc_id] += 1
+    assert set(taken) <= set(left) and max(taken.values()) <= 3
+    own = {s: sum(n for i, n in sizes.items() if source[i] == s) for s in "xyz"}
+    for s, share in zip("xyz", (1, 2, 3)):
+        assert whole * share / 6 < 3 * own[s]
+        assert abs(sum(sizes[i] * n for i, n in taken.items() if source[i] == s) - whole * share / 6) <= 2 * max(sizes.values())
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    for x in got:
+        ids = other.encode_ordinary(texts[x.doc_id])
+        assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert x.decoded_sha256 == hashlib.sha256(texts[x.doc_id].encode()).hexdigest()
