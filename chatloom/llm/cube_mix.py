@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import WORDS, arrow_batches, cut, whole_text
+from .runtime import WORDS, arrow_batches, cut, spread, whole_text
 
 #: Times its size that a source may be taken.
 MOST = 3.0
@@ -121,12 +121,18 @@ def mix(
     An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    # Rows of a few numbers: larger batches. All that uses them is written before the setting goes back.
     arrow_batches(spark, rows=20_000)
+    try:
+        return _mix(docs, id_col, text_col, source_col, weights, most, block, seed)
+    finally:
+        arrow_batches(spark)
+
+
+def _mix(docs, id_col, text_col, source_col, weights, most, block, seed) -> DataFrame:
     units = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(whole_text(text_col), F.lit(WORDS)).cast("long").alias("size"),
+        spread(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), whole_text(text_col).alias("text"))).select(
+            "doc_id", "source", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("size")
         ),
         "mix-units",
     )

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .runtime import arrow_batches, cut, delete, scratch, whole_text
+from .runtime import arrow_batches, cut, delete, scratch, spread, whole_text
 
 ORDER = 2
 #: Counts up to this one are discounted.
@@ -124,7 +124,7 @@ def unigrams(count: np.ndarray, d: Discounts) -> np.ndarray:
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, train, size: int) -> DataFrame:
     """block, ids, train, lens, vocab, stream: documents as indices into their block's own vocabulary, frequent words first."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), whole_text(text_col).alias("text"))
+    source = spread(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), whole_text(text_col).alias("text")))
     kind = source.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 

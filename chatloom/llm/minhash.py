@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Steps, arrow_batches
+from .runtime import Steps, arrow_batches, spread
 from .words import mix, word_hashes
 
 SHINGLE = 5
@@ -203,7 +203,7 @@ def near_duplicates(units: DataFrame, threshold: float = THRESHOLD, n: int = SHI
     bander = Bander(*bands_for(threshold, recall, most_hashes))
     text = F.coalesce("text", F.lit(""))
     source = units.select("id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    signed = steps.cut(signatures(source, bander, n), "signatures")
+    signed = steps.cut(signatures(spread(source), bander, n), "signatures")
 
     worded = signed.filter("n_shingles > 0").withColumn("k1", F.xxhash64("key"))
     classes = steps.cut(

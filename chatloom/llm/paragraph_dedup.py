@@ -42,12 +42,13 @@ def repeated_paragraphs(
 
 
 def remove_paragraphs(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the paragraphs that ``found`` doesn't keep cut out of the text; all columns stay.
+    """docs with the paragraphs that ``found`` doesn't keep cut out of the text; all columns stay, whatever their names.
 
-    A document that loses no paragraph keeps its very text, null included.
+    Paragraphs belong to an id, so rows that repeat one lose the same lines. A
+    document that loses no paragraph keeps its very text, null included.
     """
-    gone = found.filter("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("para").alias("gone_paras"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")), "left")
-    left = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("gone_paras", i))
-    out = F.when(F.col("gone_paras").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn(text_col, out).select(*docs.columns)
+    gone = found.filter("not kept").groupBy("doc_id").agg(F.collect_set("para").alias("paras"))
+    joined = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")), "left")
+    left = F.filter(F.split(f"row.{text_col}", "\n"), lambda x, i: ~F.array_contains("paras", i))
+    out = F.when(F.col("paras").isNull(), F.col(f"row.{text_col}")).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[out.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])

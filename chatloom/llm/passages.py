@@ -11,6 +11,7 @@ again and its paragraphs compared by 128-bit digests. No pairs are made.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import FEW
-from .runtime import Steps, arrow_batches, whole_text
+from .runtime import Steps, arrow_batches, spread, whole_text
 from .words import Powers, mix, word_hashes
 
 #: Words of the shortest passage, and of the runs that name it: the name is the least of LEAST - GRAM + 1 hashes.
@@ -105,6 +106,42 @@ def _windows(least: int, gram: int):
     return run
 
 
+def remove_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the words of the spans that ``found`` doesn't keep; all columns stay, whatever their names.
+
+    Spans belong to an id, so ids are expected to be unique; overlapping spans
+    are one cut. With a cut word goes the white space behind it. A document
+    without such a span keeps its very text, null included.
+    """
+    arrow_batches(docs.sparkSession)
+    gone = found.filter("not kept").groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
+    joined = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")), "left")
+    whole = joined.filter("spans is null").select("row.*")
+    parted = joined.filter("spans is not null").select(F.coalesce(F.col(f"row.{text_col}"), F.lit("")).alias("text"), "spans", "row")
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_without(t, [(s["start_word"], s["n_words"]) for s in spans]) for t, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            columns = batch.column(2).flatten()
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return whole.unionByName(parted.mapInArrow(run, docs.schema))
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    gone = np.zeros(max(s + n for s, n in spans), bool)
+    for s, n in spans:
+        gone[s : s + n] = True
+    head = re.match(r"[\x20\x09-\x0D]*", text)[0]
+    return head + "".join(w for k, w in enumerate(_WORD.findall(text)) if k >= len(gone) or not gone[k])
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, n_words, class_doc, class_word, n_links, kept: one row per span that repeats.
 
@@ -128,7 +165,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_
     id_type = docs.schema[id_col].dataType.simpleString()
     text = whole_text(text_col)
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    named = steps.cut(source.mapInArrow(_named(least, gram), f"doc_id {id_type}, text_hash bigint, start int, m int, name bigint, stretch bigint"), "passage-names")
+    named = steps.cut(spread(source).mapInArrow(_named(least, gram), f"doc_id {id_type}, text_hash bigint, start int, m int, name bigint, stretch bigint"), "passage-names")
 
     # Written, so that the join with the many places of one name may be split over tasks.
     shared = steps.cut(named.groupBy("name").agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "passage-shared")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -25,12 +26,15 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines of the cluster share, as the session names it.
 
-    Only a session without one (a local test) gets a folder of its own.
+    Only a local session without one, as in tests, gets a folder of its own; a
+    cluster without one is refused, since its machines share no temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         base = "file://" + tempfile.mkdtemp(prefix="chatloom-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_batches, cut, whole_text
+from .runtime import arrow_batches, cut, spread, whole_text
 
 #: Documents the scorer learns from, those with the smallest hashes: the one bounded sample here.
 SAMPLE = 6_000
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    source = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("pick"), whole_text(text_col).alias("text"))
+    source = spread(docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("pick"), whole_text(text_col).alias("text")))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,7 +206,7 @@ def classify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     empty result. Other columns are ignored.
     """
     model = model or fit(docs, id_col, text_col)
-    source = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    source = spread(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,4 +232,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
             mask = [model.scorer(*features(t or "")) >= keep for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -75,3 +75,35 @@ def test_the_query_finds_passages_in_longer_lines_and_across_short_ones(spark, t
     assert repeated_paragraphs(docs).count() == 0
     found = queries.op10_paragraph_dedup(spark, str(tmp_path)).select("doc_id", "start_word", "n_words", "class_doc", "class_word", "kept").collect()
     assert sorted(map(tuple, found)) == [(1, 200, 60, 1, 200, True), (2, 30, 60, 1, 200, False)]
+
+
+def test_removal_keeps_one_of_each_and_the_rest(spark):
+    r = random.Random(11)
+    line = lambda n: " ".join(str(r.randrange(10**6)) for _ in range(n))
+    p, q = line(70), line(55)
+    rows = [(1, "  head " + p + "\n\ntail  "), (2, line(9) + "\t" + p + " " + q), (3, q + "\n" + line(20) + "\n" + p), (4, None), (5, line(80) + "  x"), (None, q)]
+    docs = spark.createDataFrame([(t, i, "a", 1, True, 3) for i, t in rows], "text string, doc_id long, spans string, start_word int, kept boolean, row int")
+    found = passages.repeated_passages(docs)
+    cut = passages.remove_passages(docs, found)
+    assert cut.columns == docs.columns
+    got = {x.doc_id: x.text for x in cut.collect()}
+    first = rows[1][1].split("\t")[0]
+    assert got == {1: rows[0][1], 2: first + "\t" + q, 3: "\n".join(rows[2][1].split("\n")[1:2]) + "\n", 4: None, 5: rows[4][1], None: ""}
+    assert {tuple(x)[1:] for x in cut.collect()} == {(i, "a", 1, True, 3) for i, _ in rows}
+    assert passages.repeated_passages(cut).count() == 0
+    assert passages.remove_passages(docs.limit(0), found).count() == 0
+
+
+def test_shuffled_joins_find_the_same(spark, monkeypatch):
+    """Beyond the rows that may be broadcast."""
+    from chatloom.llm import minhash
+
+    r = random.Random(12)
+    line = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    base = [line(60) for _ in range(6)]
+    docs = spark.createDataFrame([(i if i % 9 else None, r.choice(base) + (" x" if i % 2 else " ") + line(r.choice([0, 5, 60]))) for i in range(60)], "doc_id long, text string")
+    small = [sorted(map(str, f.collect())) for f in (passages.repeated_passages(docs), minhash.near_duplicates(docs.withColumnRenamed("doc_id", "id")))]
+    monkeypatch.setattr(passages, "FEW", 0)
+    monkeypatch.setattr(minhash, "FEW", 0)
+    monkeypatch.setattr(minhash, "WEIGHT", 200)
+    assert small == [sorted(map(str, f.collect())) for f in (passages.repeated_passages(docs), minhash.near_duplicates(docs.withColumnRenamed("doc_id", "id")))]
