@@ -29,9 +29,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 32) -> DataFrame:
-    """A live table, read in ranges of its key by as many connections as ``parts``."""
-    options = {"url": url, "dbtable": name, "partitionColumn": key, "lowerBound": low, "upperBound": high, "numPartitions": parts}
+def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 32, **options) -> DataFrame:
+    """A live table, read in ranges of its key by as many connections as ``parts``; rows outside the bounds go to the outer ranges."""
+    options |= {"url": url, "dbtable": name, "partitionColumn": key, "lowerBound": low, "upperBound": high, "numPartitions": parts}
     return spark.read.format("jdbc").options(**{k: str(v) for k, v in options.items()}).load()
 
 

@@ -1,7 +1,10 @@
 """From documents to token counts: the stages of a training-data pipeline.
 
 Quality, exact copies, near copies, mixing, encoding. Each stage reads what the
-one before it kept; all but the last return the columns of documents.
+one before it kept; all but the last return the columns of documents, whatever
+other columns there are. In all stages null text is empty, a null id is an id
+behind all others, an empty table gives an empty result, and texts are whole,
+however long they are.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ def _joined(docs: DataFrame, decisions: DataFrame, keys: list, how: str) -> Data
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised scorer keeps."""
+    """Documents that the weakly supervised scorer keeps. Equal texts share their fate; texts without words get the scorer's bias."""
     return weak_quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the one with the smallest doc_id."""
+    """One row of each group of equal texts: the one with the smallest doc_id. Of rows that repeat its id and text, the one with the smallest other columns."""
     found = cut(chunk_dedup.exact_dedup(docs), "exact")
     text = F.sha2(F.encode(F.regexp_replace(whole_text(), SPACES, " "), "UTF-8"), 256)
     keys = [F.col("doc_id"), text]
@@ -50,14 +53,14 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links connect: the one with the smallest doc_id."""
+    """One document of each group that near-duplicate links connect: the one with the smallest doc_id, then text hash. Rows that repeat both stay together."""
     units = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(whole_text()).alias("text_hash")).alias("id"), "text")
     gone = minhash.near_duplicates(units).filter("id != class_id").select(F.col("id.doc_id").alias("k0"), F.col("id.text_hash").alias("k1"))
     return _joined(docs, gone, [F.col("doc_id"), F.xxhash64(whole_text())], "left_anti").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. Rows that repeat id and text are taken alike, as often as the luckiest of them."""
     ids = docs.select(F.struct("doc_id", F.xxhash64(whole_text()).alias("text_hash")).alias("id"), "text", "source")
     taken = cube_mix.mix(ids, id_col="id").filter("copies > 0").groupBy(F.col("doc_id.doc_id").alias("k0"), F.col("doc_id.text_hash").alias("k1")).agg(F.max("copies").cast("int").alias("copies"))
     joined = _joined(docs, taken, [F.col("doc_id"), F.xxhash64(whole_text())], "inner")
@@ -65,7 +68,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of the identifiers of every document in the mix."""
+    """Counts and digests of the identifiers of every document in the mix, a row for each row."""
     return queries.token_digests(docs)
 
 

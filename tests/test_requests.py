@@ -81,3 +81,12 @@ def test_binary_files_and_json_responses(spark, tmp_path):
     assert sorted((r.path.rsplit("/", 1)[1], r.length, bytes(r.content)) for r in files.collect()) == [("a.bin", 3, b"\x00\xff1"), ("b.bin", 2, b"22")]
     sources.write_responses(files.selectExpr("length", "null as gone"), str(tmp_path / "out"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"length":2}', '{"length":3}']
+
+
+def test_a_live_table_is_read_in_ranges(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(100).selectExpr("id", "concat('u', id) as name")
+    rows.write.format("jdbc").options(url=url, dbtable="users", driver=driver).save()
+    read = sources.jdbc(spark, url, "users", "ID", 0, 99, parts=4, driver=driver)
+    assert read.rdd.getNumPartitions() == 4
+    assert {tuple(r) for r in read.filter("ID >= 90").collect()} == {(i, f"u{i}") for i in range(90, 100)} and read.count() == 100
