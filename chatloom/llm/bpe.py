@@ -97,6 +97,17 @@ class _Known(dict):
         return value
 
 
+#: Tokens whose bytes are looked at in one go: so that no text needs arrays of eight times its length.
+PIECE = 1 << 16
+
+
+def _pieces(ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first token, last token + 1, first byte, last byte + 1) of each piece."""
+    for s in range(0, len(ends), PIECE):
+        e = min(s + PIECE, len(ends))
+        yield s, e, int(ends[s - 1]) if s else 0, int(ends[e - 1])
+
+
 class Decoder:
     """Turns identifiers back into bytes by the reversed byte alphabet."""
 
@@ -111,8 +122,11 @@ class Decoder:
         """The bytes of all identifiers in a row, and where each one's bytes end."""
         lens = self._lens[ids]
         ends = np.cumsum(lens)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self._starts[ids] - (ends - lens), lens)
-        return self._blob[at], ends
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        for s, e, low, high in _pieces(ends):
+            first = self._starts[ids[s:e]] - (ends[s:e] - lens[s:e] - low)
+            out[low:high] = self._blob[np.arange(high - low) + np.repeat(first, lens[s:e])]
+        return out, ends
 
     def decode(self, ids) -> bytes:
         return self.flat(np.asarray(ids, np.int64))[0].tobytes()
@@ -123,9 +137,13 @@ class Decoder:
         A token that holds a part of a character spans the whole character, so
         neighbours that split one character overlap there.
         """
-        char = np.cumsum((data & 0xC0) != 0x80)  # 1-based character of each byte
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        return np.stack([char[starts] - 1, char[ends - 1]], axis=1) if len(ends) else np.empty((0, 2), np.int64)
+        out, before = np.empty((len(ends), 2), np.int32), 0
+        for s, e, low, high in _pieces(ends):
+            char = before + np.cumsum((data[low:high] & 0xC0) != 0x80)  # 1-based character of each byte
+            out[s:e, 0] = char[np.append(low, ends[s : e - 1]) - low] - 1
+            out[s:e, 1] = char[ends[s:e] - 1 - low]
+            before = int(char[-1])
+        return out
 
     def offsets(self, ids) -> list[tuple[int, int]]:
         return [tuple(x) for x in self.spans(*self.flat(np.asarray(ids, np.int64))).tolist()]
@@ -232,10 +250,10 @@ def encode(
                 data, ends = c.flat(flat.astype(np.int64))
                 bounds = np.concatenate([[0], ends])[counts.to_numpy()]
             if offsets:
-                spans = c.spans(data, ends)
+                spans, at = c.spans(data, ends), counts.to_numpy()
                 # Characters are counted from the text's own first one.
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds[:-1]]
-                spans = (spans - np.repeat(chars, np.diff(counts.to_numpy()))[:, None]).astype(np.int32)
+                full = np.flatnonzero(np.diff(at))
+                spans -= np.repeat(spans[at[full], 0], np.diff(at)[full])[:, None]
                 pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(spans) + 1, 2, dtype=np.int32)), pa.array(spans.reshape(-1)))
                 out["offsets"] = pa.ListArray.from_arrays(counts, pairs)
             if decoded:

@@ -62,6 +62,25 @@ def test_offsets_cover_the_text(codec):
     assert codec.offsets(ids(codec, "ab cd")) == [(0, 2), (2, 5)]
 
 
+def test_split_characters_and_pieces(codec, monkeypatch):
+    """Tokens that end inside a character, and arrays in pieces of a few tokens."""
+    text = "é漢字🙂 𒀀𒀁 ab½ " * 30
+    whole = ids(codec, text)
+    assert len(whole) > len(text) / 2 and any(len(codec.decode([i])) < len(codec.decode([i]).decode("utf-8", "replace").encode()) for i in whole)
+    want = []
+    at = 0
+    for i in whole:
+        n = len(codec.decode([i]))
+        first, last = text.encode()[:at].decode("utf-8", "ignore"), text.encode()[: at + n]
+        want.append((len(first), len(last.decode("utf-8", "ignore")) + (last.decode("utf-8", "ignore").encode() != last)))
+        at += n
+    for piece in (1, 7, 1 << 16):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        assert codec.decode(whole) == text.encode() and codec.offsets(whole) == want
+        for k in range(len(whole)):
+            assert codec.decode(whole[:k]) + codec.decode(whole[k:]) == text.encode()
+
+
 def frame(spark, texts, **more):
     rows = [(i, t, "x", b"k") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, ids string, media binary")
