@@ -87,3 +87,32 @@ def test_mix_meets_its_targets(spark):
     again = cube_mix.mix(docs.repartition(7), block=500).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     assert cube_mix.mix(docs.limit(0)).count() == 0
+
+
+def test_only_colliding_chunks_move(spark, monkeypatch):
+    from chatloom.llm.runtime import Steps
+
+    rows = [(i, f"Text {i} of many. " + "x" * 300) for i in range(40)] + [(40 + i, f"Text {i} of many. " + "x" * 300) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written, cut = {}, Steps.cut
+
+    def counted(self, df, label):
+        out = cut(self, df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(Steps, "cut", counted)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in chunk_dedup.exact_dedup(docs, low=8, high=512, hash_bits=8).collect()}
+    assert got == {i: (i % 40, 2 if i % 40 < 3 else 1) for i in range(43)}
+    hashes = [r.h for r in spark.createDataFrame([(t,) for _, t in rows], "c string").selectExpr("explode(regexp_extract_all(c, '%s', 0)) as c" % chunk_dedup.chunk_pattern(8, 512).replace("\\", "\\\\")).distinct().selectExpr("shiftrightunsigned(xxhash64(c), 56) as h").collect()]
+    shared = {h for h, n in Counter(hashes).items() if n > 1}
+    assert 0 < len(shared) == written["chunk-collisions"]
+    assert written["colliding-chunks"] < written["recipes"] and written["recipes"] == len(rows)
+
+
+def test_hot_recipes_and_empty_ids(spark):
+    """A third of the rows are one text."""
+    rows = [(i if i % 5 else None, "the same text" if i % 3 == 0 else f"text {i}") for i in range(300)]
+    found = chunk_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.group_size for r in found) == {100: 100, 1: 200}
+    assert {r.keep_id for r in found if r.group_size == 100} == {3}
