@@ -111,7 +111,8 @@ PLAIN_ECHO = r"([A-ZА-ЯЁa-zа-яё]{1,5}\s*=\s*\d+[,.]\d+)\s*\1"
 
 
 def remove_plain_echoes(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)" + PLAIN_ECHO, "$1")
+    # Without an equals sign there is nothing to find, and the pattern is slow at not finding it.
+    return F.when(F.contains(text, F.lit("=")), F.regexp_replace(text, "(?U)" + PLAIN_ECHO, "$1")).otherwise(text)
 
 
 def clean_outside_math(text: Column, mode: str = "strict") -> Column:
