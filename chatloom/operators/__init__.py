@@ -36,6 +36,17 @@ def latest_child(children: DataFrame, parent: str, order: list[str], columns: li
     return found.select(parent, *[F.col(f"latest.{c}").alias(c) for c in columns])
 
 
+def page_with_latest(parents: DataFrame, children: DataFrame, key: str, by: str, order: str, column: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of parents, newest first, each with ``column`` of its last child, null where it has none.
+
+    Parents are expected to be the owner's. The page comes first and has at most
+    ``limit`` rows, so it may be broadcast, and only its children are aggregated.
+    """
+    page = newest_page(parents, by, key, limit, offset)
+    last = latest_child(children.select(key, order, column).join(F.broadcast(page.select(key)), key, "left_semi"), key, [order], [column])
+    return newest_page(page.join(last, key, "left"), by, key, limit)
+
+
 def first_child(children: DataFrame, condition: Column, parent: str, order: list[str], column: str, name: str) -> DataFrame:
     return children.filter(condition).groupBy(parent).agg(F.min_by(column, F.struct(*order)).alias(name))
 

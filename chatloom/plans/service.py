@@ -204,6 +204,21 @@ def a2_reply_tokens(spark, d):
     return replies.select("conv_id", "turn", rq.reply_tokens(F.when(t % 5 == 1, "failed").otherwise("completed"), F.when(t % 4 != 3, F.length("text"))).alias("tokens_used"))
 
 
+SQL["api_list_conversations"] = BATCH_SQL + """,
+page AS (SELECT conv_id, title, updated_at FROM conv WHERE conv_id % 7 = 3 ORDER BY updated_at DESC NULLS FIRST, conv_id DESC LIMIT 5 OFFSET 1),
+m AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id)
+SELECT conv_id, title, updated_at, substring(text, 1, 120) AS last_message FROM page LEFT JOIN m USING (conv_id) ORDER BY updated_at DESC NULLS FIRST, conv_id DESC
+"""
+
+
+def api_list_conversations(spark, d):
+    """One owner's page with last messages; only system turns count, so some have none."""
+    mine = batch(spark, d)[0].filter(F.col("conv_id") % 7 == 3).select("conv_id", "title", "updated_at")
+    children = table(spark, d, "conversations").filter("role = 'system'")
+    page = op.page_with_latest(mine, children, "conv_id", "updated_at", "turn", "text", 5, 1)
+    return page.select("conv_id", "title", "updated_at", fn.prefix(F.col("text"), 120).alias("last_message"))
+
+
 SQL["api_delete_outcomes"] = BATCH_SQL + """
 SELECT r.conv_id, r.uid, CASE WHEN c.conv_id IS NULL THEN 404 ELSE 204 END AS status
 FROM (SELECT DISTINCT conv_id, uid FROM req) r LEFT JOIN conv c ON c.conv_id = r.conv_id AND c.user_id = r.uid
@@ -339,6 +354,6 @@ def api_register(spark, d):
 
 for _f in (
     api_send_message, api_me, api_health, api_thread_cleaned, x_stream_daily_usage, api_post_message_outcomes, api_post_message_rows, api_post_message_conversations, api_post_message_usage,
-    a2_reply_tokens, api_delete_outcomes, api_delete_messages_left, api_create_conversations, api_auth, api_register,
+    a2_reply_tokens, api_list_conversations, api_delete_outcomes, api_delete_messages_left, api_create_conversations, api_auth, api_register,
 ):
     QUERIES[_f.__name__] = _f
