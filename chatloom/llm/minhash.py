@@ -212,14 +212,14 @@ def near_duplicates(units: DataFrame, threshold: float = THRESHOLD, n: int = SHI
     )
     # Only the 64-bit name of a class travels for each band, and a bucket that holds one class goes no further.
     banded = worded.select("k1", F.posexplode("bands").alias("band", "bucket"))
-    named = banded.groupBy("bucket").agg(F.min("k1").alias("leader"), F.max("k1").alias("last")).filter("leader != last").drop("last")
+    # Here and below, what a hot key's rows are joined with is written first: so the join may be split over tasks.
+    named = steps.cut(banded.groupBy("bucket").agg(F.min("k1").alias("leader"), F.max("k1").alias("last")).filter("leader != last").drop("last"), "buckets")
     hits = steps.cut(
         banded.join(named, "bucket").groupBy("leader", "k1").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask")),
         "hits",
     )
     candidates = steps.cut(classes.join(hits.select("k1").distinct(), "k1", "left_semi"), "candidates")
     members = steps.cut(hits.join(candidates.select("k1", "key", "weight"), "k1").select("leader", "key", "mask", "weight"), "members")
-    # Written, so that the join with a hot group's members may be split.
     groups = steps.cut(members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("weight").alias("total_weight")), "groups")
     total, weight = members.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
     few = candidates.count()
@@ -255,7 +255,7 @@ def near_duplicates(units: DataFrame, threshold: float = THRESHOLD, n: int = SHI
         .join(parts.withColumnsRenamed({"node": "key", "label": "part"}), "key", "left")
         .withColumn("part", F.coalesce("part", "key"))
     )
-    firsts = labelled.groupBy("part").agg(F.min(F.struct("no_id", "rep_id")).alias("first"))
+    firsts = steps.cut(labelled.groupBy("part").agg(F.min(F.struct("no_id", "rep_id")).alias("first")), "firsts")
     per_class = labelled.join(firsts, "part").select(
         "key",
         F.col("first.rep_id").alias("class_id"),
