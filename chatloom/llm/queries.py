@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, cube_mix, katz, mpeg_audio, ngram_join, paragraph_dedup, passages, shards, token_files, weak_quality
+from . import bpe, chunk_dedup, cube_mix, divergence, drake_kmeans, katz, mpeg_audio, ngram_join, paragraph_dedup, passages, shards, token_files, weak_quality
 from .runtime import free_shuffles, scratch, table, whole_text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -103,6 +103,14 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeated_paragraphs(docs).unionByName(spans, allowMissingColumns=True)
 
 
+def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake_kmeans.cluster(table(spark, sf_dir, "embeddings")).drop("measured")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mpeg_audio": op2_mpeg_audio,
@@ -114,6 +122,8 @@ QUERIES = {
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_paragraph_dedup": op10_paragraph_dedup,
+    "op11_drake_clusters": op11_drake_clusters,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 OP8_SQL = r"""
@@ -131,7 +141,54 @@ SELECT doc_id, source, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sh
 FROM documents
 """
 
+#: A full scan in every round; no bounds.
+_NEAREST = """a{n} AS MATERIALIZED (SELECT vec_id, any_value(x.v) AS v, min({{'d': d, 'c': c}}).c AS cluster, min(d) AS distance FROM (
+    SELECT e.row, e.vec_id, e.v, c.c AS c, list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM e, c{n} c) x GROUP BY x.row, vec_id)"""
+_MOVED = """s{m} AS (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i),
+c{m} AS MATERIALIZED (SELECT c, coalesce((SELECT list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) FROM s{m} WHERE cluster = c), v) AS v FROM c{n})"""
+OP11_SQL = (
+    """
+WITH e AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY name, v) - 1 AS c, v FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS name, v FROM e ORDER BY name, v LIMIT 16)),
+"""
+    + ",\n".join(_NEAREST.format(n=n) + ("" if n == 3 else ",\n" + _MOVED.format(n=n, m=n + 1)) for n in range(4))
+    + """
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       (SELECT sha256(array_to_string(v, ',')) FROM c3 WHERE c = cluster) AS centroid_sha256
+FROM a3
+"""
+)
+
+#: All kept terms of all sources, zero counts included; no index.
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+o AS MATERIALIZED (SELECT id, lang, source, unnest(terms) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS MATERIALIZED (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * l.v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v))::BIGINT AS q
+    FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+pair AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (
+    SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_shard_compaction": OP5_SQL,
     "op8_chunk_dedup": OP8_SQL,
+    "op11_drake_clusters": OP11_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
