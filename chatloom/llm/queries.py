@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, cube_mix, divergence, drake_kmeans, katz, mpeg_audio, ngram_join, paragraph_dedup, passages, shards, token_files, weak_quality
+from . import bpe, chunk_dedup, cube_mix, divergence, drake_kmeans, katz, mpeg_audio, ngram_join, page_wrappers, paragraph_dedup, passages, shards, token_files, weak_quality
 from .runtime import free_shuffles, scratch, table, whole_text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -107,6 +107,10 @@ def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drake_kmeans.cluster(table(spark, sf_dir, "embeddings")).drop("measured")
 
 
+def op12_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -123,6 +127,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_paragraph_dedup": op10_paragraph_dedup,
     "op11_drake_clusters": op11_drake_clusters,
+    "op12_page_wrappers": op12_page_wrappers,
     "op13_source_divergence": op13_source_divergence,
 }
 
