@@ -109,13 +109,14 @@ def _windows(least: int, gram: int):
 def remove_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the words of the spans that ``found`` doesn't keep; all columns stay, whatever their names.
 
-    Spans belong to an id, so ids are expected to be unique; overlapping spans
-    are one cut. With a cut word goes the white space behind it. A document
-    without such a span keeps its very text, null included.
+    Spans belong to an id and a text: of rows that repeat an id, each loses its
+    own. Overlapping spans are one cut. With a cut word goes the white space
+    behind it. A document without such a span keeps its very text, null included.
     """
     arrow_batches(docs.sparkSession)
-    gone = found.filter("not kept").groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
-    joined = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")), "left")
+    gone = found.filter("not kept").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(whole_text(text_col)).alias("row_hash"))
+    joined = row.join(gone, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")), "left")
     whole = joined.filter("spans is null").select("row.*")
     parted = joined.filter("spans is not null").select(F.coalesce(F.col(f"row.{text_col}"), F.lit("")).alias("text"), "spans", "row")
     names = docs.columns
@@ -143,7 +144,7 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start_word, n_words, class_doc, class_word, n_links, kept: one row per span that repeats.
+    """doc_id, text_hash, start_word, n_words, class_doc, class_word, n_links, kept: one row per span that repeats.
 
     A span is a longest run of words of which every ``least`` in a row stand, in
     the same order and distance, at the place (class_doc, class_word) where they
@@ -153,7 +154,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_
     first place are kept; to remove the others loses no text. Spans may overlap.
 
     Rows that repeat both id and text give their spans once, but count as places.
-    Of rows that repeat an id only, each has its own spans. Shorter, empty and
+    Of rows that repeat an id only, each has its own spans, told apart by
+    text_hash, the xxhash64 of the text. Shorter, empty and
     null texts have none; an empty table gives an empty result. Other columns
     are ignored.
     """
@@ -211,6 +213,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_
     return steps.end(
         spans.select(
             "doc_id",
+            "text_hash",
             F.col("start").alias("start_word"),
             (F.col("m") + (least - 1)).cast("int").alias("n_words"),
             F.col("class.doc_id").alias("class_doc"),

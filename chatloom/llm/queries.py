@@ -100,7 +100,7 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     spans = passages.repeated_passages(docs)
     free_shuffles(spark)
-    return paragraph_dedup.repeated_paragraphs(docs).unionByName(spans, allowMissingColumns=True)
+    return paragraph_dedup.repeated_paragraphs(docs).unionByName(spans, allowMissingColumns=True).drop("text_hash")
 
 
 def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,31 @@
 """Hashes of the words of many texts at once, straight from Arrow's buffers.
 
-A word's hash is a polynomial of its bytes modulo 2^64, mixed with its length.
-It is the difference of two running sums, scaled by an inverse power, so numpy
-computes all words of a batch without a loop over words.
+A word's hash is a polynomial of its bytes modulo the prime 2^61 - 1, mixed with
+its length. It is the difference of two running sums, scaled by an inverse
+power, so numpy computes all words of a batch without a loop over words. Modulo
+a prime two given strings of n bytes share a value in fewer than n of its bases;
+modulo 2^64, some share theirs in every base.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15
-#: Bytes hashed in one go; a piece ends between two words, so a longer word makes a longer piece.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_BASE = 0x9E3779B97F4A7C15 % PRIME
+#: Bytes hashed in one go; a piece ends between two words.
 PIECE = 1 << 20
+#: Longer words are hashed one by one: so sums of bytes times half a power stay below 2^64.
+LONG = 1 << 16
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_1, _30, _31, _61 = (np.uint64(n) for n in (1, 30, 31, 61))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,31 +33,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, from below 2^64."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of factors below it."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = ah * bl + al * bh
+    # 2^61 counts as 1: the high product stands at 2^62, the middle one at 2^31.
+    return reduced(((ah * bh) << _1) + (middle >> _30) + ((middle & _LOW30) << _31) + al * bl)
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, as many as have been asked for."""
+    """Powers of a base and of its inverse modulo the prime, as many as have been asked for."""
 
     def __init__(self, base: int = _BASE):
-        self.bases = base, pow(base, -1, 1 << 64)
+        self.bases = base % PRIME, pow(base, -1, PRIME)
         self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.tables[0]) < n:
-            size = max(n, 2 * len(self.tables[0]))
-            steps = [np.full(size, b, np.uint64) for b in self.bases]
-            for s in steps:
-                s[0] = 1
-            self.tables = [np.cumprod(s) for s in steps]
+        while len(self.tables[0]) < n:
+            m = len(self.tables[0])
+            self.tables = [np.concatenate([t, times(t, np.uint64(pow(b, m, PRIME)))]) for t, b in zip(self.tables, self.bases)]
         return self.tables[0][:n], self.tables[1][:n]
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Running sums of values times powers, from 0."""
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self(len(values))[0], out=out[1:])
-        return out
-
-    def hashes(self, sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    def sums(self, values: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of values times powers, from 0, as sums of their low 31 bits and of the rest; ``small`` values are bytes."""
+        power = self(len(values))[0]
+        if small:
+            low, high = values * (power & _LOW31), values * (power >> _31)
+        else:
+            product = times(reduced(values), power)
+            low, high = product & _LOW31, product >> _31
+        out = np.zeros((2, len(values) + 1), np.uint64)
+        np.cumsum(low, out=out[0, 1:])
+        np.cumsum(high, out=out[1, 1:])
+        return out[0], out[1]
+
+    def hashes(self, sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Of the values in [start, stop), wherever they stand."""
-        return mix((sums[stops] - sums[starts]) * self(len(sums))[1][starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        low, high = (reduced(s[stops] - s[starts]) for s in sums)
+        value = reduced(low + times(high, np.uint64(1 << 31)))
+        return mix(times(value, self(len(sums[0]))[1][starts]) + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 _powers = Powers()
@@ -84,11 +114,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after[-1:] = False
     stops = np.flatnonzero(word & (~after | edge[1:])) + 1
     out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        upto = max(at + 1, int(np.searchsorted(stops, starts[at] + PIECE, "right")))
-        begin = starts[at]
-        sums = _powers.sums(flat[begin : stops[upto - 1]].astype(np.uint64))
-        out[at:upto] = _powers.hashes(sums, starts[at:upto] - begin, stops[at:upto] - begin)
-        at = upto
+    long = np.flatnonzero(stops - starts > LONG)
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(flat[starts[i] : stops[i]], digest_size=8).digest(), "little")
+    # Pieces of the words between long ones.
+    for first, last in zip([0, *(long + 1).tolist()], [*long.tolist(), len(starts)]):
+        at = first
+        while at < last:
+            upto = min(last, max(at + 1, int(np.searchsorted(stops, starts[at] + PIECE, "right"))))
+            begin = starts[at]
+            sums = _powers.sums(flat[begin : stops[upto - 1]].astype(np.uint64), small=True)
+            out[at:upto] = _powers.hashes(sums, starts[at:upto] - begin, stops[at:upto] - begin)
+            at = upto
     return out, np.searchsorted(starts, offsets)
