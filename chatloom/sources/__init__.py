@@ -19,14 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """What Spark takes df's size for. Only the plan is asked, no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def planned_parts(df: DataFrame) -> int:
+    """How many parts of a scan's usual size that is."""
+    return max(1, -(-planned_bytes(df) // df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan over all cores where its files come in fewer parts than there are cores.
+    """df over all cores where its files are so small that a scan wouldn't use them.
 
-    For expressions that cost much more than moving the rows; a large table has
-    more parts than cores and is left as it is.
+    For expressions that cost much more than moving the rows. Spark deals files
+    out by its cost of opening one; below that for each core, there is less than
+    a part for each.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if planned_bytes(df) < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else df
 
 
 def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 32, **options) -> DataFrame:
