@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .runtime import arrow_batches, cut, delete, scratch, spread, whole_text
+from .runtime import arrow_batches, cut, delete, planned_parts, scratch, spread, whole_text
 
 ORDER = 2
 #: Counts up to this one are discounted.
@@ -429,7 +429,7 @@ def katz(
     arrow_batches(spark)
     raw = blocks(docs, id_col, text_col, train, block_tokens)
     # As many as the input has parts, so that a slot's share doesn't grow with the corpus.
-    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SLOTS_PER_PART * docs.rdd.getNumPartitions())
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SLOTS_PER_PART * planned_parts(docs))
     if slots > 100_000:
         spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(slots))
     kind = raw.schema["ids"].dataType.elementType.simpleString()

@@ -11,14 +11,13 @@ document. The scans run in two levels, so that no task holds a file's blocks.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, vocabulary
@@ -27,6 +26,8 @@ from .runtime import arrow_batches, cut, scratch, spread, whole_text
 BLOCK_BYTES = 4 << 20
 #: Blocks whose reports one task scans.
 SPAN = 1024
+#: Blocks that one task searches on average.
+BLOCKS_PER_TASK = 32
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -101,7 +102,9 @@ def scan(files: DataFrame, separator: int, dtype: str, block_bytes: int = BLOCK_
     blocks = files.filter(F.col("length") >= width).select(
         "file", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / block_bytes).cast("int"))).alias("block")
     )
-    blocks = blocks.repartition(_tasks(spark), "file", "block")
+    # Blocks of some hundred megabytes to a task, however many there are.
+    n = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / block_bytes)), F.lit(0))).first()[0]
+    blocks = blocks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCKS_PER_TASK)), "file", "block")
     arrow_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +149,6 @@ def scan(files: DataFrame, separator: int, dtype: str, block_bytes: int = BLOCK_
     return closed.unionByName(rest)
 
 
-def _tasks(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), os.cpu_count() or 1)
-
-
 def count_documents(docs: DataFrame, ranks_path: str, pattern: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, start, closed for every row of docs, found by scanning the files written from it."""
     rows, dtype = write_token_files(docs, ranks_path, pattern, separator, id_col, text_col)
