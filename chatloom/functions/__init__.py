@@ -36,7 +36,8 @@ def remaining(limit: Column, used: Column) -> Column:
 
 def int_or_null(text: Column) -> Column:
     """The integer that the text is, white space around it and a sign allowed, else null."""
-    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), strip(text).try_cast("bigint"))
+    bare = strip(text)
+    return F.when(bare.rlike("^[+-]?[0-9]+$"), bare.try_cast("bigint"))
 
 
 def id_set(text: Column) -> Column:

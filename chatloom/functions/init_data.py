@@ -16,15 +16,16 @@ USER = "id BIGINT, first_name STRING, last_name STRING, username STRING, languag
 
 
 def pairs(raw: Column) -> Column:
-    """Map of decoded keys to decoded values, the first value of a key winning; parts without ``=`` don't count."""
-    parts = F.filter(F.split(raw, "&"), lambda p: F.contains(p, F.lit("=")))
-    entries = F.transform(parts, lambda p: F.struct(_decode(F.substring_index(p, "=", 1)).alias("key"), _decode(F.regexp_replace(p, r"^[^=]*=", "")).alias("value")))
+    """Map of decoded keys to decoded values, the first value of a key winning; a part without ``=`` is a key with an empty value."""
+    parts = F.filter(F.split(raw, "&"), lambda p: p != "")
+    entries = F.transform(parts, lambda p: F.struct(_decode(F.substring_index(p, "=", 1)).alias("key"), F.when(F.contains(p, F.lit("=")), _decode(F.regexp_replace(p, r"^[^=]*=", ""))).otherwise("").alias("value")))
     keys = F.transform(entries, lambda e: e["key"])
     return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
 
 
 def _decode(text: Column) -> Column:
-    return F.coalesce(F.try_url_decode(text), text)
+    """Percent-decoded UTF-8, plus signs as spaces. A % that no two hex digits follow stays one; bytes that are no UTF-8 become U+FFFD."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def user(values: Column) -> Column:

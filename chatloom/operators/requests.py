@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import latest_child, upsert
 from .. import functions as fn
 from ..sources import valid_text
+from ..storage import cut
+from .in_order import BLOCK, in_order
 
 OK, CREATED, DELETED, BAD, UNKNOWN, MISSING, MALFORMED, REFUSED, DOWN = 200, 201, 204, 400, 401, 404, 422, 429, 503
 
 
-def message_outcomes(requests: DataFrame, conversations: DataFrame, entitlements: DataFrame, unlimited: Column) -> DataFrame:
+def message_outcomes(requests: DataFrame, conversations: DataFrame, entitlements: DataFrame, unlimited: Column, concurrent: bool = False, block: int = BLOCK) -> DataFrame:
     """requests (request_id, conv_id, uid, header, kind, text) with status, title and last_turn.
 
     A typed text of a wrong length is malformed; else a conversation must be the
@@ -20,6 +21,11 @@ def message_outcomes(requests: DataFrame, conversations: DataFrame, entitlements
     header is in the ``unlimited`` list; then recognised text must not be blank.
     Users without a row or a limit in entitlements (user_id, used, daily) are
     not limited.
+
+    A user's requests come one after the other by request_id, and each that is
+    served counts for the next, also where the list lets it through. So the limit
+    is never passed but by those. ``concurrent`` requests all arrive before any
+    is counted: each sees only the use before the batch.
     """
     own = conversations.select(F.col("conv_id").alias("own_id"), F.col("user_id").alias("owner"), "title", "last_turn")
     plan = entitlements.select(F.col("user_id").alias("plan_user"), "used", "daily")
@@ -27,11 +33,19 @@ def message_outcomes(requests: DataFrame, conversations: DataFrame, entitlements
     listed = fn.id_set(unlimited)
     free = F.coalesce(F.array_contains(listed, F.col("uid")), F.lit(False)) | F.coalesce(F.array_contains(listed, fn.int_or_null(F.col("header"))), F.lit(False))
     typed = F.col("kind") == "text"
+    malformed = typed & ~valid_text(F.col("text"))
+    blank = ~typed & (fn.strip(F.coalesce("text", F.lit(""))) == "")
+    # Up to the first refusal these are all served, so until then their number is the use; from there on it stays above the limit.
+    countable = ~malformed & F.col("own_id").isNotNull() & ~blank
+    if concurrent:
+        joined = joined.withColumn("_earlier", F.lit(0))
+    else:
+        joined = in_order(joined, "uid", "request_id", {"_earlier": countable}, block=block)
     status = (
-        F.when(typed & ~valid_text(F.col("text")), MALFORMED)
+        F.when(malformed, MALFORMED)
         .when(F.col("own_id").isNull(), MISSING)
-        .when(~free & F.coalesce(F.col("used") >= F.col("daily"), F.lit(False)), REFUSED)
-        .when(~typed & (fn.strip(F.coalesce("text", F.lit(""))) == ""), BAD)
+        .when(~free & F.coalesce(F.col("used") + F.col("_earlier") >= F.col("daily"), F.lit(False)), REFUSED)
+        .when(blank, BAD)
         .otherwise(OK)
     )
     return joined.select(*requests.columns, status.alias("status"), "title", "last_turn")
@@ -78,6 +92,13 @@ def bumped_usage(entitlements: DataFrame, outcomes: DataFrame) -> DataFrame:
     return joined.select(*[(F.col("used") + F.coalesce("more", F.lit(0))).alias("used") if c == "used" else c for c in entitlements.columns])
 
 
+def next_versions(requests: DataFrame, conversations: DataFrame, entitlements: DataFrame, replies: DataFrame, unlimited: Column, as_of: Column) -> dict[str, DataFrame]:
+    """outcomes, messages (the new ones), conversations and entitlements behind a batch, all from one table of outcomes, worked out once."""
+    outcomes = cut(message_outcomes(requests, conversations, entitlements, unlimited), "outcomes")
+    touched = touched_conversations(conversations.drop("last_turn"), outcomes, as_of)
+    return {"outcomes": outcomes, "messages": appended_messages(outcomes, replies), "conversations": touched, "entitlements": bumped_usage(entitlements, outcomes)}
+
+
 def deletions(requests: DataFrame, conversations: DataFrame) -> DataFrame:
     """requests (conv_id, uid) with status: deleted where the conversation is the user's, else missing."""
     own = conversations.select(F.col("conv_id").alias("own_id"), F.col("user_id").alias("owner"))
@@ -85,24 +106,93 @@ def deletions(requests: DataFrame, conversations: DataFrame) -> DataFrame:
     return joined.select(*requests.columns, F.when(F.col("own_id").isNull(), MISSING).otherwise(DELETED).alias("status"))
 
 
-def creations(requests: DataFrame, top: int) -> DataFrame:
+def creations(requests: DataFrame, conversations: DataFrame) -> DataFrame:
     """requests (request_id, uid, thread_id, title) with status and conv_id.
 
-    Without a thread the assistant is down. New ids lie behind ``top``, the
-    largest old one, at the distance of the request's own number: so no task
-    has to count all of them.
+    Without a thread the assistant is down. New ids lie behind the largest old
+    one, at the distance of the request's own number: so no task has to count
+    all of them. The largest id is one row that the same job finds.
     """
     made = F.col("thread_id").isNotNull()
-    return requests.select("*", F.when(made, CREATED).otherwise(DOWN).alias("status"), F.when(made, F.lit(top) + 1 + F.col("request_id")).alias("conv_id"))
+    top = conversations.agg(F.coalesce(F.max("conv_id"), F.lit(0))).scalar()
+    return requests.select("*", F.when(made, CREATED).otherwise(DOWN).alias("status"), F.when(made, top + 1 + F.col("request_id")).alias("conv_id"))
+
+
+#: What a sequence of sign-ins of one user comes to; parts of it, in any order, are merged by the same minimum and maxima.
+SIGN_INS = ["first", "named", "shown"]
+
+
+def sign_in_parts(given: DataFrame) -> DataFrame:
+    """(tg_uid, first, named, shown): of each user's requests in given the first, the last with a username, and the last with a display name.
+
+    given are (request_id, tg_uid, username, display_name, language_code).
+    Requests without a user have no part in it.
+    """
+    at = F.col("request_id")
+    name, shown = (F.nullif(c, F.lit("")) for c in ("username", "display_name"))
+    rows = given.filter(F.col("tg_uid").isNotNull()).select(
+        "tg_uid", F.struct(at, "username", "language_code").alias("first"), F.when(name.isNotNull(), F.struct(at, name.alias("value"))).alias("named"), F.when(shown.isNotNull(), F.struct(at, shown.alias("value"))).alias("shown")
+    )
+    return merged_sign_ins(rows)
+
+
+def merged_sign_ins(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("tg_uid").agg(F.min("first").alias("first"), F.max("named").alias("named"), F.max("shown").alias("shown"))
+
+
+def users_after(users: DataFrame, parts: DataFrame, as_of: Column) -> DataFrame:
+    """Users (tg_uid, username, display_name, language_code, accepted_terms_at) after the sign-ins of parts, with is_new.
+
+    Known users take each name that was given last and wasn't empty, and keep the
+    rest. New ones have the language of their first request, its username until
+    one is given, and have accepted the terms now.
+    """
+    given = parts.select(F.col("tg_uid").alias("_uid"), *SIGN_INS)
+    joined = users.withColumn("_old", F.lit(True)).join(given, F.col("tg_uid") == F.col("_uid"), "full")
+    old, uid = F.col("_old").isNotNull(), F.coalesce("tg_uid", "_uid")
+    return joined.select(
+        uid.alias("tg_uid"),
+        F.coalesce("named.value", F.when(old, F.col("username")).otherwise(F.col("first.username"))).alias("username"),
+        F.coalesce("shown.value", F.when(old, F.col("display_name")).otherwise(fallback_name(uid))).alias("display_name"),
+        F.when(old, F.col("language_code")).otherwise(F.col("first.language_code")).alias("language_code"),
+        F.when(old, F.col("accepted_terms_at")).otherwise(as_of).alias("accepted_terms_at"),
+        (~old).alias("is_new"),
+    )
+
+
+def fallback_name(uid: Column) -> Column:
+    return F.concat(F.lit("User "), uid.cast("string"))
 
 
 def registered(users: DataFrame, given: DataFrame, as_of: Column) -> DataFrame:
-    """Users (tg_uid, username, display_name, language_code, accepted_terms_at) after a batch, with is_new.
+    """Users after a batch of sign-ins, with is_new (see users_after)."""
+    return users_after(users, sign_in_parts(given), as_of)
+
+
+def sign_ins(users: DataFrame, given: DataFrame, as_of: Column, block: int = BLOCK) -> DataFrame:
+    """One answer per request: request_id, tg_uid, and the user's columns and is_new as they are right behind it.
 
-    given are (request_id, tg_uid, username, display_name, language_code); of
-    several requests of one user the last counts. Known users take a name that
-    isn't empty and keep the rest; new ones have accepted the terms now.
+    A user's requests come one after the other by request_id; is_new is true on
+    the first of an unknown user only. Requests without a user have nulls.
     """
-    last = latest_child(given.filter(F.col("tg_uid").isNotNull()), "tg_uid", ["request_id"], ["username", "display_name", "language_code"])
-    new = upsert(users, last, "tg_uid", ["username", "display_name"], {"accepted_terms_at": as_of})
-    return new.withColumn("display_name", fn.first_nonempty(F.col("display_name"), F.when(F.col("is_new"), F.concat(F.lit("User "), F.col("tg_uid").cast("string"))).otherwise(F.col("display_name"))))
+    before = users.select(F.col("tg_uid").alias("_known"), *[F.col(c).alias(f"_{c}") for c in ("username", "display_name", "language_code", "accepted_terms_at")])
+    parts = sign_in_parts(given).select(F.col("tg_uid").alias("_uid"), "first").join(before, F.col("_uid") == F.col("_known"), "left")
+    lasts = {f"_last_{c}": F.nullif(c, F.lit("")) for c in ("username", "display_name")}
+    ran = in_order(given.select("request_id", "tg_uid", "username", "display_name"), "tg_uid", "request_id", {"_earlier": F.lit(True)}, lasts, block)
+    old, found = F.col("_known").isNotNull(), F.col("tg_uid").isNotNull()
+    joined = ran.join(parts, F.col("tg_uid") == F.col("_uid"), "left")
+    return joined.select(
+        "request_id",
+        "tg_uid",
+        F.when(found, F.coalesce("_last_username", F.when(old, F.col("_username")).otherwise(F.col("first.username")))).alias("username"),
+        F.when(found, F.coalesce("_last_display_name", F.when(old, F.col("_display_name")).otherwise(fallback_name(F.col("tg_uid"))))).alias("display_name"),
+        F.when(old, F.col("_language_code")).otherwise(F.col("first.language_code")).alias("language_code"),
+        F.when(found, F.when(old, F.col("_accepted_terms_at")).otherwise(as_of)).alias("accepted_terms_at"),
+        F.when(found, ~old & (F.col("_earlier") == 0)).alias("is_new"),
+    )
+
+
+def new_subscriptions(users: DataFrame, plans: DataFrame) -> DataFrame:
+    """(user_id, plan_id): the free plan for each new user of users_after; none where there is no free plan."""
+    free = plans.filter("type = 'free'").groupBy("type").agg(F.min("plan_id").alias("plan_id"))
+    return users.filter("is_new").select(F.col("tg_uid").alias("user_id"), F.lit("free").alias("type")).join(F.broadcast(free), "type").drop("type")

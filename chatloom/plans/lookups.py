@@ -32,9 +32,11 @@ def plans(spark):
     return literal(spark, PLANS, PLAN_SCHEMA)
 
 
-@query("q1_free_plan", f"SELECT * FROM {PLAN_SQL} WHERE type = 'free' ORDER BY plan_id LIMIT 1")
+@query("q1_free_plan", f"SELECT plan_id, c_mktsegment AS segment, users, daily FROM (SELECT c_mktsegment, count(*) AS users FROM customer GROUP BY ALL) JOIN {PLAN_SQL} ON segment = c_mktsegment WHERE type = 'free' ORDER BY plan_id LIMIT 1")
 def q1(spark, d):
-    return op.first_by(plans(spark), F.col("type") == "free", "plan_id")
+    """The free plan that stands first, of those that any user is on."""
+    users = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("users"))
+    return op.first_by(plans(spark).join(users, "segment"), F.col("type") == "free", "plan_id").select("plan_id", "segment", "users", "daily")
 
 
 @query("q2_user_by_key", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = 77")
@@ -292,11 +294,15 @@ def d11(spark, d):
     return op.duplicate_keys(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("d13_idempotent_seed", f"SELECT * FROM {PLAN_SQL} UNION ALL SELECT 5, 'free', 'FURNITURE', 20, 500")
+@query("d13_idempotent_seed", """
+SELECT c_custkey, c_name, c_mktsegment FROM customer UNION ALL
+SELECT k, name, segment FROM (VALUES (0, 'guest', 'free'), (1, 'again', 'free'), (900000003, 'seeded', 'free')) AS s(k, name, segment) WHERE k NOT IN (SELECT c_custkey FROM customer)
+""")
 def d13(spark, d):
-    seed = literal(spark, [(1, "free", "again", 20, 500), (5, "free", "FURNITURE", 20, 500)], PLAN_SCHEMA)
-    once = op.insert_missing(plans(spark), seed, "plan_id")
-    return op.insert_missing(once, seed, "plan_id")
+    """Seeding twice is seeding once, and rows that are there stay as they are."""
+    users = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    seed = literal(spark, [(0, "guest", "free"), (1, "again", "free"), (900000003, "seeded", "free")], "c_custkey long, c_name string, c_mktsegment string")
+    return op.insert_missing(op.insert_missing(users, seed, "c_custkey"), seed, "c_custkey")
 
 
 @query("c2_delete_by_id", "SELECT conv_id, max(turn) AS last_turn FROM conversations WHERE conv_id <> 3 GROUP BY conv_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -13,6 +11,7 @@ from ..functions import answers, init_data
 from ..operators import quota
 from ..operators import requests as rq
 from ..sources import table
+from ..storage import cut, scratch
 from .lookups import PLAN_SQL, UNLIMITED, plans
 
 QUERIES: dict = {}
@@ -60,36 +59,43 @@ def api_me(spark, d):
     return joined.select("user_id", "display_name", F.coalesce("type", F.lit("free")).alias("plan_type"), left("daily", quota.DEFAULT_DAILY).alias("daily_left"), left("monthly", quota.DEFAULT_MONTHLY).alias("monthly_left"))
 
 
-SQL["api_health"] = "SELECT 'ok' AS status, 'chatloom' AS service"
+SQL["api_health"] = """
+SELECT t.name AS table_name, CASE WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status, 'chatloom' AS service FROM (
+    SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT 'events', count(*) FROM events) t
+"""
 
 
 def api_health(spark, d):
-    return spark.range(1).select(F.lit("ok").alias("status"), F.lit("chatloom").alias("service"))
+    """Whether the tables that requests need are there and hold rows; only their footers are read."""
+    found = [table(spark, d, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n in ("customer", "conversations", "events")]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.select("table_name", F.when(F.col("n") > 0, "ok").otherwise("empty").alias("status"), F.lit("chatloom").alias("service"))
 
 
 SQL["api_thread_cleaned"] = r"""
 SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN regexp_replace(concat('{', text, '}'), '(\$\$[\s\S]*?\$\$|\$\$[\s\S]*|\$[^$]+\$|\$[^$]*)|[{}]', '\1', 'g') ELSE text END AS content
-FROM conversations ORDER BY conv_id, turn
+FROM conversations
 """
 
 
 def api_thread_cleaned(spark, d):
+    """Every thread in its order: threads are kept whole and sorted where they lie, not against each other."""
     turns = table(spark, d, "conversations")
     content = F.when(F.col("role") == "assistant", answers.clean_outside_math(F.concat(F.lit("{"), F.col("text"), F.lit("}")))).otherwise(F.col("text"))
-    return turns.select("conv_id", "turn", "role", content.alias("content")).orderBy("conv_id", "turn")
+    return turns.select("conv_id", "turn", "role", content.alias("content")).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
 
 
 SQL["x_stream_daily_usage"] = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY ALL"
 
 
 def x_stream_daily_usage(spark, d):
-    """Beyond the service: its usage counter as a stream, equal to the batch count once drained."""
-    name = f"usage_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return streaming.run_once(streaming.daily_counter(streaming.event_stream(spark, d, "events.parquet")), f"{base}/{name}")
+    """Beyond the service: its usage counter as a stream, equal to the batch count once drained, in whatever order events come."""
+    usage = streaming.usage_stream(spark, scratch(spark, "usage"), levels=("day",))
+    usage.drain(streaming.file_stream(spark, d, "events.parquet"))
+    return usage.read().select("user_id", F.col("since").alias("day"), "used")
 
 
-# A batch of requests over whole tables: two for each conversation with a question, some from strangers, some blank, some spoken or seen.
+# A batch of requests over whole tables: four for each conversation with a question, some from strangers, some blank, some spoken or seen.
 BATCH_SQL = f"""
 WITH conv AS (
     SELECT conv_id, conv_id + 1 AS user_id, CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 2 THEN 'Chat ' || conv_id END AS title,
@@ -97,19 +103,22 @@ WITH conv AS (
     FROM conversations GROUP BY conv_id),
 asked AS (SELECT conv_id, arg_min(text, turn) AS first_text, arg_max(text, turn) AS last_text FROM conversations WHERE role = 'user' GROUP BY conv_id),
 req AS (
-    SELECT conv_id * 2 + k AS request_id, conv_id, conv_id + CASE WHEN conv_id % 7 = 3 THEN 2 ELSE 1 END AS uid,
+    SELECT conv_id * 4 + k AS request_id, conv_id, conv_id + CASE WHEN conv_id % 7 = 3 THEN 2 ELSE 1 END AS uid,
            CASE WHEN conv_id % 11 = 0 THEN ' 12' WHEN conv_id % 11 = 1 THEN 'x' END AS header,
            CASE (conv_id + k) % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'audio' ELSE 'image' END AS kind,
            CASE WHEN conv_id % 10 = 9 THEN '  ' WHEN conv_id % 10 = 8 THEN '' WHEN k = 0 THEN first_text ELSE last_text END AS text
-    FROM asked, (VALUES (0), (1)) AS v(k)),
+    FROM asked, (VALUES (0), (1), (2), (3)) AS v(k)),
 today AS (SELECT user_id, arg_max(used, day) AS used FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY ALL) GROUP BY user_id),
 ent AS (SELECT c_custkey AS user_id, coalesce(used, 0) AS used, daily FROM customer LEFT JOIN today ON user_id = c_custkey JOIN {PLAN_SQL} ON segment = c_mktsegment),
+checked AS (
+    SELECT r.*, title, last_turn, used, daily, c.conv_id IS NULL AS missing, kind = 'text' AND NOT length(text) BETWEEN 1 AND 4000 AS malformed, kind <> 'text' AND trim(text) = '' AS blank
+    FROM req r LEFT JOIN conv c ON c.conv_id = r.conv_id AND c.user_id = r.uid LEFT JOIN ent ON ent.user_id = uid),
+counted AS (
+    SELECT *, count(*) FILTER (NOT malformed AND NOT missing AND NOT blank) OVER (PARTITION BY uid ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM checked),
 done AS (
-    SELECT r.*, title, last_turn, CASE
-        WHEN kind = 'text' AND NOT length(text) BETWEEN 1 AND 4000 THEN 422 WHEN c.conv_id IS NULL THEN 404
-        WHEN uid NOT IN (7, 12, 400) AND coalesce(header, '') <> ' 12' AND coalesce(used >= daily, false) THEN 429
-        WHEN kind <> 'text' AND trim(text) = '' THEN 400 ELSE 200 END AS status
-    FROM req r LEFT JOIN conv c ON c.conv_id = r.conv_id AND c.user_id = r.uid LEFT JOIN ent ON ent.user_id = uid)
+    SELECT *, CASE WHEN malformed THEN 422 WHEN missing THEN 404
+        WHEN uid NOT IN (7, 12, 400) AND coalesce(header, '') <> ' 12' AND coalesce(used + earlier >= daily, false) THEN 429 WHEN blank THEN 400 ELSE 200 END AS status
+    FROM counted)
 """
 
 
@@ -125,8 +134,8 @@ def batch(spark, d):
     )
     asked = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"), F.max_by("text", "turn").alias("last_text"))
     n = F.col("n")
-    requests = asked.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        (k * 2 + n).alias("request_id"),
+    requests = asked.withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(4)]))).select(
+        (k * 4 + n).alias("request_id"),
         "conv_id",
         (k + F.when(k % 7 == 3, 2).otherwise(1)).alias("uid"),
         F.when(k % 11 == 0, " 12").when(k % 11 == 1, "x").alias("header"),
@@ -254,12 +263,11 @@ FROM customer
 
 def api_create_conversations(spark, d):
     """A new conversation for every user; for some the assistant gave no thread."""
-    top = table(spark, d, "conversations").agg(F.coalesce(F.max("conv_id"), F.lit(0))).first()[0]
     k = F.col("c_custkey")
     requests = table(spark, d, "customer").select(
         k.alias("request_id"), k.alias("uid"), F.when(k % 9 != 4, F.concat(F.lit("thread_"), k.cast("string"))).alias("thread_id"), F.when(k % 2 == 0, F.col("c_name")).alias("title")
     )
-    return rq.creations(requests, top).select("uid", "status", "conv_id", "title")
+    return rq.creations(requests, table(spark, d, "conversations")).select("uid", "status", "conv_id", "title")
 
 
 # Every customer signs in; some are new, some sign wrongly, come late, or say no name.
@@ -296,35 +304,38 @@ def init_strings(spark, d):
     return rows.select("k", F.concat("raw", F.lit("&hash="), F.when(F.col("k") % 4 == 3, F.lit("0" * 64)).otherwise(signed)).alias("raw"))
 
 
+def known_users(customers):
+    return customers.select(F.col("c_custkey").alias("tg_uid"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("display_name"), F.lit("en").alias("language_code"), F.lit(None).cast("timestamp_ntz").alias("accepted_terms_at"))
+
+
 def api_auth(spark, d):
     """Sign-in as one plan: parse, check signature and age, create or update the user, tell the plan. Unsigned strings are parsed as well, as the service does."""
     values = init_data.pairs(F.col("raw"))
     read = init_strings(spark, d).select("k", values.alias("v"), init_data.user(values).alias("u"))
     read = read.withColumn("signed", init_data.signature(TOKEN)(init_data.base_string(F.col("v"))))
     fresh = ~fn.is_expired(fn.int_or_null(F.col("v")["auth_date"]), F.lit(CLOCK))
-    read = read.select("k", "u", F.coalesce((F.col("signed") == F.col("v")["hash"]) & fresh & F.col("u").isNotNull(), F.lit(False)).alias("validated"))
+    # Written, as the answers and the next users are both made of it: so strings are parsed and signed once.
+    read = cut(read.select("k", "u", F.coalesce((F.col("signed") == F.col("v")["hash"]) & fresh & F.col("u").isNotNull(), F.lit(False)).alias("validated")), "sign-ins")
     full = fn.strip(F.concat("u.first_name", F.lit(" "), F.coalesce("u.last_name", F.lit(""))))
     given = read.select(
         F.col("k").alias("request_id"), F.col("u.id").alias("tg_uid"), F.col("u.username").alias("username"), full.alias("display_name"), fn.first_nonempty(F.col("u.language_code"), F.lit("ru")).alias("language_code")
     )
     customers = table(spark, d, "customer")
     now = F.to_timestamp_ntz(F.lit(NOW))
-    known = customers.select(F.col("c_custkey").alias("tg_uid"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("display_name"), F.lit("en").alias("language_code"), F.lit(None).cast("timestamp_ntz").alias("accepted_terms_at"))
-    users = rq.registered(known, given, now)
+    known = known_users(customers)
+    answers_ = rq.sign_ins(known, given, now).withColumnsRenamed({"request_id": "k", "is_new": "is_new_user"})
     # The next version of subscriptions: new users get the free plan, whose use begins at nothing.
     old = customers.select(F.col("c_custkey").alias("sub_uid"), F.col("c_mktsegment").alias("segment")).join(plans(spark).select("segment", "type", "daily"), "segment")
     old = old.join(last_day(spark, d).withColumnRenamed("user_id", "sub_uid"), "sub_uid", "left").select("sub_uid", "type", "daily", "used")
-    free = op.first_by(plans(spark), F.col("type") == "free", "plan_id").select("type", "daily")
-    new = users.filter("is_new").select(F.col("tg_uid").alias("sub_uid"), F.lit("free").alias("type")).join(free, "type").select("sub_uid", "type", "daily", F.lit(0).cast("long").alias("used"))
-    who = users.join(old.unionByName(new), F.col("tg_uid") == F.col("sub_uid"), "left")
-    out = read.select("k", "validated", F.col("u.id").alias("uid")).join(who, F.col("uid") == F.col("tg_uid"), "left")
+    new = rq.new_subscriptions(rq.registered(known, given, now), plans(spark)).join(plans(spark), "plan_id").select(F.col("user_id").alias("sub_uid"), "type", "daily", F.lit(0).cast("long").alias("used"))
+    out = answers_.withColumnRenamed("tg_uid", "uid").join(old.unionByName(new), F.col("uid") == F.col("sub_uid"), "left").join(read.select("k", "validated"), "k")
     found = F.col("uid").isNotNull()
     return out.select(
         "k",
         F.when(found, rq.OK).otherwise(rq.UNKNOWN).alias("status"),
         "validated",
         "uid",
-        F.when(found, F.col("is_new")).alias("is_new_user"),
+        "is_new_user",
         "username",
         "display_name",
         "accepted_terms_at",
@@ -344,7 +355,7 @@ def api_register(spark, d):
     """The bot registers every customer and as many new users, each of them twice; the second time counts."""
     k = F.col("tg_uid")
     customers = table(spark, d, "customer")
-    known = customers.select(F.col("c_custkey").alias("tg_uid"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("display_name"), F.lit("en").alias("language_code"), F.lit(None).cast("timestamp_ntz").alias("accepted_terms_at"))
+    known = known_users(customers)
     ids = known.select(F.explode(F.array(k, k + 1_000_000_000)).alias("tg_uid"))
     twice = ids.withColumn("request_id", F.explode(F.array(F.lit(0), F.lit(1))))
     first = F.when(F.col("request_id") == 0, "Old").when(k % 3 == 0, " Ann").otherwise("")
@@ -352,8 +363,71 @@ def api_register(spark, d):
     return rq.registered(known, given, F.to_timestamp_ntz(F.lit(NOW))).select("tg_uid", "username", "display_name", "is_new")
 
 
+# Four sign-ins of every customer and of as many new users, each naming something else, or nothing.
+SIGN_IN_SQL = """
+WITH ids AS (SELECT c_custkey AS k, c_custkey + CASE WHEN v.j = 0 THEN 0 ELSE 1000000000 END AS uid, v.j, c_name, c_mktsegment FROM customer, (VALUES (0), (1)) AS v(j)),
+r AS (
+    SELECT (k * 2 + j) * 4 + 3 - n AS request_id, uid, j, c_name, c_mktsegment, CASE WHEN (k + n) % 3 = 0 THEN 'nick' || n WHEN (k + n) % 3 = 1 THEN '' END AS username,
+           CASE WHEN (k + 2 * n) % 5 < 2 THEN 'Name ' || n ELSE '' END AS display_name, CASE WHEN n % 2 = 0 THEN 'ru' ELSE 'de' END AS lang
+    FROM ids, (VALUES (0), (1), (2), (3)) AS w(n)),
+a AS (
+    SELECT *, last_value(nullif(username, '') IGNORE NULLS) OVER up AS named, last_value(nullif(display_name, '') IGNORE NULLS) OVER up AS shown,
+           first_value(username) OVER up AS first_name, first_value(lang) OVER up AS first_lang, row_number() OVER (PARTITION BY uid ORDER BY request_id) AS n
+    FROM r WINDOW up AS (PARTITION BY uid ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+o AS (
+    SELECT request_id, uid AS tg_uid, coalesce(named, CASE WHEN j = 0 THEN c_name ELSE first_name END) AS username, coalesce(shown, CASE WHEN j = 0 THEN c_mktsegment ELSE 'User ' || uid END) AS display_name,
+           CASE WHEN j = 0 THEN 'en' ELSE first_lang END AS language_code, CASE WHEN j = 1 THEN TIMESTAMP '2024-06-01 12:00:00' END AS accepted_terms_at, j = 1 AND n = 1 AS is_new, n, j FROM a)
+"""
+SQL["api_sign_in_answers"] = SIGN_IN_SQL + "SELECT * EXCLUDE (n, j) FROM o"
+SQL["api_sign_in_users"] = SIGN_IN_SQL + "SELECT tg_uid, username, display_name, language_code, accepted_terms_at, j = 1 AS is_new FROM o WHERE n = 4"
+SQL["x_stream_users"] = SQL["api_sign_in_users"]
+SQL["x_stream_subscriptions"] = SIGN_IN_SQL + "SELECT tg_uid AS user_id, 1 AS plan_id FROM o WHERE n = 4 AND j = 1"
+
+
+def sign_in_requests(spark, d):
+    k, j, n = F.col("c_custkey"), F.col("j"), F.col("n")
+    numbers = lambda most: F.explode(F.array(*[F.lit(i) for i in range(most)]))
+    rows = table(spark, d, "customer").select("c_custkey").withColumn("j", numbers(2)).withColumn("n", numbers(4))
+    return rows.select(
+        ((k * 2 + j) * 4 + 3 - n).alias("request_id"),
+        (k + F.when(j == 0, 0).otherwise(1_000_000_000)).alias("tg_uid"),
+        F.when((k + n) % 3 == 0, F.concat(F.lit("nick"), n.cast("string"))).when((k + n) % 3 == 1, "").alias("username"),
+        F.when((k + 2 * n) % 5 < 2, F.concat(F.lit("Name "), n.cast("string"))).otherwise("").alias("display_name"),
+        F.when(n % 2 == 0, "ru").otherwise("de").alias("language_code"),
+    )
+
+
+def api_sign_in_answers(spark, d):
+    """What each sign-in of a sequence is told: the user as it is right behind it, new only once."""
+    return rq.sign_ins(known_users(table(spark, d, "customer")), sign_in_requests(spark, d), F.to_timestamp_ntz(F.lit(NOW)))
+
+
+def api_sign_in_users(spark, d):
+    """The users behind the sequence."""
+    return rq.registered(known_users(table(spark, d, "customer")), sign_in_requests(spark, d), F.to_timestamp_ntz(F.lit(NOW)))
+
+
+def x_stream_users(spark, d):
+    """The same users from a stream of the same requests."""
+    return streamed_users(spark, d)[0]
+
+
+def x_stream_subscriptions(spark, d):
+    """The free subscriptions that the stream's new users get, one each."""
+    return streamed_users(spark, d)[1]
+
+
+def streamed_users(spark, d):
+    folder = scratch(spark, "user-stream")
+    # Dealt out by name, not by number: so batches hold each user's requests in any order.
+    sign_in_requests(spark, d).repartition(6, "username", "display_name").write.parquet(f"{folder}/in")
+    users = streaming.UserStream(spark, f"{folder}/users")
+    users.drain(streaming.file_stream(spark, f"{folder}/in", files_per_trigger=2))
+    return users.read(known_users(table(spark, d, "customer")), plans(spark), F.to_timestamp_ntz(F.lit(NOW)))
+
+
 for _f in (
     api_send_message, api_me, api_health, api_thread_cleaned, x_stream_daily_usage, api_post_message_outcomes, api_post_message_rows, api_post_message_conversations, api_post_message_usage,
-    a2_reply_tokens, api_list_conversations, api_delete_outcomes, api_delete_messages_left, api_create_conversations, api_auth, api_register,
+    a2_reply_tokens, api_list_conversations, api_delete_outcomes, api_delete_messages_left, api_create_conversations, api_auth, api_register, api_sign_in_answers, api_sign_in_users, x_stream_users, x_stream_subscriptions,
 ):
     QUERIES[_f.__name__] = _f

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..functions import answers, init_data
-from ..sources import json_body, json_response, literal, spread, table, valid_text
+from ..sources import json_body, json_response, literal, media_messages, spread, table, valid_text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,24 +54,28 @@ def f4(spark, d):
     return table(spark, d, "part").select("p_partkey", fn.remaining(F.lit(20), used).cast("bigint").alias("remaining"))
 
 
-INTS = [(1, " 12 "), (2, "1_000"), (3, "-7"), (4, "x"), (5, ""), (6, None), (7, "99999999999999999999"), (8, "1.5")]
-
-
-@query("f5_int_or_null", "SELECT * FROM (VALUES (1, 12), (2, NULL), (3, -7), (4, NULL), (5, NULL), (6, NULL), (7, NULL), (8, NULL)) AS t(id, n)")
+@query("f5_int_or_null", """
+SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN c_custkey WHEN 1 THEN -c_custkey WHEN 2 THEN c_custkey END AS n FROM customer
+""")
 def f5(spark, d):
-    return literal(spark, INTS, "id int, s string").select("id", fn.int_or_null(F.col("s")).alias("n"))
+    k = F.col("c_custkey")
+    name = k.cast("string")
+    forms = [F.concat(F.lit(" "), name, F.lit(" ")), F.concat(F.lit("-"), name), F.concat(F.lit("\u3000+"), name), F.concat(F.lit("1_"), name), F.concat(name, F.lit("x")), F.lit(""), F.lit(None).cast("string"), F.concat(F.lit("9" * 20), name)]
+    written = F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", fn.int_or_null(written).alias("n"))
 
 
-@query("f12_id_set", "SELECT * FROM (VALUES (1, '1,2'), (2, '7'), (3, '')) AS t(id, ids)")
+@query("f12_id_set", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS VARCHAR) ELSE c_custkey || ',' || (c_custkey + 1) END AS ids FROM customer")
 def f12(spark, d):
-    rows = literal(spark, [(1, " 1, x,,2, 1"), (2, "7"), (3, "")], "id int, s string")
-    return rows.select("id", F.array_join(F.sort_array(fn.id_set(F.col("s"))).cast("array<string>"), ",").alias("ids"))
+    k = F.col("c_custkey")
+    one, two = k.cast("string"), (k + 1).cast("string")
+    written = F.when(k % 3 == 0, "x, ,1_0").when(k % 3 == 1, F.concat(one, F.lit(" , "), one)).otherwise(F.concat(F.lit(" "), two, F.lit(", x,,"), one, F.lit(", "), two))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.array_sort(fn.id_set(written)).cast("array<string>"), ",").alias("ids"))
 
 
 F13_SQL = "SELECT page_id, 'data:text/html;base64,' || to_base64(encode(html)) AS url FROM pages"
 
 
-@query("f13_data_url_whole", F13_SQL)
 @query("f13_data_url", F13_SQL)
 def f13(spark, d):
     return table(spark, d, "pages").select("page_id", fn.data_url(F.lit("text/html"), F.encode("html", "UTF-8")).alias("url"))
@@ -110,9 +114,24 @@ def s6(spark, d):
     return table(spark, d, "region").select("r_regionkey", json_response(["r_regionkey", "r_name"]).alias("body"))
 
 
-@query("s7_literal_rows", "SELECT * FROM (VALUES (1, 'free', 5, 50), (2, 'pro', 7, 100)) AS t(id, type, daily, monthly)")
+@query("s7_literal_rows", "SELECT r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT * FROM (VALUES (100, 'free'), (101, 'pro')) AS t(id, name)")
 def s7(spark, d):
-    return literal(spark, [(1, "free", 5, 50), (2, "pro", 7, 100)], "id int, type string, daily int, monthly int")
+    """Seed rows beside those that a table has."""
+    kept = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return kept.unionByName(literal(spark, [(100, "free"), (101, "pro")], "id int, name string").select(F.col("id").cast(kept.schema["id"].dataType).alias("id"), "name"))
+
+
+@query("s5_media_messages", """
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'audio' ELSE 'image' END AS kind, strlen(html) AS n_bytes, sha256(html) AS content_sha256,
+       length('data:text/html;base64,' || to_base64(encode(html))) AS url_chars, substring(text, 1, 80) AS recognised, CASE WHEN text IS NULL OR trim(text) = '' THEN 400 ELSE 200 END AS status
+FROM pages LEFT JOIN documents ON doc_id = page_id * 3
+""")
+def s5(spark, d):
+    """Uploads as they come in, each with the text that was recognised in it: media without any are refused."""
+    uploads = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, "audio").otherwise("image").alias("kind"), F.encode("html", "UTF-8").alias("content"))
+    heard = docs(spark, d).filter(F.col("doc_id") % 3 == 0).select((F.col("doc_id") / 3).cast("long").alias("page_id"), "text")
+    media = media_messages(uploads, heard, "page_id")
+    return media.select("page_id", "kind", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_sha256"), F.length(fn.data_url(F.lit("text/html"), F.col("content"))).cast("long").alias("url_chars"), fn.prefix(F.col("text"), 80).alias("recognised"), "status")
 
 
 @query("p1_message_validity", "SELECT conv_id, turn, length(text) BETWEEN 1 AND 4000 AS valid, trim(text) = '' AS blank, text LIKE 'T%' AS starts, regexp_matches(text, '[0-9]') AS has_digit FROM conversations")
@@ -142,21 +161,13 @@ def t2(spark, d):
 T2A_SQL = f"SELECT doc_id, translate(concat('АВСДж ', text, ' хУ'), '{answers.CYRILLIC}', '{answers.LATIN}') AS text FROM documents"
 
 
-@query("t2a_normalize_echo_whole", T2A_SQL)
 @query("t2a_normalize_echo", T2A_SQL)
 def t2a(spark, d):
     return docs(spark, d).select("doc_id", answers.normalize_echo(F.concat(F.lit("АВСДж "), F.col("text"), F.lit(" хУ"))).alias("text"))
 
 
-LATEX = [(1, r"\text{cm} x"), (2, r"\frac{a}{b}"), (3, r"\sqrt{x_1}+\alpha"), (4, r"a^{2} \  {b}  "), (5, ""), (6, None)]
-
-
-@query("t2b_latex_to_plain", "SELECT * FROM (VALUES (1, 'cm x'), (2, 'a/b'), (3, '√x1+'), (4, 'a2 b'), (5, ''), (6, NULL)) AS t(id, plain)")
-def t2b(spark, d):
-    return literal(spark, LATEX, "id int, s string").select("id", answers.latex_to_plain(F.col("s")).alias("plain"))
-
-
 # White space within a text, as Java's \\s has it in Unicode mode.
+INNER_ASCII = r"[ \t\n\x0b\f\r]"
 INNER = r"[\s\x0b\x85\p{Z}]"
 
 
@@ -170,28 +181,13 @@ def t2b_docs(spark, d):
     return spread(docs(spark, d)).select("doc_id", answers.latex_to_plain(marked).alias("plain"))
 
 
-ECHOES = [
-    (1, "$A$A"), (2, "$A$А"), (3, "x $abc"), (4, "$A$AB"), (5, "$A$AБ"), (6, "$$A$$A"), (7, r"$\frac{a}{b}$a/b, so"), (8, "$x_{1}$x1 and $y$ y"), (9, "no math"), (10, None), (11, "a $$b"),
-]
-
-
-@query("t3_latex_echoes", "SELECT * FROM (VALUES (1, '$A$'), (2, '$A$'), (3, 'x $abc'), (4, '$A$AB'), (5, '$A$Б'), (6, '$$A$$A'), (7, '$\\frac{a}{b}$, so'), (8, '$x_{1}$ and $y$ y'), (9, 'no math'), (10, NULL), (11, 'a $$b')) AS t(id, text)".replace("\\\\", "\\"))
+# No SQL follows a scan whose look-ahead depends on the data; the tests compare with a scanner of characters.
+@query("t3_echoes_in_documents", None)
 def t3(spark, d):
-    return literal(spark, ECHOES, "id int, s string").select("id", answers.remove_latex_echoes("s").alias("text"))
-
-
-@query("t3_echoes_in_documents", "SELECT doc_id, '$q_{1}$ ' || replace(text, '$', '') AS text FROM documents")
-def t3_docs(spark, d):
-    return spread(docs(spark, d)).select("doc_id", answers.remove_latex_echoes(F.concat(F.lit("$q_{1}$q1 "), F.replace("text", F.lit("$"), F.lit("")))).alias("text"))
-
-
-@query("t3_echoes_in_whole_documents", None)
-def t3_whole(spark, d):
     return spread(docs(spark, d)).select("doc_id", answers.remove_latex_echoes(F.concat(F.lit("$q_{1}$q1 "), F.col("text"))).alias("text"))
 
 
 # DuckDB has no back-references; the tests compare with another engine's.
-@query("t4_plain_echoes_whole", None)
 @query("t4_plain_echoes", None)
 def t4(spark, d):
     return spread(docs(spark, d)).select("doc_id", answers.remove_plain_echoes(F.concat(F.lit("CD = 6,0CD = 6,0 см "), F.col("text"))).alias("text"))
@@ -202,25 +198,17 @@ def t5(spark, d):
     return spread(docs(spark, d)).select("doc_id", answers.clean_outside_math(F.concat(F.lit("{a} "), F.col("text"), F.lit(" {,} $x_{1}$ {b}"))).alias("text"))
 
 
-RAW = [(1, "a{,}b $x_{1}$ {c}"), (2, r"5\text{ см}"), (3, "{a} $b{"), (4, r"\alpha{x} $$\beta$$")]
+MATH = r"(\$\$[\s\S]*?\$\$|\$\$[\s\S]*|\$[^$]+\$|\$[^$]*)"
 
 
-@query("t5_strict_cases", r"SELECT * FROM (VALUES (1, 'a,b $x_{1}$ c'), (2, '5\text см'), (3, 'a $b{'), (4, '\alphax $$\beta$$')) AS t(id, text)")
-def t5_cases(spark, d):
-    return literal(spark, RAW, "id int, s string").select("id", answers.clean_outside_math(F.col("s")).alias("text"))
-
-
-@query("t5_intended_cases", r"SELECT * FROM (VALUES (1, 'a,b $x_{1}$ c'), (2, '5см'), (3, 'a $b{'), (4, 'x $$\beta$$')) AS t(id, text)")
+@query("t5_intended_in_documents", rf"""
+WITH a AS (SELECT doc_id, regexp_replace(concat('{{a}} 5\text{{{{ см}}}} ', text, ' {{,}} \alpha{{b}} $x_{{1}}$ {{b}}'), '{MATH}|\{{(,)\}}', '\1\2', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '{MATH}|\\text{INNER_ASCII}*\{{{INNER_ASCII}*([^}}]*)\}}', '\1\2', 'g') AS t FROM a)
+SELECT doc_id, regexp_replace(regexp_replace(t, '{MATH}|\\[a-zA-Z]+', '\1', 'g'), '{MATH}|[{{}}]', '\1', 'g') AS text FROM b
+""")
 def t5_intended(spark, d):
-    return literal(spark, RAW, "id int, s string").select("id", answers.clean_outside_math(F.col("s"), "intended").alias("text"))
-
-
-SHOWN = [(1, r"a【1】 \(x\) {,} "), (2, "p $$y$$ q"), (3, "a\n\n\n\n\nb"), (4, "$u{,}v$ {,}"), (5, None), (6, "x{,}y")]
-
-
-@query("t6_display_text", "SELECT * FROM (VALUES (1, 'a $x$ {,}'), (2, 'p \n$y\n$ q'), (3, 'a\n\n\nb'), (4, '$u{,}v$ {,}'), (5, ''), (6, 'x,y')) AS t(id, text)")
-def t6(spark, d):
-    return literal(spark, SHOWN, "id int, s string").select("id", answers.display_text(F.col("s")).alias("text"))
+    marked = F.concat(F.lit("{a} 5\\text{{ см}} "), F.col("text"), F.lit(" {,} \\alpha{b} $x_{1}$ {b}"))
+    return spread(docs(spark, d)).select("doc_id", answers.clean_outside_math(marked, "intended").alias("text"))
 
 
 @query("t6_display_in_documents", rf"""
@@ -247,38 +235,38 @@ def chain(spark, d):
     return spread(docs(spark, d)).select("doc_id", answers.clean_answer(marked).alias("text"))
 
 
-# Two signed strings, one of them later than the day that it is checked on; and broken ones.
-RAW_INIT = [
-    (1, "query_id=Q&user=%7B%22id%22%3A7%2C%22first_name%22%3A%22Ann%22%7D&auth_date=1000&hash=h"),
-    (2, "auth_date=90000&user=%257B%2522id%2522%253A8%252C%2522first_name%2522%253A%2522B%252BC%2522%257D&user=x&empty=&hash=h"),
-    (3, "user=%7B%22id%22%3A9%7D&hash=z"),
-    (4, "nothing"),
-    (5, None),
-]
+# A string for each customer: keys and values that need decoding, a key that comes twice, one without a value, stray percent signs.
+def init_rows(spark, d):
+    k = F.col("c_custkey")
+    n = k.cast("string")
+    user = F.concat(F.lit("user=%7B%22id%22%3A"), n, F.when(k % 4 == 0, "").otherwise("%2C%22first_name%22%3A%22A%252BB+%25zz%22"), F.lit("%7D"))
+    raw = F.concat(F.lit("z=50%&"), user, F.lit("&b%3Db=%D0%96+"), n, F.lit("&&z=twice&bare&auth_date="), (k * 1000).cast("string"), F.lit("&hash=h"))
+    return table(spark, d, "customer").select(k, F.when(k % 50 > 0, raw).alias("raw"))
 
 
-@query("f6_parse_pairs", "SELECT * FROM (VALUES (1, 'auth_date,hash,query_id,user'), (2, 'auth_date,empty,hash,user'), (3, 'hash,user'), (4, ''), (5, NULL)) AS t(id, keys)")
+@query("f6_parse_pairs", "SELECT c_custkey, CASE WHEN c_custkey % 50 > 0 THEN 'auth_date,b=b,bare,hash,user,z' END AS keys, CASE WHEN c_custkey % 50 > 0 THEN 'Ж ' || c_custkey || '|50%|' END AS some FROM customer")
 def f6(spark, d):
-    return literal(spark, RAW_INIT, "id int, raw string").select("id", F.array_join(F.sort_array(F.map_keys(init_data.pairs(F.col("raw")))), ",").alias("keys"))
+    rows = init_rows(spark, d).withColumn("p", init_data.pairs(F.col("raw")))
+    return rows.select("c_custkey", F.array_join(F.array_sort(F.map_keys("p")), ",").alias("keys"), F.concat(F.col("p")["b=b"], F.lit("|"), F.col("p")["z"], F.lit("|"), F.col("p")["bare"]).alias("some"))
 
 
-@query("f8_init_user", "SELECT * FROM (VALUES (1, 7, 'Ann'), (2, 8, 'B+C'), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL)) AS t(id, uid, first_name)")
+@query("f8_init_user", "SELECT c_custkey, CASE WHEN c_custkey % 50 > 0 AND c_custkey % 4 > 0 THEN c_custkey END AS uid, CASE WHEN c_custkey % 50 > 0 AND c_custkey % 4 > 0 THEN 'A+B %zz' END AS first_name FROM customer")
 def f8(spark, d):
-    rows = literal(spark, RAW_INIT, "id int, raw string").withColumn("u", init_data.user(init_data.pairs(F.col("raw"))))
-    return rows.select("id", F.col("u.id").alias("uid"), "u.first_name")
+    return init_rows(spark, d).withColumn("u", init_data.user(init_data.pairs(F.col("raw")))).select("c_custkey", F.col("u.id").alias("uid"), "u.first_name")
 
 
-@query("f9_base_string", """SELECT * FROM (VALUES (1, 'auth_date=1000\nquery_id=Q\nuser={"id":7,"first_name":"Ann"}'),
-  (2, 'auth_date=90000\nempty=\nuser=%7B%22id%22%3A8%2C%22first_name%22%3A%22B%2BC%22%7D'), (3, 'user={"id":9}'), (4, ''), (5, NULL)) AS t(id, base)""")
+@query("f9_base_string", """
+SELECT c_custkey, CASE WHEN c_custkey % 50 > 0 THEN 'auth_date=' || c_custkey * 1000 || chr(10) || 'b=b=Ж ' || c_custkey || chr(10) || 'bare=' || chr(10) || 'user={"id":' || c_custkey
+       || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ',"first_name":"A%2BB %zz"' END || '}' || chr(10) || 'z=50%' END AS base FROM customer
+""")
 def f9(spark, d):
-    rows = literal(spark, RAW_INIT, "id int, raw string")
-    return rows.select("id", init_data.base_string(init_data.pairs(F.col("raw"))).alias("base"))
+    return init_rows(spark, d).select("c_custkey", init_data.base_string(init_data.pairs(F.col("raw"))).alias("base"))
 
 
-@query("f10_expiry", "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true), (5, true)) AS t(id, expired)")
+@query("f10_expiry", "SELECT c_custkey, c_custkey % 50 = 0 OR 500000 - c_custkey * 1000 > 86400 AS expired FROM customer")
 def f10(spark, d):
     values = init_data.pairs(F.col("raw"))
-    return literal(spark, RAW_INIT, "id int, raw string").select("id", fn.is_expired(fn.int_or_null(values["auth_date"]), F.lit(88_000)).alias("expired"))
+    return init_rows(spark, d).select("c_custkey", fn.is_expired(fn.int_or_null(values["auth_date"]), F.lit(500_000)).alias("expired"))
 
 
 @query("i1_resolve_id", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_custkey WHEN c_custkey % 5 = 1 THEN c_custkey + 1 WHEN c_custkey % 5 = 2 THEN 42 ELSE 0 END AS uid FROM customer")

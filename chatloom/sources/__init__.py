@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import strip
+
 #: Types of the service's own tables.
 SCHEMAS = {
     "users": "id INT NOT NULL, tg_uid BIGINT NOT NULL, username STRING, display_name STRING, language_code STRING, is_active BOOLEAN, accepted_terms_at TIMESTAMP_NTZ, accepted_privacy_at TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ",
@@ -66,6 +68,16 @@ def media_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
+def media_messages(uploads: DataFrame, recognised: DataFrame, key: str) -> DataFrame:
+    """uploads with the text that was recognised in each, and status 200, or 400 where there is none but white space.
+
+    The bytes are joined to their texts, not the other way round: they stay
+    where they lie as long as texts are few enough to be broadcast.
+    """
+    blank = strip(F.coalesce("text", F.lit(""))) == ""
+    return uploads.join(recognised.select(key, "text"), key, "left").withColumn("status", F.when(blank, 400).otherwise(200))
+
+
 def json_response(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns))
 

@@ -1,47 +1,10 @@
-"""Streams: request events to usage counters."""
+"""Streams whose results are exact: partial results of each batch, merged by keys, in any order and split."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from .merged import MergedTable
+from .sources import file_stream
+from .usage import usage_parts, usage_stream
+from .users import UserStream
 
-
-def event_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int = 100) -> DataFrame:
-    """Events as they arrive in a folder. Event time needs a zoned timestamp."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger)
-    return source.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def daily_counter(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Requests of each user and day. State of days that the watermark has passed is dropped, and rows later than that don't count."""
-    counts = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.count("*").alias("used"))
-    return counts.select("user_id", F.col("window.start").cast("date").alias("day"), "used")
-
-
-def run_once(counts: DataFrame, folder: str, keys: tuple[str, ...] = ("user_id", "day")) -> DataFrame:
-    """Drain the source; each batch writes the rows that it changed under its own number, and of each key the last batch's row is read.
-
-    A batch that is cut off and comes again overwrites its own folder, so every
-    row counts once. Only changed rows are written, and none comes to the driver.
-    """
-    spark = counts.sparkSession
-    path = f"{folder}/changes"
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return upserted(spark, path, counts, keys)
-
-
-def upserted(spark: SparkSession, path: str, counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The table that the batches' changes add up to."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], counts.schema)
-    values = [c for c in counts.columns if c not in keys]
-    changes = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in counts.schema)}, batch long").parquet(path)
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
-    return last.select(*[f"last.{c}" if c in values else c for c in counts.columns])
+__all__ = ["MergedTable", "UserStream", "file_stream", "usage_parts", "usage_stream"]

@@ -1,7 +1,6 @@
-"""Answer cleaning against a scanner of characters, on whole documents with injected markup."""
+"""Answer cleaning of texts put together from pieces whose cleaned form is known, and of whole documents."""
 
 import random
-import re
 
 import pandas as pd
 import pytest
@@ -11,91 +10,71 @@ from chatloom import catalog
 from chatloom.functions import answers, int_or_null, strip
 
 DATA = "/root/testdata/sf0.001"
-LOOK = str.maketrans(answers.CYRILLIC, answers.LATIN)
-
-
-def formatting(t):
-    while (a := t.find("【")) >= 0 and (b := t.find("】", a)) >= 0:
-        t = t[:a] + t[b + 1 :]
-    for old, new in (("\\(", "$"), ("\\)", "$"), ("\\[", "$$"), ("\\]", "$$")):
-        t = new.join(t.split(old))
-    while "  " in t:
-        t = t.replace("  ", " ")
-    return t.strip()
-
-
-def plain(s):
-    s = re.sub(r"\\text\s*\{([^}]*)\}", r"\1", s)
-    s = re.sub(r"\\frac\s*\{([^}]*)\}\{([^}]*)\}", r"\1/\2", s)
-    s = re.sub(r"\\sqrt\s*\{([^}]*)\}", r"√\1", s)
-    s = re.sub(r"\\[a-zA-Z]+", "", s)
-    s = "".join(c for c in s if c not in "{}_\\^")
-    return " ".join(s.split())
-
-
-def echoes(t):
-    out, i = "", 0
-    while i < len(t):
-        if t[i] != "$":
-            out, i = out + t[i], i + 1
-            continue
-        mark = "$$" if t[i : i + 2] == "$$" else "$"
-        j = t.find(mark, i + len(mark))
-        if j < 0:
-            return out + t[i:]
-        out, inner, i = out + t[i : j + len(mark)], t[i + 1 : j], j + len(mark)
-        p = plain(inner) if mark == "$" else ""
-        if 0 < len(p) <= 60:
-            copy, after = t[i : i + len(p)], t[i + len(p) : i + len(p) + 1]
-            ends = not after or not after.isalnum() or (ord(after) < 0x400) != (ord(p[-1]) < 0x400)
-            if (copy == p or copy.translate(LOOK) == p.translate(LOOK)) and ends:
-                i += len(p)
-    return out
-
-
-def braces(t):
-    """Character by character: what math protects, and what stands outside it without its braces."""
-    out, i = [], 0
-    while i < len(t):
-        if t[i] == "$":
-            mark = "$$" if t[i : i + 2] == "$$" else "$"
-            j = t.find(mark, i + len(mark))
-            stop = len(t) if j < 0 else j + len(mark)
-            out.append(t[i:stop])
-            i = stop
-        else:
-            if t[i] not in "{}":
-                out.append(t[i])
-            i += 1
-    return "".join(out)
-
-
-def chain(t):
-    t = echoes(formatting(t))
-    return braces(re.sub(r"([A-ZА-ЯЁa-zа-яё]{1,5}\s*=\s*\d+[,.]\d+)\s*\1", r"\1", t))
+#: Pieces of answers and what is left of each; none changes what stands beside it.
+PIECES = [
+    ("word", "word"), ("при【4:0†x】вет", "привет"), ("q【】【1】w", "qw"), ("a    b", "a b"), ("\\(n\\)", "$n$"), ("\\[m\\]", "$$m$$"), ("{x}", "x"), ("{,}", ","), ("5\\text{ см}", "5\\text см"),
+    ("$a_{1}$a1", "$a_{1}$"), ("$a_{1}$a1.", "$a_{1}$."), ("$A$А", "$A$"), ("$A$AB", "$A$AB"), ("$A$AБ", "$A$Б"), ("$A$БA", "$A$БA"), ("$A$ A", "$A$ A"), ("$$A$$A", "$$A$$A"), ("$k$K", "$k$K"), ("$с$c", "$с$"),
+    ("$\\frac{a}{b}$a/b,", "$\\frac{a}{b}$,"), ("$\\sqrt{2}$√2!", "$\\sqrt{2}$!"), ("$\\text{см}$см", "$\\text{см}$"), ("$\\alpha x$x", "$\\alpha x$"), ("$x\\ y^{2}$x y2", "$x\\ y^{2}$"), ("\\(p\\)p", "$p$"), ("$ $", "$ $"), ("$$\\frac{c}{d}$$", "$$\\frac{c}{d}$$"),
+    ("CD = 6,0CD = 6,0 см", "CD = 6,0 см"), ("x=1.5 x=1.5 so", "x=1.5 so"), ("Угол=30.25Угол=30.25!", "Угол=30.25!"), ("y = 1,5 y = 1,6 no", "y = 1,5 y = 1,6 no"), ("a=1,5b=1,5 no", "a=1,5b=1,5 no"), ("abcdefg=1.0abcdefg=1.0 no", None), ("n=5 n=5 no", "n=5 n=5 no"),
+]
+# Of a longer name the last five letters echo, which no name goes before.
+PIECES = [(raw, raw if done is None else done) for raw, done in PIECES]
+ENDS = [("", ""), ("$ {open", "$ {open"), ("$$ {a} $", "$$ {a} $"), ("【never", "【never"), ("  ", "")]
+SPECIAL = set("$\\{}【】=")
+
+
+def answer(r):
+    some = [r.choice(PIECES) for _ in range(r.randrange(12))] + [r.choice(ENDS)]
+    raw, done = (" ".join(x for x in side if x) for side in zip(*some))
+    return r.choice(["", " ", "\u3000"]) + raw, done
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_answers_of_known_pieces(spark, seed):
+    r = random.Random(seed)
+    texts = [answer(r) for _ in range(3000)]
+    frame = spark.createDataFrame(pd.DataFrame({"i": range(len(texts)), "t": [t for t, _ in texts]}))
+    for x in frame.select("i", answers.clean_answer(F.col("t")).alias("c")).collect():
+        assert x.c == texts[x.i][1], repr(texts[x.i][0])
 
 
 def test_full_chain_on_documents(spark):
+    """Whole documents without a sign that means something keep all but runs of spaces and white ends."""
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
     got = {r.doc_id: r.text for r in catalog.QUERIES["t_full_chain"](spark, DATA).collect()}
-    assert got == {i: chain("【1】 \\(q_{1}\\)q1  {x} " + t) for i, t in texts.items()}
+    echoed = {r.doc_id: r.text for r in catalog.QUERIES["t3_echoes_in_documents"](spark, DATA).collect()}
+    assert got.keys() == texts.keys() == echoed.keys()
+    bare = [i for i, t in texts.items() if not SPECIAL & set(t)]
+    assert len(bare) > 100
+    for i in bare:
+        words = " ".join(w for w in texts[i].split(" ") if w)
+        assert got[i] == ("$q_{1}$ x " + words).strip()
+        assert echoed[i] == "$q_{1}$ " + texts[i]
 
 
 def test_braces_on_threads(spark):
     rows = spark.read.parquet(f"{DATA}/conversations.parquet").collect()
-    want = {(r.conv_id, r.turn): braces("{" + r.text + "}") if r.role == "assistant" else r.text for r in rows}
-    assert {(r.conv_id, r.turn): r.content for r in catalog.QUERIES["api_thread_cleaned"](spark, DATA).collect()} == want
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_random_markup(spark, seed):
-    r = random.Random(seed)
-    bits = ["$", "$$", "{", "}", "{,}", "\\(", "\\)", "\\[", "\\]", "【a】", "【", "a", "B", "В", "xy", " ", "  ", "\n", "CD = 6,0", "x=1.5", "\\frac{a}{b}", "a/b", "\\text{см}", "см", "1", ",", "\u3000"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(3000)]
-    frame = spark.createDataFrame(pd.DataFrame({"i": range(len(texts)), "t": texts}))
-    got = {x.i: (x.c, x.b) for x in frame.select("i", answers.clean_answer(F.col("t")).alias("c"), answers.clean_outside_math(F.col("t")).alias("b")).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == (chain(t), braces(t)), repr(t)
+    got = {(r.conv_id, r.turn): r.content for r in catalog.QUERIES["api_thread_cleaned"](spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if r.role != "assistant":
+            assert got[r.conv_id, r.turn] == r.text
+        elif "$" not in r.text:
+            assert got[r.conv_id, r.turn] == "".join(c for c in r.text if c not in "{}")
+
+
+def test_braces_of_known_pieces(spark):
+    r = random.Random(8)
+    known = [("a", "a"), ("{", ""), ("}", ""), ("\n", "\n"), ("${x}$", "${x}$"), ("$$ {$} $$", "$$ {$} $$"), ("{b}", "b")]
+    texts = []
+    for _ in range(2000):
+        some = [r.choice(known) for _ in range(r.randrange(15))]
+        # A sign next to another one would make a longer one.
+        some = [s for pair in zip(some, [(" ", " ")] * len(some)) for s in pair] + [r.choice([("", ""), ("$ {", "$ {"), ("$$ {}", "$$ {}")])]
+        texts.append(tuple("".join(x) for x in zip(*some)))
+    frame = spark.createDataFrame(pd.DataFrame({"i": range(len(texts)), "t": [t for t, _ in texts]}))
+    for x in frame.select("i", answers.clean_outside_math(F.col("t")).alias("b")).collect():
+        assert x.b == texts[x.i][1], repr(texts[x.i][0])
 
 
 def test_display_of_very_long_texts(spark):

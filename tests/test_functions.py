@@ -150,10 +150,10 @@ def test_outside_math_on_random_texts(spark):
 def test_signed_string(spark):
     raw = "b=2&a=1&user=%7B%22id%22%3A7%2C%22first_name%22%3A%22A%2BB%22%7D&a=9&blank=&broken&hash=ff"
     values = init_data.pairs(F.col("x"))
-    assert one(spark, values, x=raw) == {"b": "2", "a": "1", "user": '{"id":7,"first_name":"A+B"}', "blank": "", "hash": "ff"}
+    assert one(spark, values, x=raw) == {"b": "2", "a": "1", "user": '{"id":7,"first_name":"A+B"}', "blank": "", "broken": "", "hash": "ff"}
     who = one(spark, init_data.user(values), x=raw)
     assert (who["id"], who["first_name"], who["last_name"]) == (7, "A+B", None)
-    base = 'a=1\nb=2\nblank=\nuser={"id":7,"first_name":"A+B"}'
+    base = 'a=1\nb=2\nblank=\nbroken=\nuser={"id":7,"first_name":"A+B"}'
     assert one(spark, init_data.base_string(values), x=raw) == base
     key = hmac.new(b"WebAppData", b"token", hashlib.sha256).digest()
     signed = one(spark, init_data.signature("token")(init_data.base_string(values)), x=raw)

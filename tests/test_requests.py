@@ -30,7 +30,11 @@ def test_message_outcomes_and_changes(spark):
     conv, ent, req = tables(spark)
     out = rq.message_outcomes(req, conv, ent, F.lit("7, x"))
     status = {r.request_id: r.status for r in out.collect()}
-    assert status == {1: 200, 2: 200, 3: 429, 4: 200, 5: 429, 6: 404, 7: 404, 8: 422, 9: 422, 10: 400, 11: 200, 12: 404, 13: 422, 14: 429}
+    # The first request takes what was left; from then on even blanks are refused.
+    assert status == {1: 200, 2: 429, 3: 429, 4: 200, 5: 429, 6: 404, 7: 404, 8: 422, 9: 422, 10: 429, 11: 200, 12: 404, 13: 422, 14: 429}
+    at_once = {r.request_id: r.status for r in rq.message_outcomes(req, conv, ent, F.lit("7, x"), concurrent=True).collect()}
+    assert at_once == status | {2: 200, 10: 400}
+    out = rq.message_outcomes(req, conv, ent, F.lit("7, x"), concurrent=True)
     replies = spark.createDataFrame([(i, "failed" if i == 2 else "completed", f"r{i}", None if i == 4 else 7) for i in range(1, 15)], "request_id long, run string, reply string, tokens long")
     rows = sorted(map(tuple, rq.appended_messages(out, replies).collect()))
     assert rows == sorted([
@@ -48,7 +52,8 @@ def test_deletions_and_creations(spark):
     req = spark.createDataFrame([(1, 10), (2, 10), (9, 10), (3, None)], "conv_id long, uid long")
     assert {(r.conv_id, r.status) for r in rq.deletions(req, conv).collect()} == {(1, 204), (2, 404), (9, 404), (3, 404)}
     new = spark.createDataFrame([(0, 10, "t", None), (5, 20, None, "a")], "request_id long, uid long, thread_id string, title string")
-    assert {(r.uid, r.status, r.conv_id) for r in rq.creations(new, 4).collect()} == {(10, 201, 5), (20, 503, None)}
+    assert {(r.uid, r.status, r.conv_id) for r in rq.creations(new, conv).collect()} == {(10, 201, 5), (20, 503, None)}
+    assert {r.conv_id for r in rq.creations(new, conv.limit(0)).collect()} == {1, None}
 
 
 def test_registered_users(spark):
@@ -56,7 +61,8 @@ def test_registered_users(spark):
     old = spark.createDataFrame([(1, "a", "A", "en", None), (2, "b", None, "en", None)], "tg_uid long, username string, display_name string, language_code string, accepted_terms_at timestamp_ntz")
     given = spark.createDataFrame([(1, 1, "new", "", "ru"), (0, 1, "stale", "S", "ru"), (2, 3, None, "", "ru"), (3, None, "x", "y", "ru"), (4, 4, "d", "D", "de")], "request_id long, tg_uid long, username string, display_name string, language_code string")
     got = {tuple(r) for r in rq.registered(old, given, F.lit(at).cast("timestamp_ntz")).collect()}
-    assert got == {(1, "new", "A", "en", None, False), (2, "b", None, "en", None, False), (3, None, "User 3", "ru", at, True), (4, "d", "D", "de", at, True)}
+    # The name that only the earlier request gave stays.
+    assert got == {(1, "new", "S", "en", None, False), (2, "b", None, "en", None, False), (3, None, "User 3", "ru", at, True), (4, "d", "D", "de", at, True)}
 
 
 def test_signatures_equal_the_standard_library(spark):
