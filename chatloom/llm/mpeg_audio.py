@@ -15,6 +15,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import arrow_batches, spread, whole_text
 
@@ -28,6 +29,8 @@ KBITS = {
     (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {"1": (44100, 48000, 32000), "2": (22050, 24000, 16000), "2.5": (11025, 12000, 8000)}
+#: Bits of a Layer II subband's allocation, as (bits, subbands) in a row: for low rates of MPEG-1 at 44.1 and 48 kHz, at 32 kHz, for others, and for MPEG-2.
+ALLOCATED = {"c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "2": ((4, 4), (3, 7), (2, 19))}
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
 LENGTH_TAG = "payload_bytes"
 
@@ -61,13 +64,26 @@ def header(word: bytes) -> Header | None:
     return Header(version, layer, not word[1] & 1, kbits, rate, mono, samples, size, side)
 
 
+def _crc_entry(byte: int) -> int:
+    crc = byte << 8
+    for _ in range(8):
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    return crc
+
+
+_CRC = [_crc_entry(b) for b in range(256)]
+
+
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of data, or of its first so many bits."""
+    whole, left = divmod(8 * len(data) if bits is None else bits, 8)
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    for byte in data[:whole]:
+        crc = (crc << 8 & 0xFF00) ^ _CRC[crc >> 8 ^ byte]
+    for k in range(left):
+        bit = data[whole] >> 7 - k & 1
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if (crc >> 15) ^ bit else crc << 1 & 0xFFFF
     return crc
 
 
@@ -168,19 +184,51 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
     return None
 
 
-def _checksum(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether a protected frame's checksum is right; None where it isn't verified: Layer II, or no checksum.
+def _allocated(h: Header) -> list[int]:
+    """Bits of each subband's allocation in a Layer II frame."""
+    each = h.kbits if h.mono else h.kbits // 2
+    if h.version != "1":
+        name = "2"
+    elif each <= 48:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for bits, n in ALLOCATED[name] for _ in range(n)]
+
 
-    Layer III protects the side information, Layer I the bit allocation, whose
-    subbands from the bound on both channels of joint stereo share.
+def _protected_bits(data: bytes, at: int, h: Header) -> int:
+    """Bits behind the checksum that it covers.
+
+    Layer III: the side information. Layer I: the bit allocation, whose subbands
+    from the bound on both channels of joint stereo share. Layer II: that, and
+    two bits for each channel and subband that has any.
     """
-    if not h.protected or h.layer == 2:
-        return None
-    n = h.side
+    if h.layer == 3:
+        return 8 * h.side
+    mode, extension = data[at + 3] >> 6, data[at + 3] >> 4 & 3
+    widths = [4] * 32 if h.layer == 1 else _allocated(h)
+    bound = min(len(widths), 4 * (extension + 1) if mode == 1 else len(widths))
+    channels = 1 if h.mono else 2
     if h.layer == 1:
-        mode, extension = data[at + 3] >> 6, data[at + 3] >> 4 & 3
-        n = 16 if h.mono else (32 + (4 * (extension + 1) if mode == 1 else 32)) // 2
-    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + n]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        return 4 * (channels * bound + 32 - bound)
+    given = 0
+    n = sum(widths[:bound]) * channels + sum(widths[bound:])
+    bits = int.from_bytes(data[at + 6 : at + 6 + -(-n // 8)], "big") >> -n % 8
+    p = n
+    for k, width in enumerate(widths):
+        for _ in range(channels if k < bound else 1):
+            p -= width
+            if bits >> p & ((1 << width) - 1):
+                given += 1 if k < bound else channels
+    return n + 2 * given
+
+
+def _checksum(data: bytes, at: int, h: Header) -> bool | None:
+    """Whether a protected frame's checksum is right; None without one."""
+    if not h.protected:
+        return None
+    n = 16 + _protected_bits(data, at, h)
+    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + -(-(n - 16) // 8)], n) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 def read(data: bytes | None) -> dict:
@@ -191,16 +239,15 @@ def read(data: bytes | None) -> dict:
     is a header of its kind that another one or the end follows, or whose
     checksum isn't wrong. At the start and after any other bytes, which are
     skipped and counted, both must hold; so a frame between garbage on both
-    sides is garbage too. A frame with a wrong checksum in the row of others
-    still counts and is counted as bad. Checksums are verified for Layers I and
-    III; protected frames of
-    Layer II are counted as unchecked. Free format isn't read. Null is read as
-    an empty stream.
+    sides is garbage too, and a stream of one frame is that frame. A frame with a
+    wrong checksum in the row of others still counts and is counted as bad.
+    Checksums are verified in all layers. Free format isn't read. Null is read
+    as an empty stream.
     """
     data = data or b""
     at, tags = _tags(data)
     stop = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    out = {"version": None, "layer": None, "rate": None, "channels": None, "samples": 0, "frames": 0, "bad_crc": 0, "unchecked": 0, "skipped": 0, "table": None, "offsets": [], "kbits": 0}
+    out = {"version": None, "layer": None, "rate": None, "channels": None, "samples": 0, "frames": 0, "bad_crc": 0, "skipped": 0, "table": None, "offsets": [], "kbits": 0}
     kind, bodies, in_step = None, [], False
     of = lambda h: (h.version, h.layer, h.rate)
     while at + 4 <= stop:
@@ -209,7 +256,7 @@ def read(data: bytes | None) -> dict:
         if ok:
             after = at + h.size
             follows = header(data[after : after + 4]) if after + 4 <= stop else None
-            goes_on, right = kind is not None and after == stop or follows is not None and of(follows) == of(h), _checksum(data, at, h)
+            goes_on, right = after == stop or follows is not None and of(follows) == of(h), _checksum(data, at, h)
             ok = goes_on or right is not False if in_step else goes_on and right is not False
         in_step = ok
         if not ok:
@@ -225,7 +272,6 @@ def read(data: bytes | None) -> dict:
             out["table"] = _table(data, at, h)
         if not (first and out["table"]):
             out["bad_crc"] += right is False
-            out["unchecked"] += right is None and h.protected
             out["offsets"].append(at)
             out["frames"] += 1
             out["samples"] += h.samples
@@ -268,7 +314,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 READ = (
     "payload binary, version string, layer int, rate int, channels int, frames bigint, samples bigint,"
-    " duration_us bigint, kbits bigint, bad_crc bigint, unchecked bigint, skipped bigint, table_kind string, table_frames bigint,"
+    " duration_us bigint, kbits bigint, bad_crc bigint, skipped bigint, table_kind string, table_frames bigint,"
     " table_bytes bigint, offsets array<bigint>"
 )
 
@@ -276,9 +322,11 @@ READ = (
 def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     """The columns of ``media`` and, under ``read``, what ``read`` finds: a struct of the columns in READ.
 
-    The duration is exact as samples / rate; duration_us is rounded down; offsets
-    has the byte at which each frame begins. Null media is an empty stream: no
-    frames, null format. A table that has a column ``read`` is refused.
+    The duration is samples / rate seconds, exactly; duration_us is that rounded
+    down. offsets has the byte at which each frame begins. Null media is an empty
+    stream: no frames, null format. Repeated rows are read one by one, an empty
+    table gives an empty result, columns may have any names but ``read``, which
+    is refused.
     """
     if "read" in media.columns:
         raise ValueError("the table has a column named read")
@@ -287,7 +335,7 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     fields = [f.strip().split(" ") for f in READ.split(",")]
     kinds = {"binary": pa.binary(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}
     arrow = pa.struct([(n, kinds[t]) for n, t in fields])
-    schema = media.schema.simpleString()[len("struct<") : -1] + ",read:struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">"
+    schema = T.StructType([*media.schema.fields, T.StructField("read", T.StructType.fromDDL(READ))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,4 +347,4 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
                 found.append({n: r[n] for n, _ in fields})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=[*names, "read"])
 
-    return media.mapInArrow(run, f"struct<{schema}>")
+    return media.mapInArrow(run, schema)

@@ -44,6 +44,8 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"{r}.version", f"{r}.layer", f"{r}.rate", f"{r}.channels", f"{r}.frames", f"{r}.duration_us", f"{r}.kbits", f"{r}.bad_crc", f"{r}.skipped",
             f"{r}.table_kind", f"{r}.table_frames", f"{r}.table_bytes", F.hex(F.xxhash64(f"{r}.offsets")),
         ).alias("feature"),
+        F.col(f"{r}.samples").alias("samples"),
+        F.col(f"{r}.rate").alias("rate"),
         F.col(f"{r}.duration_us").alias("duration_us"),
         F.size(f"{r}.offsets").cast("long").alias("seek_points"),
         F.col(f"{r}.offsets").alias("seek_offsets"),

@@ -178,16 +178,78 @@ def test_layers_one_and_two_and_their_checksums():
         body = random.Random(h.size).randbytes(h.size - 6)
         frame = word + mpeg_audio.crc16(word[2:] + body[:protected_bytes]).to_bytes(2, "big") + body
         r = mpeg_audio.read(frame * 4)
-        assert (r["layer"], r["frames"], r["bad_crc"], r["unchecked"], r["samples"]) == (1, 4, 0, 0, 4 * 384)
+        assert (r["layer"], r["frames"], r["bad_crc"], r["samples"]) == (1, 4, 0, 4 * 384)
         broken = bytearray(frame * 4)
         broken[h.size + 6 + protected_bytes - 1] ^= 1
         assert mpeg_audio.read(bytes(broken))["bad_crc"] == 1
         broken = bytearray(frame * 4)
         broken[h.size + 6 + protected_bytes] ^= 1
         assert mpeg_audio.read(bytes(broken))["bad_crc"] == 0
-    word = b"\xff\xfc\x90\xc0"
-    r = mpeg_audio.read((word + bytes(mpeg_audio.header(word).size - 4)) * 3)
-    assert (r["layer"], r["frames"], r["bad_crc"], r["unchecked"]) == (2, 3, 0, 3)
+
+
+def plain_crc(bits):
+    """The checksum bit by bit, as the standard draws its shift register."""
+    register = [1] * 16
+    for bit in bits:
+        back = register[0] ^ bit
+        register = register[1:] + [0]
+        if back:
+            for k in (0, 13, 15):
+                register[k] ^= 1
+    return int("".join(map(str, register)), 2)
+
+
+LOW, HIGH = [4] * 11 + [3] * 12 + [2] * 4, [4] * 11 + [3] * 12 + [2] * 7
+
+
+@pytest.mark.parametrize(
+    "word, widths, channels, bound",
+    [
+        (b"\xff\xfc\x80\xc0", HIGH, 1, 30), (b"\xff\xfc\x80\x00", LOW, 2, 27), (b"\xff\xfc\x80\x50", LOW, 2, 8), (b"\xff\xfc\xe0\x70", HIGH, 2, 16), (b"\xff\xfc\x84\xc0", LOW, 1, 27),
+        (b"\xff\xfc\x10\xc0", [4, 4] + [3] * 6, 1, 8), (b"\xff\xfc\x18\xc0", [4, 4] + [3] * 10, 1, 12), (b"\xff\xf4\x80\xc0", [4] * 4 + [3] * 7 + [2] * 19, 1, 30),
+    ],
+)
+def test_layer_two_checksums(word, widths, channels, bound):
+    r = random.Random(len(widths) + channels)
+    h = mpeg_audio.header(word)
+    bits = lambda n, k: [n >> (k - 1 - i) & 1 for i in range(k)]
+    covered, scales = [], 0
+    for k, width in enumerate(widths):
+        for _ in range(channels if k < bound else 1):
+            given = r.choice([0, r.randrange(1 << width)])
+            covered += bits(given, width)
+            scales += 0 if not given else 1 if k < bound else channels
+    covered += [r.randrange(2) for _ in range(2 * scales)]
+    body = covered + [r.randrange(2) for _ in range(8 * (h.size - 6) - len(covered))]
+    pack = lambda b: bytes(int("".join(map(str, b[i : i + 8])), 2) for i in range(0, len(b), 8))
+    check = plain_crc(bits(int.from_bytes(word[2:], "big"), 16) + covered)
+    frame = word + check.to_bytes(2, "big") + pack(body)
+    assert len(frame) == h.size
+    found = mpeg_audio.read(frame * 4)
+    assert (found["layer"], found["frames"], found["bad_crc"], found["samples"]) == (2, 4, 0, 4 * 1152)
+    for at, bad in ((len(covered) - 1, 1), (len(covered), 0)):
+        body[at] ^= 1
+        assert mpeg_audio.read(frame * 2 + frame[:6] + pack(body) + frame)["bad_crc"] == bad
+        body[at] ^= 1
+
+
+def test_a_stream_of_one_frame_is_that_frame():
+    word = b"\xff\xfb\x90\x64"
+    frame = word + bytes(mpeg_audio.header(word).size - 4)
+    for n in (1, 2, 3):
+        r = mpeg_audio.read(frame * n)
+        assert (r["frames"], r["skipped"], r["samples"], r["rate"]) == (n, 0, 1152 * n, 44100)
+    assert mpeg_audio.read(b"xx" + frame)["frames"] == 1 and mpeg_audio.read(frame + b"xx")["frames"] == 0
+
+
+def test_media_beside_columns_of_any_name(spark):
+    media = spark.createDataFrame([(1, mpeg_audio.store(b"abc"), "x"), (1, mpeg_audio.store(b"abc"), "x"), (2, None, None)], "`a b` long, `m,1` binary, `version: int` string")
+    got = mpeg_audio.read_media(media, "m,1")
+    assert got.columns == ["a b", "m,1", "version: int", "read"]
+    assert sorted((r[0], bytes(r["read"].payload), r["read"].frames) for r in got.collect()) == [(1, b"abc", 1), (1, b"abc", 1), (2, b"", 0)]
+    assert mpeg_audio.read_media(media.limit(0), "m,1").count() == 0
+    with pytest.raises(ValueError):
+        mpeg_audio.read_media(media.withColumnRenamed("a b", "read"), "m,1")
 
 
 def test_tags_and_seek_tables():
