@@ -8,6 +8,7 @@ from .. import functions as fn
 from .. import operators as op
 from .. import streaming
 from ..functions import answers, init_data
+from ..operators import arrivals as ar
 from ..operators import quota
 from ..operators import requests as rq
 from ..sources import table
@@ -426,8 +427,56 @@ def streamed_users(spark, d):
     return users.read(known_users(table(spark, d, "customer")), plans(spark), F.to_timestamp_ntz(F.lit(NOW)))
 
 
+# Two requests of every customer: signed, by header, unsigned, or by nobody; some are known, some name others the second time.
+ARRIVE_SQL = """
+WITH r AS (
+    SELECT c_custkey * 2 + n AS request_id, c_custkey AS k, n, c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 1000000000 ELSE 0 END AS other FROM customer, (VALUES (0), (1)) AS v(n)),
+m AS (
+    SELECT request_id, CASE WHEN k % 5 = 4 THEN 0 ELSE other END AS uid,
+           CASE k % 5 WHEN 0 THEN CASE WHEN n = 0 THEN 'nick' || k ELSE 'user_' || other END WHEN 1 THEN 'user_' || other WHEN 2 THEN 'nick' || k WHEN 3 THEN 'user_' || other ELSE 'guest' END AS username,
+           CASE k % 5 WHEN 0 THEN 'Ann ' || n WHEN 1 THEN 'User ' || other WHEN 2 THEN 'Bob' WHEN 3 THEN 'User ' || other ELSE 'Гость' END AS display_name,
+           CASE WHEN k % 5 = 0 THEN 'de' ELSE 'ru' END AS language_code FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY request_id) AS n, uid NOT IN (SELECT c_custkey FROM customer) AS unknown FROM m)
+"""
+SQL["i1_arrivals"] = ARRIVE_SQL + "SELECT request_id, uid, unknown AND n = 1 AS is_new FROM f"
+SQL["i1_arrived_users"] = ARRIVE_SQL + """
+SELECT c_custkey AS tg_uid, c_name AS username, c_mktsegment AS display_name, 'en' AS language_code FROM customer UNION ALL SELECT uid, username, display_name, language_code FROM f WHERE unknown AND n = 1
+"""
+SQL["i1_arrived_subscriptions"] = ARRIVE_SQL + "SELECT uid AS user_id, 1 AS plan_id FROM f WHERE unknown AND n = 1"
+
+
+def arrived(spark, d):
+    k, n = F.col("c_custkey"), F.col("n")
+    other = k + F.when(k % 2 == 0, 1_000_000_000).otherwise(0)
+    user = lambda lang, first, nick: F.struct(other.alias("id"), first.alias("first_name"), F.lit(None).cast("string").alias("last_name"), nick.alias("username"), F.lit(lang).alias("language_code"))
+    nick = F.concat(F.lit("nick"), k.cast("string"))
+    rows = table(spark, d, "customer").select("c_custkey").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    requests = rows.select(
+        (k * 2 + n).alias("request_id"),
+        F.when(k % 5 == 0, user("de", F.concat(F.lit("Ann "), n.cast("string")), F.when(n == 0, nick).otherwise(""))).alias("signed"),
+        F.when(k % 5 == 1, F.concat(F.lit(" "), other.cast("string"))).when(k % 5 == 3, other.cast("string")).when(k % 5 == 2, "x").alias("header"),
+        F.when(k % 5 == 2, user(None, F.lit("Bob"), nick)).when(k % 5 == 3, user("es", F.lit("Never"), nick)).alias("parsed"),
+    )
+    return ar.arrivals(requests, known_users(table(spark, d, "customer")).drop("accepted_terms_at"), plans(spark))
+
+
+def i1_arrivals(spark, d):
+    """Who sends each request, and whether it makes the user."""
+    return arrived(spark, d)["answers"]
+
+
+def i1_arrived_users(spark, d):
+    """The users behind the batch, the guest among them."""
+    return arrived(spark, d)["users"]
+
+
+def i1_arrived_subscriptions(spark, d):
+    return arrived(spark, d)["subscriptions"]
+
+
 for _f in (
     api_send_message, api_me, api_health, api_thread_cleaned, x_stream_daily_usage, api_post_message_outcomes, api_post_message_rows, api_post_message_conversations, api_post_message_usage,
     a2_reply_tokens, api_list_conversations, api_delete_outcomes, api_delete_messages_left, api_create_conversations, api_auth, api_register, api_sign_in_answers, api_sign_in_users, x_stream_users, x_stream_subscriptions,
+    i1_arrivals, i1_arrived_users, i1_arrived_subscriptions,
 ):
     QUERIES[_f.__name__] = _f

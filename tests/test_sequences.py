@@ -214,3 +214,24 @@ def test_decoding_equals_the_standard_library(spark):
     user = '{"id":1,"first_name":"50%25+%zz"}'
     row = spark.createDataFrame([(user,)], "u string").select(init_data.user(F.create_map(F.lit("user"), F.col("u"))).alias("u")).first()
     assert row.u.first_name == unquote("50%25+%zz")
+
+
+def test_unknown_senders_become_users_once(spark):
+    from chatloom.operators import arrivals as ar
+
+    user = "struct<id: long, first_name: string, last_name: string, username: string, language_code: string>"
+    rows = [
+        (3, (7, "A", "B", "nick", "de"), "5", None), (1, (7, "First", None, "", None), None, None), (2, (1, "Known", None, "new", "fr"), None, None), (4, None, " 8 ", (9, "no", None, None, None)),
+        (5, None, "bad", (9, "", "", None, "")), (6, None, "", None), (7, None, None, None), (8, None, "1", None), (9, None, "7", None),
+    ]
+    requests = spark.createDataFrame(rows, f"request_id long, signed {user}, header string, parsed {user}")
+    users = spark.createDataFrame([(1, "one", "One", "en")], "tg_uid long, username string, display_name string, language_code string")
+    plans = spark.createDataFrame([(4, "pro", 9, 90)], "plan_id int, type string, daily int, monthly int")
+    got = ar.arrivals(requests, users, plans)
+    assert {tuple(x) for x in got["answers"].collect()} == {(1, 7, True), (2, 1, False), (3, 7, False), (4, 8, True), (5, 9, True), (6, 0, True), (7, 0, False), (8, 1, False), (9, 7, False)}
+    assert {tuple(x) for x in got["users"].collect()} == {(1, "one", "One", "en"), (7, "user_7", "First", "ru"), (8, "user_8", "User 8", "ru"), (9, "user_9", "User 9", "ru"), (0, "guest", "Гость", "ru")}
+    assert {tuple(x) for x in got["plans"].collect()} == {(4, "pro", 9, 90), (5, "free", 20, 500)}
+    assert sorted(map(tuple, got["subscriptions"].collect())) == [(0, 5), (7, 5), (8, 5), (9, 5)]
+    again = ar.arrivals(requests, got["users"], got["plans"])
+    assert not any(x.is_new for x in again["answers"].collect()) and again["subscriptions"].count() == 0 and again["plans"].count() == 2
+    assert ar.arrivals(requests.limit(0), users, plans)["users"].count() == 1
