@@ -17,13 +17,26 @@ SCHEMAS = {
 }
 
 
+#: From here on a size is no estimate but says that there is none.
+_UNKNOWN = 1 << 60
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """What Spark takes df's size for. Only the plan is asked, no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """What the plan's inputs hold, files by their size and other rows by their parts. Only the plan is asked, no job runs."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        size = int(leaf.stats().sizeInBytes())
+        if size < _UNKNOWN:
+            total += size
+        elif leaf.nodeName() == "LogicalRDD":
+            total += leaf.rdd().getNumPartitions() * most
+    return total
 
 
 def planned_parts(df: DataFrame) -> int:

@@ -128,3 +128,18 @@ def test_cascade_needs_no_cartesian_product(spark):
     orders, lines = table(spark, DATA, "orders"), table(spark, DATA, "lineitem")
     _, kept = op.cascade_delete(orders, lines, orders.filter("o_orderstatus = 'F'"), "o_orderkey", "l_orderkey")
     assert "CartesianProduct" not in plan(kept) and "NestedLoop" not in plan(kept)
+
+
+def test_planned_sizes_know_files_and_rows_and_run_nothing(spark, tmp_path):
+    from chatloom.sources import planned_bytes, planned_parts, spread
+
+    rows = spark.range(1000)
+    rows.write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t")
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    ran = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    before = ran()
+    assert planned_bytes(files) == size and planned_bytes(files.groupBy("id").count().join(files, "id")) == 2 * size
+    given = spark.createDataFrame([(1, "a")], "a int, b string")
+    assert planned_bytes(given) < 1 << 60 and planned_parts(given.repartition(50)) < 100
+    assert spread(files.groupBy("id").count()) is not None and ran() == before
