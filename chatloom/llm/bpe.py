@@ -268,7 +268,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids, decoded binary: the bytes that the identifiers spell.
 
     A list that begins or ends inside a character gives that character's part of
-    the bytes; ``F.decode`` of whole lists gives back the text. Null gives null.
+    the bytes; ``F.decode`` of whole lists gives back the text. Null gives null,
+    an empty list no bytes; repeated rows are decoded one by one, an empty table
+    gives an empty result.
     """
     source = encoded.select("doc_id", "ids")
     id_type = source.schema["doc_id"].dataType.simpleString()

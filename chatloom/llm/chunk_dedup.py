@@ -92,8 +92,6 @@ def _collision_numbers(normal, chunks, short, shared, collisions, steps) -> Data
     parts = normal.select(_digest(), F.posexplode(chunks).alias("pos", "chunk")).withColumn("h", short("chunk")).join(shared, "h", "left_semi")
     parts = steps.cut(parts.distinct(), "colliding-chunks")
     ranks = parts.select("h", "chunk").distinct().withColumn("number", F.row_number().over(Window.partitionBy("h").orderBy("chunk")))
-    return (
-        parts.join(ranks, ["h", "chunk"])
-        .groupBy("text_sha256")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "number"))).alias("numbers"))
-    )
+    numbers = parts.join(ranks, ["h", "chunk"]).groupBy("text_sha256").agg(F.array_sort(F.collect_list(F.struct("pos", "number"))).alias("numbers"))
+    # Written, so that the join with the many copies of one text may be split over tasks.
+    return steps.cut(numbers, "collision-numbers")

@@ -195,7 +195,8 @@ def near_duplicates(units: DataFrame, threshold: float = THRESHOLD, n: int = SHI
     least the threshold. class_id is the smallest id of the unit's connected
     component (nulls last), n_links the number of other units it is linked with,
     copies included, n_class_links the number of other distinct sets. Units
-    without words are linked with nothing. Null text is empty.
+    without words are linked with nothing. Null text is empty. Repeated rows are
+    units each, linked with each other; an empty table gives an empty result.
     """
     spark = units.sparkSession
     arrow_batches(spark)

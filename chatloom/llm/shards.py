@@ -185,15 +185,18 @@ class ShardStore:
         live = self.entries(latest).select("path")
         for v in versions[:-1]:
             live = live.union(self.entries(v).select("path"))
-        dead = set()
-        for s in self._fs.listStatus(self._path(f"{self.root}/manifest")):
-            v = int(s.getPath().getName()[1:])
-            if v not in versions:
-                dead |= {r.path for r in self.entries(v).select("path").join(live, "path", "left_anti").collect()}
-                self._fs.delete(s.getPath(), True)
-        for p in dead:
-            self._fs.delete(self._path(p), False)
-        return len(dead)
+        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.root}/manifest")) if int(s.getPath().getName()[1:]) not in versions]
+        dead = self.entries(0).select("path")
+        for m in gone:
+            dead = dead.union(self.entries(int(m.getName()[1:])).select("path"))
+        n = 0
+        # Paths pass the driver one after another; manifests go last, so a cut-off run begins again.
+        for r in dead.distinct().join(live, "path", "left_anti").toLocalIterator():
+            self._fs.delete(self._path(r.path), False)
+            n += 1
+        for m in gone:
+            self._fs.delete(m, True)
+        return n
 
     def sweep(self, seconds: float = 7 * 86_400) -> int:
         """Delete data files that no version names and that are older than so many seconds, as lost jobs leave them; returns their number.

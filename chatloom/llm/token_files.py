@@ -150,7 +150,11 @@ def scan(files: DataFrame, separator: int, dtype: str, block_bytes: int = BLOCK_
 
 
 def count_documents(docs: DataFrame, ranks_path: str, pattern: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_tokens, start, closed for every row of docs, found by scanning the files written from it."""
+    """doc_id, n_tokens, start, closed for every row of docs, found by scanning the files written from it.
+
+    Null and empty texts have no tokens; repeated rows are documents each; an
+    empty table gives an empty result. Other columns are ignored.
+    """
     rows, dtype = write_token_files(docs, ranks_path, pattern, separator, id_col, text_col)
     files = rows.groupBy("file").agg(F.max("length").alias("length"))
     found = scan(files, separator, dtype, block_bytes)

@@ -223,7 +223,12 @@ def classify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """The rows of docs that ``classify`` keeps, with all their columns."""
+    """The rows of docs that ``classify`` keeps, with all their columns.
+
+    Null text is judged as empty text, a text without words by the scorer's bias;
+    rows that repeat a text share its fate, whatever their ids; an empty table
+    gives an empty result.
+    """
     model = fit(docs, id_col, text_col)
     at = docs.columns.index(text_col)
 
