@@ -1,4 +1,7 @@
-"""Substring de-duplication: runs of over 50 words that repeat word for word, wherever lines break.
+"""Substring de-duplication: runs of 40 words and more that repeat word for word, wherever lines break.
+
+So long is what edits leave of most passages of over 50 words; a run that short
+is no accident either.
 
 The paragraphs are all runs of ``least`` words of a text. Each is named by the
 least hash among its shorter runs of ``gram`` words, a MinHash of one band, so
@@ -24,7 +27,7 @@ from .runtime import Steps, arrow_batches, spread, whole_text
 from .words import Powers, mix, word_hashes
 
 #: Words of the shortest passage, and of the runs that name it: the name is the least of LEAST - GRAM + 1 hashes.
-LEAST, GRAM = 51, 20
+LEAST, GRAM = 40, 16
 
 #: Two bases, for the two halves of a digest; the first one's powers also hash grams and stretches.
 _FIRST, _SECOND = Powers(), Powers(0xD1342543DE82EF95)

@@ -98,7 +98,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that repeat as wholes (para is set), and exact runs of over 50 words in any lines (start_word is set)."""
+    """Paragraphs that repeat as wholes (para is set), and exact runs of 40 words and more in any lines (start_word is set)."""
     docs = table(spark, sf_dir, "documents")
     spans = passages.repeated_passages(docs)
     free_shuffles(spark)

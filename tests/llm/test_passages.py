@@ -146,3 +146,30 @@ def test_shuffled_joins_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(minhash, "FEW", 0)
     monkeypatch.setattr(minhash, "WEIGHT", 200)
     assert small == [sorted(map(str, f.collect())) for f in (passages.repeated_passages(docs), minhash.near_duplicates(docs.withColumnRenamed("doc_id", "id")))]
+
+
+def test_edited_passages_are_found_wherever_lines_break(spark):
+    """Nine in ten at least of the passages whose word 5-grams stay similar by 0.8."""
+    r = random.Random(21)
+    words_ = [f"w{i}" for i in range(20_000)]
+    line = lambda n: [r.choice(words_) for _ in range(n)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def put(p):
+        if r.random() < 0.5:
+            return " ".join(line(100) + p + line(100))
+        return "\n".join(" ".join(x) for x in [line(10), *(p[i : i + 12] for i in range(0, len(p), 12)), line(10)])
+
+    rows, similar = [], []
+    for k in range(150):
+        p = line(r.randint(55, 150))
+        q = list(p)
+        for _ in range(r.choice([1, 1, 2])):
+            q[r.randrange(len(q))] = r.choice(words_)
+        rows += [(2 * k, put(p)), (2 * k + 1, put(q))]
+        if len(grams(p) & grams(q)) >= 0.8 * len(grams(p) | grams(q)):
+            similar.append(k)
+    clean = [(1000 + i, " ".join(line(200))) for i in range(50)]
+    found = {x.doc_id for x in passages.repeated_passages(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    assert len(similar) > 100 and sum({2 * k, 2 * k + 1} <= found for k in similar) >= 0.9 * len(similar)
+    assert not found & {i for i, _ in clean}
