@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import operators as op
 from ..operators import quota
+from ..operators.in_order import in_order
 from ..sources import literal, table
 
 QUERIES: dict = {}
@@ -201,6 +202,13 @@ def l2(spark, d):
     return listed.select("conv_id", F.array_join(F.transform("items", lambda x: F.concat(x["turn"].cast("string"), F.lit(":"), x["role"])), ",").alias("turns"))
 
 
+@query("l2_numbered_children", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, substring(text, 1, 40) AS head FROM conversations")
+def l2_numbered(spark, d):
+    """Every child with its place among its parent's, as rows: a parent may have any number of them."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", fn.prefix(F.col("text"), 40).alias("head"))
+    return in_order(turns, "conv_id", "turn", {"position": F.lit(True)}).select("conv_id", "turn", "role", "position", "head")
+
+
 @query("l7_client_head", "SELECT * FROM (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id DESC LIMIT 20) ORDER BY last_turn DESC, conv_id DESC LIMIT 5")
 def l7(spark, d):
     return page_of_parents(spark, d).limit(5)

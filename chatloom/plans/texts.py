@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..functions import answers, init_data
+from ..operators import latest_child
 from ..sources import json_body, json_response, literal, media_messages, spread, table, valid_text
 
 QUERIES: dict = {}
@@ -229,6 +230,18 @@ def a3(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(answers.reply_text(F.array_sort(F.collect_list(block))).alias("reply"))
 
 
+@query("a3_newest_reply", """
+SELECT conv_id, turn, replace(text, chr(10), '') AS reply FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1
+""")
+def a3_newest(spark, d):
+    """The newest assistant message of each conversation, put together from its own text blocks: here its lines, with a picture between them."""
+    replies = table(spark, d, "conversations").filter("role = 'assistant'")
+    newest = latest_child(replies, "conv_id", ["turn"], ["turn", "text"])
+    block = lambda kind: lambda x: F.struct(F.lit(kind).alias("type"), x.alias("value"))
+    blocks = F.concat(F.array(F.struct(F.lit("image").alias("type"), F.lit("x.png").alias("value"))), F.transform(F.split("text", "\n"), block("text")))
+    return newest.select("conv_id", "turn", answers.reply_text(blocks).alias("reply"))
+
+
 @query("t_full_chain", None)
 def chain(spark, d):
     marked = F.concat(F.lit("【1】 \\(q_{1}\\)q1  {x} "), F.col("text"))
