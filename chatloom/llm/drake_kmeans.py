@@ -10,6 +10,7 @@ and sums are integers, so the clusters are those of a full scan.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,6 @@ from .runtime import Steps, arrow_batches, spread
 CLUSTERS, ROUNDS, DIMS, SCALE = 16, 3, 64, 64
 #: Next centroids that have a bound of their own.
 BOUNDS = 4
-#: The largest component, scaled: then squared distances of some thousand dimensions fit into a long.
-MOST = 1 << 26
 #: Rounding outwards: far more than the few roundings of a round can add up to.
 _OUT = 1e-13
 
@@ -36,12 +35,18 @@ def usable(vector: Column, dims: int) -> Column:
     return F.coalesce((F.size(vector) == dims) & ~bad, F.lit(False))
 
 
-def scaled(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component; one beyond MOST stops the job, as its distances may not fit into a long."""
+def largest(dims: int) -> int:
+    """The largest component, scaled, with which squared distances always fit into a long."""
+    return math.isqrt(((1 << 63) - 1) // dims) // 2
+
+
+def scaled(vector: Column, scale: int, dims: int) -> Column:
+    """floor(scale * x) of each component; one beyond the largest stops the job, as its distances may not fit into a long."""
+    most = largest(dims)
 
     def one(x: Column) -> Column:
         y = F.floor(x.cast("double") * scale)
-        return F.when(F.abs(x.cast("double") * scale) <= MOST, y).otherwise(F.raise_error(F.lit(f"a scaled component is beyond {MOST}")).cast("bigint")).cast("int")
+        return F.when(F.abs(x.cast("double") * scale) <= most, y).otherwise(F.raise_error(F.lit(f"a scaled component is beyond {most}")).cast("bigint")).cast("int")
 
     return F.transform(vector, one)
 
@@ -158,8 +163,9 @@ def cluster(
     computed for a vector, k for each of rounds + 1 passes without bounds.
 
     Vectors that are null, of another length, or with null or non-finite
-    components are left out; a scaled component beyond 2^26 is an error, as its
-    distances need not fit into a long. Repeated rows are separate vectors;
+    components are left out; a scaled component beyond half the root of 2^63 /
+    dims (189,812,531 for 64) is an error, as its distances need not fit into a
+    long. Repeated rows are separate vectors;
     among equal hashes the smaller vector comes first. A null id hashes as "1:".
     Fewer than k vectors make as many centroids; an empty table gives an empty
     result. Other columns are ignored. The driver holds k centroids and nothing
@@ -170,7 +176,7 @@ def cluster(
     steps = Steps(spark)
     id_type = vectors.schema[id_col].dataType.simpleString()
     v = F.col(vector_col)
-    state = steps.cut(spread(vectors.filter(usable(v, dims)).select(F.col(id_col).alias("id"), scaled(v, scale).alias("v"))), "vectors")
+    state = steps.cut(spread(vectors.filter(usable(v, dims)).select(F.col(id_col).alias("id"), scaled(v, scale, dims).alias("v"))), "vectors")
     name = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     seeds = [r.v for r in state.select("v", name.alias("name")).orderBy("name", "v").limit(k).collect()]
     if not seeds:

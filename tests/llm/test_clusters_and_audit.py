@@ -61,6 +61,14 @@ def test_few_and_no_vectors(spark):
         drake_kmeans.cluster(spark.createDataFrame([(1, [1e30, 0.0])], "vec_id long, embedding array<double>"), 16, 3, 2).collect()
 
 
+def test_distances_of_the_largest_components(spark):
+    most = drake_kmeans.largest(64)
+    assert 64 * (2 * most) ** 2 < 1 << 63 <= 64 * (2 * most + 2) ** 2
+    rows = [(i, [s * most / 64.0] * 64) for i, s in enumerate([1, -1, 1, -1, 0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(drake_kmeans.cluster(table, 2)) == lloyd(rows, 2, 3, 64, 64)
+
+
 def test_bounds_hold_and_ties_go_to_the_smaller_number():
     r = np.random.default_rng(3)
     v = r.integers(-3, 4, (500, 2))
