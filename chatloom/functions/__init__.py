@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once for each row, however often ``use`` names it and inside whatever lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def prefix(text: Column, n: int) -> Column:
     """The first n characters; shorter text as it is."""
     return F.substring(text, 1, n)

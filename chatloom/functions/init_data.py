@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import once
+
 #: The fields of a user, and the word that signing begins with.
 SIGNING_WORD = b"WebAppData"
 USER = "id BIGINT, first_name STRING, last_name STRING, username STRING, language_code STRING, is_premium BOOLEAN, photo_url STRING"
@@ -18,9 +20,11 @@ USER = "id BIGINT, first_name STRING, last_name STRING, username STRING, languag
 def pairs(raw: Column) -> Column:
     """Map of decoded keys to decoded values, the first value of a key winning; a part without ``=`` is a key with an empty value."""
     parts = F.filter(F.split(raw, "&"), lambda p: p != "")
-    entries = F.transform(parts, lambda p: F.struct(_decode(F.substring_index(p, "=", 1)).alias("key"), F.when(F.contains(p, F.lit("=")), _decode(F.regexp_replace(p, r"^[^=]*=", ""))).otherwise("").alias("value")))
-    keys = F.transform(entries, lambda e: e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    value = lambda p: F.when(F.contains(p, F.lit("=")), _decode(F.substr(p, F.instr(p, "=") + 1))).otherwise("")
+    entries = F.transform(parts, lambda p: F.struct(_decode(F.substring_index(p, "=", 1)).alias("key"), value(p).alias("value")))
+    # Each part is decoded once: named inside a lambda, the entries would be decoded anew for each of them.
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.aggregate(entries, none, lambda m, x: F.when(F.map_contains_key(m, x["key"]), m).otherwise(F.map_concat(m, F.create_map(x["key"], x["value"]))))
 
 
 def _decode(text: Column) -> Column:
@@ -35,8 +39,7 @@ def user(values: Column) -> Column:
     decoded again, where a plus sign stays one.
     """
     again = _decode(F.replace(values["user"], F.lit("+"), F.lit("%2B")))
-    parsed = F.from_json(again, USER)
-    return F.when(parsed["id"].isNotNull() & parsed["first_name"].isNotNull(), parsed)
+    return once(F.from_json(again, USER), lambda u: F.when(u["id"].isNotNull() & u["first_name"].isNotNull(), u))
 
 
 def base_string(values: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import answers, init_data
 from ..operators import arrivals as ar
 from ..operators import quota
 from ..operators import requests as rq
-from ..sources import table
+from ..sources import dealt, table
 from ..storage import cut, scratch
 from .lookups import PLAN_SQL, UNLIMITED, plans
 
@@ -300,7 +300,7 @@ def init_strings(spark, d):
     user = F.url_encode(F.concat(F.lit('{"id":'), uid, name, last, nick, F.lit("}")))
     date = F.lit(CLOCK) - F.when(k % 7 == 2, 86_401).otherwise(86_400)
     unsigned = F.concat(F.lit("user="), F.url_encode(user), F.lit("&query_id=Q%2F1&auth_date="), date.cast("string"), F.lit("&start_param="))
-    rows = table(spark, d, "customer").select(k.alias("k"), unsigned.alias("raw"))
+    rows = dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.alias("k"), unsigned.alias("raw"))
     signed = init_data.signature(TOKEN)(init_data.base_string(init_data.pairs(F.col("raw"))))
     return rows.select("k", F.concat("raw", F.lit("&hash="), F.when(F.col("k") % 4 == 3, F.lit("0" * 64)).otherwise(signed)).alias("raw"))
 
@@ -311,8 +311,7 @@ def known_users(customers):
 
 def api_auth(spark, d):
     """Sign-in as one plan: parse, check signature and age, create or update the user, tell the plan. Unsigned strings are parsed as well, as the service does."""
-    values = init_data.pairs(F.col("raw"))
-    read = init_strings(spark, d).select("k", values.alias("v"), init_data.user(values).alias("u"))
+    read = init_strings(spark, d).select("k", init_data.pairs(F.col("raw")).alias("v")).withColumn("u", init_data.user(F.col("v")))
     read = read.withColumn("signed", init_data.signature(TOKEN)(init_data.base_string(F.col("v"))))
     fresh = ~fn.is_expired(fn.int_or_null(F.col("v")["auth_date"]), F.lit(CLOCK))
     # Written, as the answers and the next users are both made of it: so strings are parsed and signed once.

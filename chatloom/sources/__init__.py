@@ -56,6 +56,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if planned_bytes(df) < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else df
 
 
+#: Bytes of files whose rows one task gets where much is made of each.
+SHARE = 1 << 20
+
+
+def dealt_parts(df: DataFrame, share: int = SHARE) -> int:
+    """As many tasks as give each that share of df's files, one for each core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-planned_bytes(df) // share))
+
+
+def dealt(df: DataFrame, *by: str, share: int = SHARE) -> DataFrame:
+    """df over as many tasks as its size asks for, however few row groups its files have: those can't be parted in reading.
+
+    For narrow rows that become many, or cost much more than moving them. They
+    are dealt by the hash of some columns: in turn, each reading task would have
+    to sort its rows first.
+    """
+    return df.repartition(dealt_parts(df, share), *by)
+
+
 def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 32, **options) -> DataFrame:
     """A live table, read in ranges of its key by as many connections as ``parts``; rows outside the bounds go to the outer ranges."""
     options |= {"url": url, "dbtable": name, "partitionColumn": key, "lowerBound": low, "upperBound": high, "numPartitions": parts}

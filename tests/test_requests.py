@@ -79,6 +79,28 @@ def test_signatures_equal_the_standard_library(spark):
         assert valid[r.k] == (right and service.CLOCK - int(values["auth_date"]) <= 86_400 and r.k % 6 != 5)
 
 
+def test_each_part_of_a_signed_string_is_decoded_once(spark):
+    """The parsed map names each part's decoding once, at whatever number of parts, and the first value of a key wins."""
+    from chatloom.functions import init_data
+
+    rows = spark.createDataFrame([("a=1&b=%41+x&a=2&&bare&c=x=y&d=50%",), (None,), ("",)], "raw string").select(init_data.pairs(F.col("raw")).alias("v"))
+    assert [r.v for r in rows.collect()] == [{"a": "1", "b": "A x", "bare": "", "c": "x=y", "d": "50%"}, None, {}]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("UrlCodec.decode") == 2
+    user = spark.createDataFrame([("user=%7B%22id%22%3A5%2C%22first_name%22%3A%22A%22%7D",), ("user=x",)], "raw string").select(init_data.user(init_data.pairs(F.col("raw"))).alias("u"))
+    assert [r.u and (r.u.id, r.u.first_name) for r in user.collect()] == [(5, "A"), None]
+    assert user._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_rows_of_one_file_are_dealt_out(spark):
+    """Queries that make much of each customer do so in several tasks, though the table is one row group."""
+    data = "/root/testdata/sf0.001"
+    assert service.init_strings(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    one = spark.read.parquet(f"{data}/customer.parquet").select("c_custkey")
+    assert one.rdd.getNumPartitions() == 1
+    assert sources.dealt(one, "c_custkey", share=500).rdd.getNumPartitions() == -(-sources.planned_bytes(one) // 500) > 4
+    assert sorted(sources.dealt(one, "c_custkey").collect()) == sorted(one.collect())
+
+
 def test_binary_files_and_json_responses(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, content in (("a.bin", b"\x00\xff1"), ("b.bin", b"22")):
