@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..functions import answers, init_data
 from ..operators import latest_child
-from ..sources import json_body, json_response, literal, media_messages, spread, table, valid_text
+from ..sources import dealt, json_body, json_response, literal, media_messages, spread, table, valid_text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -254,7 +254,7 @@ def init_rows(spark, d):
     n = k.cast("string")
     user = F.concat(F.lit("user=%7B%22id%22%3A"), n, F.when(k % 4 == 0, "").otherwise("%2C%22first_name%22%3A%22A%252BB+%25zz%22"), F.lit("%7D"))
     raw = F.concat(F.lit("z=50%&"), user, F.lit("&b%3Db=%D0%96+"), n, F.lit("&&z=twice&bare&auth_date="), (k * 1000).cast("string"), F.lit("&hash=h"))
-    return table(spark, d, "customer").select(k, F.when(k % 50 > 0, raw).alias("raw"))
+    return dealt(table(spark, d, "customer").select(k), "c_custkey").select(k, F.when(k % 50 > 0, raw).alias("raw"))
 
 
 @query("f6_parse_pairs", "SELECT c_custkey, CASE WHEN c_custkey % 50 > 0 THEN 'auth_date,b=b,bare,hash,user,z' END AS keys, CASE WHEN c_custkey % 50 > 0 THEN 'Ж ' || c_custkey || '|50%|' END AS some FROM customer")

@@ -118,3 +118,8 @@ def test_a_live_table_is_read_in_ranges(spark, tmp_path):
     read = sources.jdbc(spark, url, "users", "ID", 0, 99, parts=4, driver=driver)
     assert read.rdd.getNumPartitions() == 4
     assert {tuple(r) for r in read.filter("ID >= 90").collect()} == {(i, f"u{i}") for i in range(90, 100)} and read.count() == 100
+
+
+def test_strings_of_customers_are_parsed_in_several_tasks(spark):
+    for name in ("f6_parse_pairs", "f8_init_user", "f9_base_string", "f10_expiry"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
