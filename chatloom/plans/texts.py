@@ -278,8 +278,8 @@ def f9(spark, d):
 
 @query("f10_expiry", "SELECT c_custkey, c_custkey % 50 = 0 OR 500000 - c_custkey * 1000 > 86400 AS expired FROM customer")
 def f10(spark, d):
-    values = init_data.pairs(F.col("raw"))
-    return init_rows(spark, d).select("c_custkey", fn.is_expired(fn.int_or_null(values["auth_date"]), F.lit(500_000)).alias("expired"))
+    dates = init_rows(spark, d).withColumn("auth_date", init_data.pairs(F.col("raw"))["auth_date"])
+    return dates.select("c_custkey", fn.is_expired(fn.int_or_null(F.col("auth_date")), F.lit(500_000)).alias("expired"))
 
 
 @query("i1_resolve_id", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_custkey WHEN c_custkey % 5 = 1 THEN c_custkey + 1 WHEN c_custkey % 5 = 2 THEN 42 ELSE 0 END AS uid FROM customer")

@@ -123,3 +123,8 @@ def test_a_live_table_is_read_in_ranges(spark, tmp_path):
 def test_strings_of_customers_are_parsed_in_several_tasks(spark):
     for name in ("f6_parse_pairs", "f8_init_user", "f9_base_string", "f10_expiry"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
+
+
+def test_a_date_is_parsed_once_for_its_age(spark):
+    plan = catalog.QUERIES["f10_expiry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UrlCodec.decode") == 2
