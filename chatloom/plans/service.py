@@ -387,7 +387,7 @@ SQL["x_stream_subscriptions"] = SIGN_IN_SQL + "SELECT tg_uid AS user_id, 1 AS pl
 def sign_in_requests(spark, d):
     k, j, n = F.col("c_custkey"), F.col("j"), F.col("n")
     numbers = lambda most: F.explode(F.array(*[F.lit(i) for i in range(most)]))
-    rows = table(spark, d, "customer").select("c_custkey").withColumn("j", numbers(2)).withColumn("n", numbers(4))
+    rows = dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").withColumn("j", numbers(2)).withColumn("n", numbers(4))
     return rows.select(
         ((k * 2 + j) * 4 + 3 - n).alias("request_id"),
         (k + F.when(j == 0, 0).otherwise(1_000_000_000)).alias("tg_uid"),

@@ -128,3 +128,14 @@ def test_strings_of_customers_are_parsed_in_several_tasks(spark):
 def test_a_date_is_parsed_once_for_its_age(spark):
     plan = catalog.QUERIES["f10_expiry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("UrlCodec.decode") == 2
+
+
+def dealings(df):
+    """How often a plan deals customers out by their key."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [c_custkey")
+
+
+def test_sign_ins_are_dealt_out_before_they_are_sorted(spark):
+    data = "/root/testdata/sf0.001"
+    assert service.sign_in_requests(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert dealings(service.api_sign_in_users(spark, data)) == 1
