@@ -139,3 +139,8 @@ def test_sign_ins_are_dealt_out_before_they_are_sorted(spark):
     data = "/root/testdata/sf0.001"
     assert service.sign_in_requests(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert dealings(service.api_sign_in_users(spark, data)) == 1
+
+
+def test_answers_to_sign_ins_come_from_dealt_requests(spark):
+    """Both the users' first requests and the sums of blocks are made of rows that no single task holds."""
+    assert dealings(service.api_sign_in_answers(spark, "/root/testdata/sf0.001")) == 3
