@@ -356,7 +356,7 @@ def api_register(spark, d):
     k = F.col("tg_uid")
     customers = table(spark, d, "customer")
     known = known_users(customers)
-    ids = known.select(F.explode(F.array(k, k + 1_000_000_000)).alias("tg_uid"))
+    ids = dealt(known.select(k), "tg_uid").select(F.explode(F.array(k, k + 1_000_000_000)).alias("tg_uid"))
     twice = ids.withColumn("request_id", F.explode(F.array(F.lit(0), F.lit(1))))
     first = F.when(F.col("request_id") == 0, "Old").when(k % 3 == 0, " Ann").otherwise("")
     given = twice.select("request_id", "tg_uid", F.when(k % 4 == 0, F.concat(F.lit("nick"), k.cast("string"))).alias("username"), fn.display_name(first, F.lit(None).cast("string"), k).alias("display_name"), F.lit("ru").alias("language_code"))
@@ -449,7 +449,7 @@ def arrived(spark, d):
     other = k + F.when(k % 2 == 0, 1_000_000_000).otherwise(0)
     user = lambda lang, first, nick: F.struct(other.alias("id"), first.alias("first_name"), F.lit(None).cast("string").alias("last_name"), nick.alias("username"), F.lit(lang).alias("language_code"))
     nick = F.concat(F.lit("nick"), k.cast("string"))
-    rows = table(spark, d, "customer").select("c_custkey").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
     requests = rows.select(
         (k * 2 + n).alias("request_id"),
         F.when(k % 5 == 0, user("de", F.concat(F.lit("Ann "), n.cast("string")), F.when(n == 0, nick).otherwise(""))).alias("signed"),

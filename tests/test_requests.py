@@ -131,8 +131,8 @@ def test_a_date_is_parsed_once_for_its_age(spark):
 
 
 def dealings(df):
-    """How often a plan deals customers out by their key."""
-    return df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [c_custkey")
+    """How often a plan deals rows out."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
 
 
 def test_sign_ins_are_dealt_out_before_they_are_sorted(spark):
@@ -144,3 +144,9 @@ def test_sign_ins_are_dealt_out_before_they_are_sorted(spark):
 def test_answers_to_sign_ins_come_from_dealt_requests(spark):
     """Both the users' first requests and the sums of blocks are made of rows that no single task holds."""
     assert dealings(service.api_sign_in_answers(spark, "/root/testdata/sf0.001")) == 3
+
+
+def test_registrations_and_arrivals_are_dealt_out(spark):
+    data = "/root/testdata/sf0.001"
+    assert dealings(service.api_register(spark, data)) == 1
+    assert dealings(service.i1_arrivals(spark, data)) >= 1
