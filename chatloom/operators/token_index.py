@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import dealt_parts
 from ..storage import children, exists
 
 #: Folders that terms are dealt over, and documents that one row of postings may hold.
 BUCKETS, CHUNK = 64, 4096
 
+#: Bytes of documents that one task indexes, and ranges of ids whose postings in a bucket lie in one file.
+SHARE, RANGES = 8 << 20, 64
+
 POSTINGS = "term string, chunk bigint, first bigint, n int, offsets array<int>, places array<array<int>>, segment bigint, bucket int"
 
 
@@ -43,14 +47,20 @@ class TokenIndex:
 
     def add(self, docs: DataFrame, segment: int, id_col: str, *texts: str) -> None:
         """Index the first of some columns that isn't null, for each document; a segment that comes again takes the place of what it wrote before."""
-        words = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.posexplode(terms(F.coalesce(*texts))).alias("place", "term"))
-        # Each document's places first: so what goes on is one row for each term of a document, and a long text is summed up where it lies.
-        one = words.groupBy("term", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
-        ranged = one.withColumn("chunk", F.expr(f"(id - pmod(id, {self.chunk})) div {self.chunk}"))
-        lists = ranged.groupBy("term", "chunk").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("found"), F.min("id").alias("first"))
+        rows, parts = self.made(docs, id_col, *texts), dealt_parts(docs, SHARE)
+        rows = rows.repartition(parts, F.col("bucket"), F.expr(f"chunk div {RANGES}")).sortWithinPartitions("bucket", "term", "chunk")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/segment={segment}")
+
+    def made(self, docs: DataFrame, id_col: str, *texts: str) -> DataFrame:
+        """The postings of documents, not yet dealt over buckets."""
+        rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(*texts).alias("text"))
+        # Whole texts meet by ranges of ids: they are smaller than their terms, and then a range's postings are made where it lies, without moving a term.
+        ranged = rows.withColumn("chunk", F.expr(f"(id - pmod(id, {self.chunk})) div {self.chunk}")).repartitionByRange(dealt_parts(docs, SHARE), "chunk")
+        words = ranged.select("chunk", "id", F.posexplode(terms(F.col("text"))).alias("place", "term"))
+        one = words.groupBy("chunk", "term", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+        lists = one.groupBy("chunk", "term").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("found"), F.min("id").alias("first"))
         offsets = F.transform("found", lambda x: (x["id"] - F.col("first")).cast("int"))
-        rows = lists.select("term", "chunk", "first", F.size("found").alias("n"), offsets.alias("offsets"), F.transform("found", lambda x: x["places"]).alias("places"), bucket_of(F.col("term"), self.buckets).alias("bucket"))
-        rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "term", "chunk").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/segment={segment}")
+        return lists.select("term", "chunk", "first", F.size("found").alias("n"), offsets.alias("offsets"), F.transform("found", lambda x: x["places"]).alias("places"), bucket_of(F.col("term"), self.buckets).alias("bucket"))
 
     def postings(self, *words: str) -> DataFrame:
         """The rows of some terms (of all, without any named); other buckets are not read."""

@@ -56,6 +56,21 @@ def test_searches_equal_scans_over_segments(spark, tmp_path, chunk, buckets):
         index.any_of()
 
 
+def test_postings_are_made_where_their_texts_lie(spark, tmp_path):
+    """Texts move once, by ranges of ids, and no term moves before its postings are whole."""
+    from chatloom.operators import token_index
+
+    spark.createDataFrame([(i, f"w{i % 9} the") for i in range(500)], "id long, text string").write.parquet(f"{tmp_path}/docs")
+    index = TokenIndex(spark, f"file://{tmp_path}/index", 4, 16)
+    made = index.made(spark.read.parquet(f"{tmp_path}/docs"), "id", "text")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange rangepartitioning(chunk" in plan
+    assert sum(x.n for x in made.collect()) == 1000
+    # Ranges of ids share a file of a bucket.
+    index.add(spark.read.parquet(f"{tmp_path}/docs"), 0, "id", "text")
+    assert len(list((tmp_path / "index").rglob("*.parquet"))) <= 4 * (-(-500 // 16 // token_index.RANGES) + 1)
+
+
 def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
     index = TokenIndex(spark, f"file://{tmp_path}/index", 16)
     assert index.any_of("the").count() == 0
