@@ -8,6 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import dealt
+
+#: Bytes of a table whose keys one task counts before they move.
+SHARE = 8 << 20
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -61,9 +66,10 @@ def violations(tables: dict[str, DataFrame], rules: dict[str, Rules]) -> DataFra
     """(table_name, key, rule, n): one row for each row and constraint of its own that it breaks, for each value that a unique key has
     several times (with how often), and for each value of a reference that its parent lacks (with the number of rows that name it).
 
-    Keys are written as texts, their columns joined by |. Values are counted
-    before they move, so a value that a third of all rows have is one row of each
-    task. More than 63 constraints of rows are refused.
+    Keys are written as texts, their columns joined by |. The columns of keys
+    and references are dealt out by all of them together, so each task counts a
+    share of the rows, whatever their files look like, and a value that a third
+    of all rows have is one row of each task before values meet. More than 63 constraints of rows are refused.
     """
     out = []
     for name, r in rules.items():
@@ -75,13 +81,15 @@ def violations(tables: dict[str, DataFrame], rules: dict[str, Rules]) -> DataFra
             broken = flagged(df, r).filter("_broken != 0")
             each = F.array_compact(F.array(*[F.when(F.col("_broken").bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(checks)]))
             out.append(broken.select(F.lit(name).alias("table_name"), _named(r.key).alias("key"), F.explode(each).alias("rule"), F.lit(1).cast("bigint").alias("n")))
+        named = dict.fromkeys([*r.key, *(c for columns in (*r.unique, *(x[0] for x in r.references)) for c in columns)])
+        keyed = dealt(df.select(*named), *named, share=SHARE)
         for columns in r.unique:
-            several = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
+            several = keyed.dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
             out.append(several.select(F.lit(name).alias("table_name"), _named(columns).alias("key"), F.lit(f"unique {', '.join(columns)}").alias("rule"), "n"))
         for columns, parent, theirs in r.references:
-            named = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n"))
+            values = keyed.dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n"))
             known = tables[parent].select(*[F.col(b).alias(f"_{a}") for a, b in zip(columns, theirs)])
             on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in columns])
-            lost = named.join(known, on, "left_anti")
+            lost = values.join(known, on, "left_anti")
             out.append(lost.select(F.lit(name).alias("table_name"), _named(columns).alias("key"), F.lit(f"reference {', '.join(columns)} to {parent}").alias("rule"), "n"))
     return reduce(DataFrame.unionByName, out)

@@ -43,6 +43,16 @@ def test_faults_equal_a_loop(spark):
         violations({"t": tables["t"]}, {"t": Rules(("id",), lengths={f"c{i}": 1 for i in range(64)})})
 
 
+def test_keys_are_counted_in_as_many_tasks_as_rows_ask_for(spark, tmp_path):
+    """One row group is read by one task; what counts its keys has a share of them, and a frequent value is dealt out with its rows."""
+    spark.range(1000).select("id", F.lit(7).cast("long").alias("p")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    found = violations({"t": t, "u": t}, {"t": Rules(("id",), unique=(("id",),), references=((("p",), "u", ("id",)),))})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [id") == 2 and found.count() == 0
+    assert violations({"t": t, "u": t.filter("id > 7")}, {"t": Rules(("id",), references=((("p",), "u", ("id",)),))}).collect()[0].n == 1000
+
+
 def test_the_services_rules_fit_its_schemas(spark):
     empty = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
     assert violations(empty, SERVICE).count() == 0
