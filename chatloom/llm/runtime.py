@@ -10,20 +10,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import planned_parts, spread, table  # noqa: F401
+from ..sources import arrow_batches, planned_parts, spread, table  # noqa: F401
 
 #: White space of every word-based operator here: space and the controls 9-13.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound what one Arrow batch holds, whatever the lengths of its texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines of the cluster share, as the session names it.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..functions import answers, init_data
 from ..operators import latest_child
-from ..sources import dealt, json_body, json_response, literal, media_messages, spread, table, valid_text
+from ..sources import arrow_batches, dealt, json_body, json_response, literal, media_messages, spread, table, valid_text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -185,6 +185,7 @@ def t2b_docs(spark, d):
 # No SQL follows a scan whose look-ahead depends on the data; the tests compare with a scanner of characters.
 @query("t3_echoes_in_documents", None)
 def t3(spark, d):
+    arrow_batches(spark)
     return spread(docs(spark, d)).select("doc_id", answers.remove_latex_echoes(F.concat(F.lit("$q_{1}$q1 "), F.col("text"))).alias("text"))
 
 
@@ -244,6 +245,7 @@ def a3_newest(spark, d):
 
 @query("t_full_chain", None)
 def chain(spark, d):
+    arrow_batches(spark)
     marked = F.concat(F.lit("【1】 \\(q_{1}\\)q1  {x} "), F.col("text"))
     return spread(docs(spark, d)).select("doc_id", answers.clean_answer(marked).alias("text"))
 

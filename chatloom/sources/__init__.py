@@ -56,6 +56,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if planned_bytes(df) < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else df
 
 
+#: What one Arrow batch holds at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound what one Arrow batch holds, whatever the lengths of its texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 #: Bytes of files whose rows one task gets where much is made of each.
 SHARE = 1 << 20
 

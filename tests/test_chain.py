@@ -52,6 +52,16 @@ def test_full_chain_on_documents(spark):
         assert echoed[i] == "$q_{1}$ " + texts[i]
 
 
+def test_batches_of_texts_are_bounded(spark):
+    """Texts that Python cleans come in batches of bounded rows and bytes, whatever the session had."""
+    for name in ("t_full_chain", "t3_echoes_in_documents"):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        catalog.QUERIES[name](spark, DATA)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+        assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
 def test_braces_on_threads(spark):
     rows = spark.read.parquet(f"{DATA}/conversations.parquet").collect()
     got = {(r.conv_id, r.turn): r.content for r in catalog.QUERIES["api_thread_cleaned"](spark, DATA).collect()}
