@@ -71,6 +71,19 @@ def test_postings_are_made_where_their_texts_lie(spark, tmp_path):
     assert len(list((tmp_path / "index").rglob("*.parquet"))) <= 4 * (-(-500 // 16 // token_index.RANGES) + 1)
 
 
+def test_a_segment_of_every_other_document_moves_its_texts_once(spark, tmp_path):
+    """A document of an id that comes twice in a segment, far apart, has the places of both; ids may be negative or missing."""
+    rows = [(i, None if i % 3 else f"w{i} the", "raw the") for i in range(-40, 40)] + [(None, "the", None), (-40, "the w", None)]
+    spark.createDataFrame(rows, "id long, clean string, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").filter("id % 2 = 0")
+    index = TokenIndex(spark, f"file://{tmp_path}/index", 4, 16)
+    made = index.made(docs, "id", "clean", "text")
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    index.add(docs, 0, "id", "clean", "text")
+    found = sorted((x.id, x.n) for x in index.found("the").selectExpr("id", "size(places) n").collect())
+    assert found == [(i, 2 if i == -40 else 1) for i in range(-40, 40, 2)]
+
+
 def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
     index = TokenIndex(spark, f"file://{tmp_path}/index", 16)
     assert index.any_of("the").count() == 0
