@@ -169,24 +169,24 @@ def registered(users: DataFrame, given: DataFrame, as_of: Column) -> DataFrame:
     return users_after(users, sign_in_parts(given), as_of)
 
 
-def sign_ins(users: DataFrame, given: DataFrame, as_of: Column, block: int = BLOCK) -> DataFrame:
+def sign_ins(users: DataFrame, given: DataFrame, as_of: Column, block: int = BLOCK, parts: int | None = None) -> DataFrame:
     """One answer per request: request_id, tg_uid, and the user's columns and is_new as they are right behind it.
 
     A user's requests come one after the other by request_id; is_new is true on
     the first of an unknown user only. Requests without a user have nulls.
+    ``parts`` is how many tasks the requests are ordered in (see in_order).
     """
-    before = users.select(F.col("tg_uid").alias("_known"), *[F.col(c).alias(f"_{c}") for c in ("username", "display_name", "language_code", "accepted_terms_at")])
-    parts = sign_in_parts(given).select(F.col("tg_uid").alias("_uid"), "first").join(before, F.col("_uid") == F.col("_known"), "left")
+    before = users.select("tg_uid", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in ("username", "display_name", "language_code", "accepted_terms_at")])
     lasts = {f"_last_{c}": F.nullif(c, F.lit("")) for c in ("username", "display_name")}
-    ran = in_order(given.select("request_id", "tg_uid", "username", "display_name"), "tg_uid", "request_id", {"_earlier": F.lit(True)}, lasts, block)
+    first = {"first": F.struct("username", "language_code")}
+    joined = in_order(given.select("request_id", "tg_uid", "username", "display_name", "language_code"), "tg_uid", "request_id", {"_earlier": F.lit(True)}, lasts, block, first, before, parts)
     old, found = F.col("_known").isNotNull(), F.col("tg_uid").isNotNull()
-    joined = ran.join(parts, F.col("tg_uid") == F.col("_uid"), "left")
     return joined.select(
         "request_id",
         "tg_uid",
         F.when(found, F.coalesce("_last_username", F.when(old, F.col("_username")).otherwise(F.col("first.username")))).alias("username"),
         F.when(found, F.coalesce("_last_display_name", F.when(old, F.col("_display_name")).otherwise(fallback_name(F.col("tg_uid"))))).alias("display_name"),
-        F.when(old, F.col("_language_code")).otherwise(F.col("first.language_code")).alias("language_code"),
+        F.when(found, F.when(old, F.col("_language_code")).otherwise(F.col("first.language_code"))).alias("language_code"),
         F.when(found, F.when(old, F.col("_accepted_terms_at")).otherwise(as_of)).alias("accepted_terms_at"),
         F.when(found, ~old & (F.col("_earlier") == 0)).alias("is_new"),
     )

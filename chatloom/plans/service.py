@@ -11,7 +11,7 @@ from ..functions import answers, init_data
 from ..operators import arrivals as ar
 from ..operators import quota
 from ..operators import requests as rq
-from ..sources import dealt, table
+from ..sources import SHARE, dealt, dealt_parts, table
 from ..storage import cut, scratch
 from .lookups import PLAN_SQL, UNLIMITED, plans
 
@@ -384,10 +384,14 @@ SQL["x_stream_users"] = SQL["api_sign_in_users"]
 SQL["x_stream_subscriptions"] = SIGN_IN_SQL + "SELECT tg_uid AS user_id, 1 AS plan_id FROM o WHERE n = 4 AND j = 1"
 
 
+#: Bytes of customer's files to a task: each row becomes eight requests, and files of rows that are much alike are small.
+SIGN_IN_SHARE = SHARE // 16
+
+
 def sign_in_requests(spark, d):
     k, j, n = F.col("c_custkey"), F.col("j"), F.col("n")
     numbers = lambda most: F.explode(F.array(*[F.lit(i) for i in range(most)]))
-    rows = dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").withColumn("j", numbers(2)).withColumn("n", numbers(4))
+    rows = dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey", share=SIGN_IN_SHARE).withColumn("j", numbers(2)).withColumn("n", numbers(4))
     return rows.select(
         ((k * 2 + j) * 4 + 3 - n).alias("request_id"),
         (k + F.when(j == 0, 0).otherwise(1_000_000_000)).alias("tg_uid"),
@@ -399,7 +403,8 @@ def sign_in_requests(spark, d):
 
 def api_sign_in_answers(spark, d):
     """What each sign-in of a sequence is told: the user as it is right behind it, new only once."""
-    return rq.sign_ins(known_users(table(spark, d, "customer")), sign_in_requests(spark, d), F.to_timestamp_ntz(F.lit(NOW)))
+    customers = table(spark, d, "customer")
+    return rq.sign_ins(known_users(customers), sign_in_requests(spark, d), F.to_timestamp_ntz(F.lit(NOW)), parts=dealt_parts(customers, SIGN_IN_SHARE))
 
 
 def api_sign_in_users(spark, d):

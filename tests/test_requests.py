@@ -146,6 +146,14 @@ def test_answers_to_sign_ins_come_from_dealt_requests(spark):
     assert dealings(service.api_sign_in_answers(spark, "/root/testdata/sf0.001")) == 3
 
 
+def test_sign_ins_are_ordered_in_tasks_of_one_size(spark):
+    """The requests are dealt out by number before their windows and not moved again; nothing made of them is broadcast, however small customer's file."""
+    plan = service.api_sign_in_answers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line and "_block" in line and "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 1 and "Broadcast" not in plan
+    assert plan.count("SortMergeJoin") == 2
+
+
 def test_registrations_and_arrivals_are_dealt_out(spark):
     data = "/root/testdata/sf0.001"
     assert dealings(service.api_register(spark, data)) == 1

@@ -37,6 +37,24 @@ def test_running_columns_equal_a_loop(spark):
     assert in_order(df.limit(0), "k", "o", {"n": F.lit(True)}).count() == 0
 
 
+@pytest.mark.parametrize("parts", [None, 1, 5])
+def test_first_values_and_rows_of_the_same_key_come_along(spark, parts):
+    rows = [(5, 1, "b"), (-30, 1, None), (31, 1, "a"), (7, 2, "c"), (9, None, "d"), (40, 3, None)]
+    df = spark.createDataFrame([(k, o, v) for o, k, v in rows], "k long, o long, v string").repartition(3)
+    names = spark.createDataFrame([(1, "one"), (3, None), (4, "four"), (None, "nobody")], "k long, name string")
+    got = in_order(df, "k", "o", {"n": F.lit(True)}, block=10, firsts={"first": F.col("v")}, beside=names, parts=parts)
+    assert got.columns == ["k", "o", "v", "n", "first", "name"]
+    assert {x.o: (x.n, x["first"], x["name"]) for x in got.collect()} == {-30: (0, None, "one"), 5: (1, None, "one"), 31: (2, None, "one"), 7: (0, "c", None), 9: (0, "d", None), 40: (0, None, None)}
+
+
+@pytest.mark.parametrize("block", [50, 10**6])
+def test_sign_ins_dealt_over_tasks_equal_a_loop(spark, block):
+    users, given = sequence(7)
+    old, asked = spark.createDataFrame(users, USERS), spark.createDataFrame(given, SIGN_IN).repartition(4)
+    assert {x.request_id: tuple(x) for x in rq.sign_ins(old, asked, now_(), block, parts=3).collect()} == signed_in(users, given)[0]
+    assert rq.sign_ins(old, asked.limit(0), now_(), parts=3).count() == 0
+
+
 def served(requests, owners, ent, free):
     """Each request after the other, as the service takes them."""
     used, out = {u: n for u, n, _ in ent}, {}
