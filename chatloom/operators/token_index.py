@@ -28,6 +28,15 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def nested(rows: DataFrame) -> DataFrame:
+    """Postings with a list of places for each document, from one list in which -1 - place stands for each document's first: lists of short lists are large in a shuffle."""
+    m = F.col("marked")
+    starts = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i) < 0))
+    own = lambda s, i: F.slice(m, s + 1, F.coalesce(F.get("starts", i + 1), F.size(m)) - s)
+    places = F.transform("starts", lambda s, i: F.transform(own(s, i), lambda p: F.when(p < 0, -p - 1).otherwise(p)))
+    return starts.select("term", "chunk", "first", "n", "offsets", places.alias("places"), "bucket")
+
+
 class TokenIndex:
     """Postings of (id, text) rows in ``folder``, in segments that are added one by one and never written again.
 
@@ -49,18 +58,28 @@ class TokenIndex:
         """Index the first of some columns that isn't null, for each document; a segment that comes again takes the place of what it wrote before."""
         rows, parts = self.made(docs, id_col, *texts), dealt_parts(docs, SHARE)
         rows = rows.repartition(parts, F.col("bucket"), F.expr(f"chunk div {RANGES}")).sortWithinPartitions("bucket", "term", "chunk")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/segment={segment}")
+        nested(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/segment={segment}")
 
     def made(self, docs: DataFrame, id_col: str, *texts: str) -> DataFrame:
-        """The postings of documents, not yet dealt over buckets."""
+        """The postings of documents, not yet dealt over buckets, with the places of all documents in one list (see nested)."""
         rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(*texts).alias("text"))
         # Whole texts meet by ranges of ids: they are smaller than their terms, and then a range's postings are made where it lies, without moving a term.
         ranged = rows.withColumn("chunk", F.expr(f"(id - pmod(id, {self.chunk})) div {self.chunk}")).repartitionByRange(dealt_parts(docs, SHARE), "chunk")
-        words = ranged.select("chunk", "id", F.posexplode(terms(F.col("text"))).alias("place", "term"))
-        one = words.groupBy("chunk", "term", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
-        lists = one.groupBy("chunk", "term").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("found"), F.min("id").alias("first"))
-        offsets = F.transform("found", lambda x: (x["id"] - F.col("first")).cast("int"))
-        return lists.select("term", "chunk", "first", F.size("found").alias("n"), offsets.alias("offsets"), F.transform("found", lambda x: x["places"]).alias("places"), bucket_of(F.col("term"), self.buckets).alias("bucket"))
+        words = ranged.select("chunk", F.pmod("id", F.lit(self.chunk)).cast("bigint").alias("nth"), F.posexplode(terms(F.col("text"))).alias("place", "term"))
+        # A number for each occurrence, the document's place in its range above the term's in the document: plain numbers are sorted fast and are smaller than structs.
+        lists = words.groupBy("chunk", "term").agg(F.sort_array(F.collect_list(F.shiftleft("nth", 32) + F.col("place"))).alias("found"))
+        nth = lambda x: F.shiftright(x, 32)
+        place = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        least = nth(F.col("found")[0])
+        same = lambda x, i: (i > 0) & (nth(F.get("found", i - 1)) == nth(x))
+        return lists.select(
+            "term",
+            "chunk",
+            (F.col("chunk") * self.chunk + least).alias("first"),
+            F.array_distinct(F.transform("found", lambda x: (nth(x) - least).cast("int"))).alias("offsets"),
+            F.transform("found", lambda x, i: F.when(same(x, i), place(x)).otherwise(-place(x) - 1)).alias("marked"),
+            bucket_of(F.col("term"), self.buckets).alias("bucket"),
+        ).withColumn("n", F.size("offsets"))
 
     def postings(self, *words: str) -> DataFrame:
         """The rows of some terms (of all, without any named); other buckets are not read."""

@@ -84,6 +84,21 @@ def test_a_segment_of_every_other_document_moves_its_texts_once(spark, tmp_path)
     assert found == [(i, 2 if i == -40 else 1) for i in range(-40, 40, 2)]
 
 
+def test_places_move_in_one_list_and_lie_in_a_list_for_each_document(spark, tmp_path):
+    """What is dealt over buckets holds no list of lists; ids may be far apart, negative, or come twice, and documents long."""
+    from pyspark.sql.types import ArrayType
+
+    rows = [(-9, "b a a"), (-8, "a"), (-8, "b b a"), (7, "x " * 70_000 + "a x"), (2**40, "a")]
+    index = TokenIndex(spark, f"file://{tmp_path}/index", 4, 8)
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    lists = [f.dataType for f in index.made(docs, "id", "text").schema if isinstance(f.dataType, ArrayType)]
+    assert lists and not any(isinstance(t.elementType, ArrayType) for t in lists)
+    index.add(docs, 0, "id", "text")
+    got = {(x.term, x.id): x.places for x in index.found().collect()}
+    assert got.pop(("x", 7)) == [*range(70_000), 70_001]
+    assert got == {("a", -9): [1, 2], ("b", -9): [0], ("a", -8): [0, 2], ("b", -8): [0, 1], ("a", 7): [70_000], ("a", 2**40): [0]}
+
+
 def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
     index = TokenIndex(spark, f"file://{tmp_path}/index", 16)
     assert index.any_of("the").count() == 0
